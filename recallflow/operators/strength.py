@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from recallflow.functions import lexicon as lx
 from recallflow.functions import text as tx
 from recallflow.operators.scans import numbered, running_sum, top_k
+from recallflow.session import cut
 
 SEQ_BUCKET = 65536
 WITNESSES = 64
@@ -112,13 +113,13 @@ def surprise_structured(facts: DataFrame) -> DataFrame:
     # Groups of one row have nothing to contradict: settle them before any bigram work.
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     shared = base.join(sizes, keys).drop("_n")
-    ranked = numbered(shared, keys, ["seq"], _seq_bucket()).withColumn(
-        "grams", tx.bigrams(F.col("value"))
+    ranked = cut(
+        numbered(shared, keys, ["seq"], _seq_bucket()).withColumn("grams", tx.bigrams(F.col("value"))).drop("value")
     )
     first = (
-        top_k(shared, keys, [F.asc("seq")], WITNESSES, "_w")
+        ranked.where(F.col("rank") <= WITNESSES)
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("seq", tx.bigrams(F.col("value")).alias("grams"))).alias("wit"))
+        .agg(F.collect_list(F.struct("seq", "grams")).alias("wit"))
     )
     best = F.aggregate(
         "wit",
@@ -128,10 +129,12 @@ def surprise_structured(facts: DataFrame) -> DataFrame:
             F.greatest(acc, tx.set_divergence(F.col("grams"), w["grams"])),
         ).otherwise(acc),
     )
-    step1 = ranked.join(first, keys).withColumn("divergence", best).drop("wit")
+    step1 = cut(ranked.join(first, keys).withColumn("divergence", best).drop("wit"))
     unsettled = (
         (F.col("rank") > WITNESSES + 1) & (F.col("divergence") < 1.0) & ~F.col("override")
     )
+    if step1.where(unsettled).isEmpty():
+        return _settled(base, step1.withColumn("exact", F.lit(0.0)))
     block = F.floor((F.col("rank") - 1) / BLOCK)
     held = step1.withColumn("block", block)
     open_rows = held.where(unsettled)
@@ -156,10 +159,14 @@ def surprise_structured(facts: DataFrame) -> DataFrame:
         .groupBy("namespace", "seq")
         .agg(F.max("divergence").alias("exact"))
     )
+    return _settled(base, step1.join(step2, ["namespace", "seq"], "left"))
+
+
+def _settled(base: DataFrame, rows: DataFrame) -> DataFrame:
     sigma = F.when(F.col("override"), lx.SIGMA_MAX).otherwise(
         F.greatest("divergence", F.coalesce("exact", F.lit(0.0))) * lx.SIGMA_MAX
     )
-    found = step1.join(step2, ["namespace", "seq"], "left").select(
+    found = rows.select(
         "namespace",
         "seq",
         (F.col("rank") - 1).alias("contradicted"),
@@ -282,7 +289,7 @@ def similar_classes(classes: DataFrame, threshold: float = 0.25) -> DataFrame:
     )
 
 
-def surprise_tokens(items: DataFrame) -> DataFrame:
+def surprise_tokens(items: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Token-overlap surprise for probe rows (facts without subject or relation).
 
     ``items`` has (namespace, seq, tokens, override, is_probe). Returns per probe whether
@@ -292,8 +299,8 @@ def surprise_tokens(items: DataFrame) -> DataFrame:
     reads its own value from a short step table of its class.
     """
     items = items.withColumn("cls", F.md5(F.array_join(F.array_sort("tokens"), "\u0001")))
-    classes = token_classes(items)
-    edges = similar_classes(classes)
+    classes = cut(token_classes(items))
+    edges = cut(similar_classes(classes)) if edges is None else edges
     contra = edges.where(F.col("jaccard") <= 0.8).select(
         "namespace", "cls", "other_first", (1 - F.col("jaccard")).alias("gap")
     )
@@ -339,7 +346,7 @@ def surprise_tokens(items: DataFrame) -> DataFrame:
 def token_damage(items: DataFrame, surprise: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Damage on every item from later probes that contradict its token set."""
     items = items.withColumn("cls", F.md5(F.array_join(F.array_sort("tokens"), "\u0001")))
-    edges = similar_classes(token_classes(items)) if edges is None else edges
+    edges = cut(similar_classes(cut(token_classes(items)))) if edges is None else edges
     contra = edges.where(F.col("jaccard") <= 0.8).select("namespace", "cls", "other")
     news = (
         surprise.where("contradicts")
@@ -430,18 +437,20 @@ def memory_state(facts: DataFrame, now_seq: int | None = None) -> DataFrame:
     ``facts`` comes from :func:`derive_facts`. The clock is the largest ``seq`` of the
     namespace unless ``now_seq`` is given.
     """
-    kept = dedup_facts(facts)
-    structured = surprise_structured(kept)
+    facts = cut(facts)
+    kept = cut(dedup_facts(facts))
+    structured = cut(surprise_structured(kept))
     probe = (F.col("subject") == "") | (F.col("relation") == "")
     pool = kept.select("namespace", "seq", "tokens", "override", probe.alias("is_probe"))
-    loose = surprise_tokens(pool)
+    edges = cut(similar_classes(token_classes(pool)))
+    loose = cut(surprise_tokens(pool, edges))
     sigma = F.col("surprise").alias("_sigma")
     found = structured.select("namespace", "seq", sigma).unionByName(
         loose.select("namespace", "seq", sigma)
     )
     hits = (
         surprise_damage(kept, structured)
-        .unionByName(token_damage(pool, loose))
+        .unionByName(token_damage(pool, loose, edges))
         .groupBy("namespace", "seq")
         .agg(F.least(F.lit(2.0), F.sum("damage")).alias("damage"))
     )

@@ -72,9 +72,9 @@ def ordered_tokens(name: str, source: str, keys: str, text: str = "text") -> str
   SELECT {keys}, w AS token, i, 0 AS j FROM {name}_d
   UNION ALL SELECT {keys}, {normalized('w')}, i, 1 FROM {name}_d WHERE length({normalized('w')}) > 1
   UNION ALL SELECT {keys}, v, i, j FROM {name}_d JOIN {name}_syn ON w = k),
-{name}_f AS (SELECT {keys}, token, min(i * 100 + j) AS at FROM {name}_a GROUP BY {keys}, token),
+{name}_f AS (SELECT {keys}, token, min(i * 100 + j) AS p FROM {name}_a GROUP BY {keys}, token),
 {name} AS (SELECT {keys}, token, row_number() OVER (PARTITION BY {keys}
-  ORDER BY length(token) DESC, at) AS r FROM {name}_f)"""
+  ORDER BY length(token) DESC, p) AS r FROM {name}_f)"""
 
 
 def facts(name: str, source: str, keys: str, text: str = "text") -> str:
