@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallflow.functions import lexicon as lx
-from recallflow.operators.scans import running_sum, top_k
+from recallflow.operators.scans import running_sum
+from recallflow.session import cut
 
 
 def lookup(values: dict, key: Column, default=None) -> Column:
@@ -169,31 +172,38 @@ def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFr
     marked = base.join(prev, ["key", "_h"]).withColumn(
         "_new", F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0)
     )
-    runs = running_sum(
-        marked.drop("_prev"), ["key"], ["_t", "request_id"], F.col("_h"), {"burst": F.col("_new")}
+    runs = cut(
+        running_sum(
+            marked.drop("_prev"), ["key"], ["_t", "request_id"], F.col("_h"), {"burst": F.col("_new")}
+        )
     )
     sizes = runs.groupBy("key", "burst").agg(F.count(F.lit(1)).alias("_n"))
     sized = runs.join(sizes, ["key", "burst"])
     calm = sized.where(F.col("_n") <= limit).select("key", "request_id", "ts", F.lit(True).alias("allowed"))
     admit = _admit(limit, seconds)
 
-    def decide(batches):
-        held: list[float] = []
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, []
         for pdf in batches:
-            ok, held = admit(pdf["_t"].tolist(), held)
+            out: list[bool] = []
+            for burst, rows in pdf.groupby(["key", "burst"], sort=False):
+                if burst != current:
+                    current, held = burst, []
+                ok, held = admit(rows["_t"].tolist(), held)
+                out += ok
             yield pd.DataFrame(
-                {"key": pdf["key"], "request_id": pdf["request_id"], "ts": pdf["ts"], "allowed": ok}
+                {"key": pdf["key"], "request_id": pdf["request_id"], "ts": pdf["ts"], "allowed": out}
             )
 
-    def decide_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(decide([pdf.sort_values(["_t", "request_id"])]))
-
+    # Bursts arrive whole and in time order inside a partition and are read as a stream of
+    # small batches, so neither many bursts nor a long one needs memory.
     key_type = dict(events.dtypes)["key"]
     busy = (
         sized.where(F.col("_n") > limit)
         .select("key", "burst", "request_id", "ts", "_t")
-        .groupBy("key", "burst")
-        .applyInPandas(decide_group, f"key {key_type}, request_id bigint, ts timestamp, allowed boolean")
+        .repartition("key", "burst")
+        .sortWithinPartitions("key", "burst", "_t", "request_id")
+        .mapInPandas(decide, f"key {key_type}, request_id bigint, ts timestamp, allowed boolean")
     )
     return calm.unionByName(busy)
 

@@ -154,7 +154,7 @@ CTES = {
   o_orderdate AS created_at FROM orders""",
     "tier_history": """SELECT o_custkey AS user_id, o_orderkey AS id,
   CASE o_orderstatus WHEN 'F' THEN 'pro' WHEN 'O' THEN 'business' ELSE 'free' END AS tier,
-  o_orderdate AS at FROM orders""",
+  o_orderdate AS moment FROM orders""",
     "integrations": """SELECT 'i' || c_custkey AS id, 'u' || c_custkey % 10 AS namespace,
   CASE WHEN c_custkey % 8 = 0 THEN 'deleted' ELSE 'active' END AS status,
   'user' || c_custkey || '@example.com' AS owner_email FROM customer WHERE c_custkey % 3 <> 0""",
@@ -189,7 +189,7 @@ CTES = {
     "ext_telemetry": f"""SELECT 'x' || user_id AS uid, CASE event_type WHEN 'signup' THEN 'install'
   WHEN 'view' THEN 'context_injected' WHEN 'click' THEN 'message_captured'
   WHEN 'purchase' THEN 'feature_toggle' ELSE 'ping' END AS event, 'site' || {_K} % 4 AS site,
-  'f' || {_K} % 3 || CASE WHEN {_K} % 2 = 0 THEN '_on' ELSE '_off' END AS toggle, ts AS at FROM events""",
+  'f' || {_K} % 3 || CASE WHEN {_K} % 2 = 0 THEN '_on' ELSE '_off' END AS toggle, ts AS moment FROM events""",
     "queries": "SELECT item_id AS query_id, 'en' AS namespace, text FROM benchmark",
     "vectors": """SELECT vec_id, 'n' || label % 4 AS namespace, label,
   CAST(embedding AS DOUBLE[]) AS vec, 0.5::DOUBLE + (vec_id % 50)::DOUBLE / 100 AS confidence FROM embeddings""",
