@@ -1,6 +1,606 @@
+"""Retrieval for many queries at once: lexical, vector, entity-based and fused ranking.
+
+Queries are a table (query_id, namespace, text). All scores are joins and aggregations
+keyed by (query, item); texts never meet a query outside an equi-join.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+
+from recallflow.functions import lexicon as lx
+from recallflow.functions import text as tx
+from recallflow.functions import vectors as vx
+from recallflow.operators import corpus as cp
 from recallflow.operators.scans import top_k
-def personal_facts(m, limit=20):
-    t=F.col("text")
-    k=m.where((F.length(t)>=8)&(F.length(t)<=300)&~t.startswith("[")&~t.endswith("?")&~t.startswith("Stop hook")&~t.startswith("You said"))
-    return top_k(k,["namespace"],[F.desc("seq")],limit)
+from recallflow.operators.strength import field_radius, safe_energy, susceptibility
+from recallflow.session import cut
+
+Q = ["query_id", "namespace"]
+
+
+def item_index(items: DataFrame) -> DataFrame:
+    """Posting rows (namespace, mem_id, token, n_tokens) of the tokens within reach."""
+    return items.select(
+        "namespace", "mem_id", F.size("tokens").alias("n_tokens"),
+        F.explode(field_radius(F.col("tokens"), F.col("strength"))).alias("token"),
+    )
+
+
+def item_state(items: DataFrame) -> DataFrame:
+    """Per item: length, susceptibility and ranking energy."""
+    delta = F.col("delta_f") if "delta_f" in items.columns else F.lit(None).cast("double")
+    return items.select(
+        "namespace", "mem_id", F.size("tokens").alias("n_all"),
+        susceptibility(F.col("phase"), delta).alias("chi"),
+        (-safe_energy(F.col("free_energy")) / lx.KT).alias("thermo"),
+    )
+
+
+def query_tokens(queries: DataFrame) -> DataFrame:
+    return queries.select(*Q, F.explode(tx.token_set(F.col("text"))).alias("token")).withColumn(
+        "inferred", F.lit(False)
+    )
+
+
+def expand_with_schemas(tokens: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Add the first three fixed tokens of the schemas about a queried entity."""
+    about = schemas.select(
+        "namespace", F.col("subject").alias("token"), F.slice("fixed_tokens", 1, 3).alias("extra")
+    )
+    new = (
+        tokens.join(about, ["namespace", "token"]).select(*Q, F.explode("extra").alias("token")).distinct()
+        .where(~F.col("token").isin(lx.STOP_WORDS) & (F.length("token") > 1))
+        .join(tokens.select(*Q, "token"), [*Q, "token"], "left_anti")
+        .withColumn("inferred", F.lit(True))
+    )
+    return tokens.unionByName(new)
+
+
+def candidates(tokens: DataFrame, index: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query, item, matched, raw score) over prefix variants of the query tokens.
+
+    Weights are attached to the few query variants before the postings are touched.
+    """
+    variants = cp.prefix_variants(tokens, weights.select("namespace", "token")).select(*Q, F.col("variant").alias("token")).distinct()
+    guessed = tokens.where("inferred").select(*Q, "token").withColumn("_half", F.lit(0.5))
+    w = F.col("idf") * F.col("entropy_weight") * F.coalesce("_half", F.lit(1.0))
+    probes = (
+        variants.join(guessed, [*Q, "token"], "left").join(weights, ["namespace", "token"])
+        .select(*Q, "token", w.alias("w"))
+    )
+    return probes.join(index, ["namespace", "token"]).groupBy(*Q, "mem_id").agg(
+        F.sum("w").alias("raw"), F.count(F.lit(1)).alias("matched"), F.max("n_tokens").alias("n_tokens")
+    )
+
+
+def lexical_score(cands: DataFrame) -> DataFrame:
+    n = F.greatest("n_tokens", F.lit(1))
+    return cands.withColumn("lexical", F.col("raw") / F.sqrt(n) * (1 + F.col("matched") / n))
+
+
+def semantic_bonus(tokens: DataFrame, cands: DataFrame, items: DataFrame, vectors: DataFrame, weights: DataFrame, sizes: DataFrame, dims: int) -> DataFrame:
+    """Cosine of mean token vectors times the mean idf of the query, per candidate."""
+    seen = tokens.join(weights.select("namespace", "token", "idf"), ["namespace", "token"], "left").join(sizes, "namespace")
+    idf = F.coalesce("idf", F.log(1.0 + F.greatest("n_items", F.lit(1))))
+    mean_idf = seen.groupBy(*Q).agg(F.avg(idf).alias("avg_idf"))
+    qv = cp.mean_vector(tokens, vectors, Q, dims).withColumnRenamed("vec", "_qv")
+    it = items.select("namespace", "mem_id", F.explode("tokens").alias("token"))
+    iv = cp.mean_vector(it, vectors, ["namespace", "mem_id"], dims).withColumnRenamed("vec", "_iv")
+    return (
+        cands.select(*Q, "mem_id").join(qv, Q).join(mean_idf, Q).join(iv, ["namespace", "mem_id"])
+        .select(*Q, "mem_id", (vx.cosine(F.col("_qv"), F.col("_iv")) * F.col("avg_idf")).alias("semantic"))
+    )
+
+
+def rank(scored: DataFrame, state: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    out = scored.join(state, ["namespace", "mem_id"])
+    if semantic is not None:
+        out = out.join(semantic, [*Q, "mem_id"], "left")
+    bonus = F.coalesce("semantic", F.lit(0.0)) if semantic is not None else F.lit(0.0)
+    return out.select(*Q, "mem_id", ((F.col("lexical") + bonus + F.col("thermo")) * F.col("chi")).alias("score"))
+
+
+def substring_hits(tokens: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, item, hits): query tokens found inside the raw words of an item.
+
+    A token holds no white space, so it lies inside one word. The vocabulary (not the
+    texts) is expanded into pieces as long as a query token and met by equality.
+    """
+    words = items.select("namespace", "mem_id", F.explode(F.array_distinct(tx.split_words(F.lower("text")))).alias("word"))
+    lengths = tokens.select(F.length("token").alias("n")).distinct().orderBy("n")
+    sizes = [r["n"] for r in lengths.limit(1024).collect()]
+    if not sizes:
+        return tokens.select(*Q, F.lit("").alias("mem_id"), F.lit(0).cast("bigint").alias("hits")).limit(0)
+    # Very long words are read in overlapping stretches to stay linear.
+    step, reach = 256, 256 + max(sizes)
+    stretch = words.select("namespace", "word").distinct().select(
+        "namespace", "word",
+        F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / step).cast("int"))).alias("i"),
+    ).select("namespace", "word", F.substr("word", F.col("i") * step + 1, F.lit(reach)).alias("part"))
+    def windows(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("part") - n + 1, F.lit(1)))
+        every = F.transform(starts, lambda i: F.substr(F.col("part"), i, F.lit(n)))
+        return F.when(F.length("part") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    cuts = F.flatten(F.array(*[windows(n) for n in sizes]))
+    pieces = stretch.select("namespace", "word", F.explode(F.array_distinct(cuts)).alias("token"))
+    found = tokens.select(*Q, "token").join(pieces, ["namespace", "token"]).select(*Q, "token", "word").distinct()
+    return (
+        found.join(words, ["namespace", "word"]).select(*Q, "mem_id", "token").distinct()
+        .groupBy(*Q, "mem_id").agg(F.count(F.lit(1)).alias("hits"))
+    )
+
+
+def lexical_search(
+    queries: DataFrame, items: DataFrame, k: int = 10, schemas: DataFrame | None = None, vectors: DataFrame | None = None, dims: int = 50
+) -> DataFrame:
+    """Full token retrieval: scored candidates, substring supplement and fallbacks."""
+    tokens = query_tokens(queries)
+    if schemas is not None:
+        tokens = expand_with_schemas(tokens, schemas)
+    tokens = cut(tokens)
+    index = cut(item_index(items))
+    full = items.select("namespace", "mem_id", F.explode("tokens").alias("token"))
+    sizes = cp.namespace_size(items)
+    weights = cut(cp.token_weights(cp.token_df(full), sizes))
+    cands = cut(candidates(tokens, index, weights))
+    state = item_state(items)
+    sem = None if vectors is None else semantic_bonus(tokens, cands, items, vectors, weights, sizes, dims)
+    main = rank(lexical_score(cands), state, sem)
+    n_query = tokens.groupBy(*Q).agg(F.count(F.lit(1)).alias("n_query"))
+    matched_q = cands.select(*Q).distinct().withColumn("_any", F.lit(True))
+    extra = (
+        substring_hits(tokens, items).join(cands.select(*Q, "mem_id"), [*Q, "mem_id"], "left_anti")
+        .join(n_query, Q).join(state, ["namespace", "mem_id"]).join(matched_q, Q, "left")
+    )
+    share = F.col("hits") / F.greatest("n_query", F.lit(1))
+    supplement = share * 5.0 / F.sqrt(F.greatest("n_all", F.lit(1))) * F.col("chi") + F.col("thermo") * 0.01
+    alone = share * 10.0 * F.col("chi") + F.col("thermo") * 0.01
+    second = cut(extra.select(*Q, "mem_id", F.when(F.col("_any"), supplement).otherwise(alone).alias("score")))
+    both = main.unionByName(second)
+    # Queries without any hit fall back to the most stable items of their namespace.
+    silent = queries.select(*Q).join(matched_q, Q, "left_anti").join(second.select(*Q).distinct(), Q, "left_anti")
+    stable = top_k(
+        state.select("namespace", "mem_id", (F.col("thermo") * F.col("chi")).alias("score")),
+        ["namespace"], [F.desc("score"), F.asc("mem_id")], k,
+    ).drop("rank")
+    return top_k(both.unionByName(silent.join(stable, "namespace").select(*Q, "mem_id", "score")), Q, [F.desc("score"), F.asc("mem_id")], k)
+
+
+# --- entity search ---------------------------------------------------------
+
+
+def query_entities(queries: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Known entities named by a query: single tokens and longest compounds."""
+    names = mentions.select("namespace", "entity").distinct()
+    single = query_tokens(queries).select(*Q, F.col("token").alias("entity")).join(names, ["namespace", "entity"], "left_semi")
+    compound = names.where(F.col("entity").contains(" "))
+    lengths = [r[0] for r in compound.select(F.size(F.split("entity", " ")).alias("n")).distinct().limit(1024).collect()]
+    if not lengths:
+        return single
+    words = queries.select(*Q, tx.split_words(F.lower("text")).alias("_raw")).select(
+        *Q, F.transform("_raw", lambda w: tx.strip_punct(w)).alias("ws")
+    )
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(
+            starts,
+            lambda i: F.struct(
+                i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("ws", i, F.lit(n)), " ").alias("entity")
+            ),
+        )
+
+    grams = words.select(*Q, F.explode(F.flatten(F.array(*[runs(n) for n in sorted(lengths)]))).alias("g")).select(
+        *Q, "g.*"
+    )
+    hits = grams.join(compound, ["namespace", "entity"], "left_semi").groupBy(*Q).agg(
+        F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("m"), "entity"))).alias("hits")
+    )
+    # Left to right, longest first, without overlap; the list is as long as the query.
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("names"))
+    walked = F.aggregate(
+        "hits", start,
+        lambda acc, h: F.when(
+            h["pos"] >= acc["next"],
+            F.struct((h["pos"] - h["m"]).alias("next"), F.array_append(acc["names"], h["entity"]).alias("names")),
+        ).otherwise(acc),
+    )
+    chosen = hits.select(*Q, F.explode(F.array_distinct(walked["names"])).alias("entity"))
+    parts = chosen.select(*Q, F.explode(F.split("entity", " ")).alias("entity")).distinct()
+    return single.join(parts, [*Q, "entity"], "left_anti").unionByName(chosen).distinct()
+
+
+def coupling_of(found: DataFrame, edges: DataFrame, members: DataFrame, coherence: DataFrame) -> DataFrame:
+    """Coupling of the entity set of each query.
+
+    Two entities use their edge. Three or more use the coherence of a cluster that holds
+    all of them, else the mean over all pairs. Edges are met from one entity of the query,
+    then filtered on the other, so a query's pairs are never enumerated.
+    """
+    n = found.groupBy(*Q).agg(F.count(F.lit(1)).alias("n"))
+    a = found.withColumnRenamed("entity", "entity_a").join(edges.select("namespace", "entity_a", "entity_b", "coupling"), ["namespace", "entity_a"])
+    inside = a.join(found.withColumnRenamed("entity", "entity_b"), [*Q, "entity_b"], "left_semi")
+    pairs = inside.groupBy(*Q).agg(F.sum("coupling").alias("total"))
+    home = (
+        found.join(members, ["namespace", "entity"]).groupBy(*Q, "cluster").agg(F.count(F.lit(1)).alias("k"))
+        .join(n, Q).where("k = n AND n >= 3").join(coherence.select("namespace", "cluster", "coherence"), ["namespace", "cluster"])
+        .select(*Q, "cluster", "coherence")
+    )
+    mean = F.coalesce("total", F.lit(0.0)) / F.greatest(F.col("n") * (F.col("n") - 1) / 2, F.lit(1.0))
+    return n.join(pairs, Q, "left").join(home, Q, "left").select(*Q, "n", "cluster", F.coalesce("coherence", mean).alias("k_coupling"))
+
+
+def entity_search(found: DataFrame, tokens: DataFrame, items: DataFrame, mentions: DataFrame, idf: DataFrame, coupled: DataFrame) -> DataFrame:
+    """Per-entity gathering with bridge tokens; ``idf`` is global (token, idf)."""
+    sets = coupled.where("n >= 2")
+    own = found.join(sets.select(*Q), Q, "left_semi").join(mentions.select("namespace", "mem_id", "entity"), ["namespace", "entity"])
+    owned = own.groupBy(*Q, "mem_id").agg(F.count_distinct("entity").alias("owning"))
+    names = mentions.select("namespace", F.col("entity").alias("token")).distinct().withColumn("_node", F.lit(True))
+    own_names = found.select(*Q, F.explode(F.array_union(F.array("entity"), F.split("entity", " "))).alias("token")).distinct().withColumn("_own", F.lit(True))
+    tok = items.select("namespace", "mem_id", F.explode("tokens").alias("token"))
+    node = tok.join(names, ["namespace", "token"], "left")
+    seen = own.join(node, ["namespace", "mem_id"]).join(own_names, [*Q, "token"], "left").where("_own IS NULL AND _node IS NULL")
+    bridge = (
+        seen.groupBy(*Q, "token").agg(F.count_distinct("entity").alias("k")).join(sets.select(*Q, "n"), Q)
+        .where("k >= n").select(*Q, "token", F.lit(True).alias("_bridge"))
+    )
+    asked = (
+        tokens.select(*Q, "token").join(own_names, [*Q, "token"], "left_anti").join(names.drop("_node"), ["namespace", "token"], "left_anti")
+        .withColumn("_asked", F.lit(True))
+    )
+    rows = (
+        owned.join(tok, ["namespace", "mem_id"]).join(own_names, [*Q, "token"], "left")
+        .join(bridge, [*Q, "token"], "left").join(asked, [*Q, "token"], "left").join(idf.select("token", "idf"), "token")
+    )
+    b, f = F.coalesce("_bridge", F.lit(False)), F.coalesce("_asked", F.lit(False))
+    base = F.when(F.col("_own").isNull() & ~b & ~f, 1.0).otherwise(0.0)
+    gain = F.sum(F.col("idf") * (base + F.when(f, 2.0).otherwise(0.0) + F.when(b, 3.0).otherwise(0.0)))
+    mass = rows.groupBy(*Q, "mem_id", "owning").agg(gain.alias("mass"))
+    state = items.select("namespace", "mem_id", "strength", safe_energy(F.col("free_energy")).alias("fe"))
+    return mass.join(sets, Q).join(state, ["namespace", "mem_id"]).select(
+        *Q, "mem_id",
+        (F.col("owning") / F.col("n") * (1 + F.col("k_coupling")) * F.col("mass") * F.col("strength") - F.col("fe") / lx.KT).alias("score"),
+    )
+
+
+def shared_token_search(found: DataFrame, coupled: DataFrame, index: DataFrame, items: DataFrame, weights: DataFrame,
+                        spectrum: DataFrame, edges: DataFrame, cluster_spectrum: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Items holding the strongest shared tokens of the queried entities."""
+    from recallflow.operators.entities import shared_spectrum
+
+    two = found.join(coupled.where("n = 2").select(*Q, "k_coupling"), Q).groupBy(*Q, "k_coupling").agg(
+        F.min("entity").alias("entity_a"), F.max("entity").alias("entity_b")
+    ).where("k_coupling > 0")
+    joint = shared_spectrum(two.select("namespace", "entity_a", "entity_b").distinct(), spectrum)
+    all_shared = two.join(joint, ["namespace", "entity_a", "entity_b"])
+    best = top_k(all_shared, Q, [F.desc("weight"), F.asc("token")], 20)
+    idf = weights.select("namespace", "token", "idf")
+    state = items.select("namespace", "mem_id", "strength", safe_energy(F.col("free_energy")).alias("fe"))
+
+    def score(rows: DataFrame, info: str, k: str) -> DataFrame:
+        return rows.join(state, ["namespace", "mem_id"]).select(
+            *Q, "mem_id", (F.col(k) * F.col(info) * F.col("strength") - F.col("fe") / lx.KT).alias("score")
+        )
+
+    by_token = best.join(idf, ["namespace", "token"]).join(index, ["namespace", "token"]).groupBy(*Q, "mem_id", "k_coupling").agg(F.sum("idf").alias("info"))
+    ma = mentions.select("namespace", "mem_id", F.col("entity").alias("entity_a"))
+    mb = mentions.select("namespace", "mem_id", F.col("entity").alias("entity_b"))
+    together = two.join(ma, ["namespace", "entity_a"]).join(mb, ["namespace", "entity_b", "mem_id"])
+    tok = items.select("namespace", "mem_id", F.explode("tokens").alias("token")).join(idf, ["namespace", "token"])
+    mine = together.join(tok, ["namespace", "mem_id"]).join(all_shared.select(*Q, "token", F.lit(True).alias("_s")), [*Q, "token"], "left")
+    info = mine.groupBy(*Q, "mem_id", "k_coupling").agg(F.sum(F.when(F.col("_s"), F.col("idf"))).alias("s"), F.avg("idf").alias("m")).withColumn(
+        "info", F.when(F.coalesce("s", F.lit(0.0)) > 0, F.col("s")).otherwise(F.col("m"))
+    )
+    # The mean-idf fallback needs shared tokens to exist on the edge at all.
+    info = info.join(all_shared.select(*Q).distinct(), Q, "left_semi")
+    many = coupled.where("n >= 3 AND cluster IS NOT NULL").join(cluster_spectrum, ["namespace", "cluster"])
+    top = top_k(many, Q, [F.desc("weight"), F.asc("token")], 20)
+    by_cluster = top.join(idf, ["namespace", "token"]).join(index, ["namespace", "token"])
+    out = score(by_token, "info", "k_coupling").unionByName(score(info, "info", "k_coupling")).unionByName(score(by_cluster, "idf", "k_coupling"))
+    return out.groupBy(*Q, "mem_id").agg(F.max("score").alias("score"))
+
+
+def fuse(entity_hits: DataFrame, lexical_hits: DataFrame, k: int) -> DataFrame:
+    """Maximum per item; positive entity scores count double."""
+    boosted = F.when(F.col("score") > 0, F.col("score") * 2).otherwise(F.col("score"))
+    rows = entity_hits.select(*Q, "mem_id", boosted.alias("score")).unionByName(lexical_hits.select(*Q, "mem_id", "score"))
+    best = rows.groupBy(*Q, "mem_id").agg(F.max("score").alias("score"))
+    return top_k(best, Q, [F.desc("score"), F.asc("mem_id")], k)
+
+
+# --- vectors ---------------------------------------------------------------
+
+BLOCK_QUERIES = 2048
+
+
+def knn(query_vectors: DataFrame, items: DataFrame, k: int = 10, min_confidence: float = 0.0) -> DataFrame:
+    """Exact cosine neighbours within the namespace.
+
+    Queries are read in hashed blocks of about BLOCK_QUERIES rows, the only data sent to
+    every task. Each task scores its items by matrix products and keeps ``k`` per query,
+    so no (query, item) pair leaves a task unless it is among the best of that task.
+    """
+    spark = items.sparkSession
+    n = query_vectors.count()
+    blocks = max(1, -(-n // BLOCK_QUERIES))
+    pool = items.where((F.col("confidence") >= min_confidence) & F.col("vec").isNotNull()).select("namespace", "mem_id", "vec")
+    qtype = dict(query_vectors.dtypes)["query_id"]
+    schema = f"query_id {qtype}, namespace string, mem_id {dict(items.dtypes)['mem_id']}, similarity double"
+    out = None
+    for b in range(blocks):
+        part = query_vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(*Q, "vec").toPandas()
+        if part.empty:
+            continue
+        sent = spark.sparkContext.broadcast(
+            {ns: (g["query_id"].to_numpy(), _unit_rows(np.vstack(g["vec"].to_numpy()))) for ns, g in part.groupby("namespace")}
+        )
+        hits = pool.where(F.col("namespace").isin(sorted(part["namespace"].unique()))).mapInPandas(_best_of(sent, k), schema)
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return top_k(out, Q, [F.desc("similarity"), F.asc("mem_id")], k)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(length < 1e-12, 0.0, m / np.where(length < 1e-12, 1.0, length))
+
+
+def _best_of(sent, k: int):
+    def run(batches):
+        for pdf in batches:
+            frames = []
+            for ns, g in pdf.groupby("namespace"):
+                if ns not in sent.value:
+                    continue
+                ids, q = sent.value[ns]
+                sims = q @ _unit_rows(np.vstack(g["vec"].to_numpy())).T
+                mem = g["mem_id"].to_numpy()
+                # Ties at the k-th place keep the smaller id.
+                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(mem)), sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(ids)), order.shape[1])
+                cols = order.ravel()
+                frames.append(pd.DataFrame({"query_id": ids[rows], "namespace": ns, "mem_id": mem[cols], "similarity": sims[rows, cols]}))
+            if frames:
+                yield pd.concat(frames, ignore_index=True)
+
+    return run
+
+
+def cells_for(n_rows: int) -> int:
+    """Number of index cells by table size."""
+    if n_rows >= 1_000_000:
+        return 2000
+    if n_rows >= 100_000:
+        return 1000
+    return 316 if n_rows >= 10_000 else 100
+
+
+def train_cells(items: DataFrame, n_cells: int, seed: int = 42):
+    """Centroids of an inverted-file index, trained by distributed k-means on unit vectors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    data = items.select(array_to_vector(vx.unit(F.col("vec"))).alias("features"))
+    return KMeans(k=n_cells, seed=seed, maxIter=10).fit(data)
+
+
+def assign_cells(items: DataFrame, model) -> DataFrame:
+    """Add the index cell of every vector."""
+    from pyspark.ml.functions import array_to_vector
+
+    out = model.transform(items.withColumn("features", array_to_vector(vx.unit(F.col("vec")))))
+    return out.withColumnRenamed("prediction", "cell").drop("features")
+
+
+def knn_approx(query_vectors: DataFrame, celled: DataFrame, model, k: int = 10, probes: int = 10) -> DataFrame:
+    """Neighbours from the ``probes`` cells nearest to each query, scored exactly."""
+    centers = _unit_rows(np.vstack(model.clusterCenters()))
+
+    @F.pandas_udf("array<int>")
+    def nearest(vecs: pd.Series) -> pd.Series:
+        sims = _unit_rows(np.vstack(vecs.to_numpy())) @ centers.T
+        return pd.Series(list(np.argsort(-sims, axis=1)[:, :probes].astype(np.int32)))
+
+    q = query_vectors.select(*Q, F.col("vec").alias("_q"), F.explode(nearest("vec")).alias("cell"))
+    hits = q.join(celled.select("namespace", "mem_id", "vec", "cell"), ["namespace", "cell"])
+    sims = hits.select(*Q, "mem_id", vx.cosine(F.col("_q"), F.col("vec")).alias("similarity"))
+    return top_k(sims, Q, [F.desc("similarity"), F.asc("mem_id")], k)
+
+
+# --- re-ranking ------------------------------------------------------------
+
+
+def semantic_rerank(hits: DataFrame, similarity: Column, alpha: Column | float = 0.4) -> DataFrame:
+    """Blend min-max normalised scores with a non-negative similarity, per query."""
+    w = W.partitionBy(*Q)
+    top, low = F.max("score").over(w), F.min("score").over(w)
+    a = F.when(top < 0.05, 0.85).otherwise(alpha if isinstance(alpha, Column) else F.lit(alpha))
+    spread = F.when(top == low, 1.0).otherwise(top - low)
+    sim = F.greatest(F.lit(0.0), F.coalesce(similarity, F.lit(0.0)))
+    return hits.withColumn("score", (1 - a) * (F.col("score") - low) / spread + a * sim)
+
+
+def choose_alpha(query_text: Column, top_text: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(F.coalesce(top_text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    return F.when(F.arrays_overlap(tx.meaningful_tokens(query_text), words), 0.4).otherwise(0.85)
+
+
+def time_filter(hits: DataFrame) -> DataFrame:
+    """Keep hits inside the inclusive bounds (``tf_start``, ``tf_end``); unknown dates stay."""
+    e = F.col("event_at")
+    low = F.col("tf_start").isNull() | (e >= F.col("tf_start"))
+    high = F.col("tf_end").isNull() | (e <= F.col("tf_end"))
+    return hits.where(e.isNull() | (low & high))
+
+
+def recency_blend(hits: DataFrame, as_of: str) -> DataFrame:
+    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("event_at")) / 86400e6
+    days = F.when(F.col("event_at").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), age))
+    fresh = F.exp(-days * lx.LN2 / F.greatest("tf_half_life", F.lit(1.0)))
+    a = F.col("tf_alpha")
+    return hits.withColumn("score", (1 - a) * F.col("score") + a * fresh)
+
+
+def embedding_rescue(hits: DataFrame, query_vectors: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Put pure vector hits first where a query has no hit or a schema on top."""
+    ranked = top_k(hits, Q, [F.desc("score"), F.asc("mem_id")], 1)
+    fine = ranked.where("NOT is_schema").select(*Q)
+    need = query_vectors.join(fine, Q, "left_anti")
+    plain = items.where((F.col("strength") >= lx.STRENGTH_FLOOR) & ~F.col("is_schema"))
+    found = knn(need, plain, k).select(*Q, "mem_id", (F.col("similarity") * 10).alias("score"), F.lit(False).alias("is_schema"))
+    new = found.join(hits.where("NOT is_schema").select(*Q, "mem_id"), [*Q, "mem_id"], "left_anti")
+    return hits.select(*Q, "mem_id", "score", "is_schema").withColumn("rescued", F.lit(False)).unionByName(new.withColumn("rescued", F.lit(True)))
+
+
+# --- results ---------------------------------------------------------------
+
+
+def context_block(hits: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """One text per query: strength lines in rank order, optional excerpts."""
+    size = F.when(F.col("member_ids").isNotNull(), F.size("member_ids")) if "member_ids" in hits.columns else F.lit(None).cast("int")
+    kind = F.when(F.col("phase") == "glass", "glass").otherwise("schema")
+    line = F.when(
+        size.isNotNull(), F.format_string("- [strength=%.2f, %s, %d memories] %s", "strength", kind, size, "text")
+    ).otherwise(F.format_string("- [strength=%.2f] %s", "strength", "text"))
+    body = hits.groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))).alias("ls")).select(
+        *Q, F.concat(F.lit("Memory (strongest recall first):\n"), F.array_join(F.transform("ls", lambda s: s["l"]), "\n")).alias("context")
+    )
+    if details is None:
+        return body
+    more = details.groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("ds")).select(
+        *Q, F.concat(F.lit("\n\nDetailed conversation excerpts:\n"), F.array_join(F.transform("ds", lambda s: F.concat(F.lit("  - "), s["text"])), "\n")).alias("_more")
+    )
+    return body.join(more, Q, "left").select(*Q, F.concat("context", F.coalesce("_more", F.lit(""))).alias("context"))
+
+
+def search_details(hits: DataFrame, archive: DataFrame, items: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """Archived members of hit schemas, and archived items sharing a query token."""
+    members = hits.select(*Q, F.col("mem_id").alias("schema_id")).join(archive.select("schema_id", "mem_id", "namespace"), ["namespace", "schema_id"]).select(*Q, "mem_id")
+    kept = archive.select("namespace", "mem_id").distinct().join(items.select("namespace", "mem_id", "tokens"), ["namespace", "mem_id"])
+    by_token = query_tokens(queries).join(kept.select("namespace", "mem_id", F.explode("tokens").alias("token")), ["namespace", "token"]).select(*Q, "mem_id")
+    found = members.unionByName(by_token).distinct().join(items.select("namespace", "mem_id", "seq", "text"), ["namespace", "mem_id"])
+    return top_k(found, Q, [F.asc("seq")], k)
+
+
+def quality_tiers(hits: DataFrame, k: int) -> DataFrame:
+    """Statements first, then usable schema texts, then questions; poor schemas go."""
+    t = F.col("text")
+    schema = t.startswith("[Schema:")
+    words = tx.split_words(F.regexp_replace(t, r"^[^\]]*\]", ""))
+    usable = F.exists(words, lambda w: F.length(w) > 5) & (F.size(words) > 3)
+    tier = F.when(schema, F.when(usable, 1)).when(F.rtrim(t).endswith("?"), 2).otherwise(0)
+    return top_k(hits.withColumn("tier", tier).where("tier IS NOT NULL").drop("rank"), Q, [F.asc("tier"), F.desc("score"), F.asc("mem_id")], k)
+
+
+def merge_cross_session(cross: DataFrame, deep: DataFrame, k: int) -> DataFrame:
+    """First max(2, 40 % of k) cross-session hits, the rest from deep memory."""
+    share = max(2, k * 4 // 10)
+    c = cross.where(F.col("rank") <= share).select(*Q, "text", "rank", F.lit(0).alias("src"))
+    used = c.groupBy(*Q).agg(F.count(F.lit(1)).alias("_c"))
+    d = deep.join(used, Q, "left").where(F.col("rank") <= k - F.coalesce("_c", F.lit(0))).select(*Q, "text", "rank", F.lit(1).alias("src"))
+    both = c.unionByName(d).withColumnRenamed("rank", "_r")
+    return top_k(both, Q, [F.asc("src"), F.asc("_r")], k).drop("_r")
+
+
+def relevance_digest(hits: DataFrame, min_score: float = 0.15, n: int = 5) -> DataFrame:
+    """Best distinct texts per query over all namespaces."""
+    t = F.trim("text")
+    ok = hits.where((F.col("score") >= min_score) & (F.length(t) >= 8)).withColumn("_low", F.lower(t))
+    one = top_k(ok.drop("rank"), ["query_id", "_low"], [F.desc("score"), F.asc("mem_id")], 1, "_r").drop("_r")
+    return top_k(one.drop("_low"), ["query_id"], [F.desc("score"), F.asc("mem_id")], n)
+
+
+def multi_hop(first: DataFrame, queries: DataFrame, items: DataFrame, search, k: int) -> DataFrame:
+    """Second pass with up to eight words of the three best texts; new hits count 90 %."""
+    best = first.where(F.col("rank") <= 3).join(items.select("namespace", "mem_id", "text"), ["namespace", "mem_id"])
+    text = best.groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("t")).select(
+        *Q, F.array_join(F.transform("t", lambda s: s["text"]), " ").alias("joined")
+    )
+    proper = F.transform(F.regexp_extract_all("joined", F.lit(r"(?:(?<=[.!?]\s)|(?<= ))([A-Z][a-z]{2,})"), 1), lambda w: F.lower(w))
+    plain = F.filter(F.regexp_extract_all(F.lower("joined"), F.lit(r"\b([a-zA-Z]{4,})\b"), 1), lambda w: ~w.isin(lx.HOP_STOP_WORDS))
+    extra = text.select(*Q, F.array_join(F.slice(F.array_distinct(F.concat(proper, plain)), 1, 8), " ").alias("extra")).where("extra <> ''")
+    again = queries.join(extra, Q).withColumn("text", F.concat_ws(" ", "text", "extra")).drop("extra")
+    second = search(again).select(*Q, "mem_id", (F.col("score") * 0.9).alias("score"))
+    new = second.join(first.select(*Q, "mem_id"), [*Q, "mem_id"], "left_anti")
+    return top_k(first.select(*Q, "mem_id", "score").unionByName(new), Q, [F.desc("score"), F.asc("mem_id")], k)
+
+
+def browse(items: DataFrame, model: str | None = None, category: str | None = None, label: str | None = None,
+           layer: str | None = None, sort: str = "ts", descending: bool = True) -> DataFrame:
+    """Filtered listing ordered by one of ts, strength, category, model, phase."""
+    out = items.where((F.col("phase") != "gas") & ~F.ltrim("text").startswith("[Schema:"))
+    if model:
+        out = out.where(F.col("source_model") == model)
+    if category:
+        out = out.where(F.col("category") == category)
+    if label:
+        out = out.where(F.array_contains("labels", label))
+    if layer:
+        out = out.where(F.col("layer") == layer)
+    order = {"gas": 0, "liquid": 1, "solid": 2, "glass": 3}
+    phase = F.coalesce(*[F.when(F.col("phase") == p, v) for p, v in order.items()], F.lit(1))
+    key = {"strength": F.col("strength"), "category": F.col("category"), "model": F.col("source_model"), "phase": phase}.get(sort, F.col("ts"))
+    return out.orderBy(key.desc() if descending else key.asc(), F.asc("seq"))
+
+
+def layer_of(phase: Column) -> Column:
+    return F.when(phase == "gas", "L0").when(phase == "solid", "L2").when(phase == "glass", "L3").otherwise("L1")
+
+
+def facets(items: DataFrame) -> DataFrame:
+    """Counts per model, category and layer in one pass."""
+    kinds = F.explode(F.array(
+        F.struct(F.lit("model").alias("facet"), F.col("source_model").alias("value")),
+        F.struct(F.lit("category").alias("facet"), F.col("category").alias("value")),
+        F.struct(F.lit("layer").alias("facet"), F.col("layer").alias("value")),
+    ))
+    return items.select(kinds.alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_counts(items: DataFrame) -> DataFrame:
+    return items.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rename_label(items: DataFrame, old: str, new: str) -> DataFrame:
+    return items.withColumn("labels", F.array_distinct(F.transform("labels", lambda x: F.when(x == old, new).otherwise(x))))
+
+
+def drop_label(items: DataFrame, label: str) -> DataFrame:
+    return items.withColumn("labels", F.array_remove("labels", label))
+
+
+def profile(hits: DataFrame) -> DataFrame:
+    """Facts, five-fact summary and count per namespace from the hits of fixed queries."""
+    one = top_k(hits, ["namespace", "text"], [F.asc("rank"), F.asc("query_id")], 1, "_r")
+    rows = top_k(one.drop("_r"), ["namespace"], [F.asc("rank"), F.asc("query_id"), F.asc("text")], 20, "_p")
+    return rows.groupBy("namespace").agg(F.sort_array(F.collect_list(F.struct("_p", "text"))).alias("f")).select(
+        "namespace", F.transform("f", lambda s: s["text"]).alias("facts"),
+        F.array_join(F.transform(F.slice("f", 1, 5), lambda s: s["text"]), "; ").alias("summary"),
+        F.size("f").alias("n"),
+    )
+
+
+def conversation_window(messages: DataFrame, n: int = 6) -> DataFrame:
+    """Last ``n`` turns of a session as labelled lines."""
+    last = top_k(messages.where(F.col("role").isin("user", "assistant")), ["session_id"], [F.desc("sequence_num")], n)
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), "content")
+    return last.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("sequence_num", line.alias("l")))).alias("ls")).select(
+        "session_id", F.array_join(F.transform("ls", lambda s: s["l"]), "\n").alias("window")
+    )
+
+
+def personal_facts(memories: DataFrame, limit: int = 20) -> DataFrame:
+    """Newest plain statements per namespace."""
+    t = F.col("text")
+    plain = memories.where(
+        F.length(t).between(8, 300) & ~t.startswith("[") & ~t.endswith("?") & ~t.startswith("Stop hook") & ~t.startswith("You said")
+    )
+    return top_k(plain, ["namespace"], [F.desc("seq")], limit)
