@@ -162,7 +162,7 @@ def _recalled(spark, sf):
     asks = p.where("role = 'user'").select(F.concat_ws("/", "session_id", "sequence_num").alias("query_id"), "namespace", "session_id", F.col("content").alias("text"))
     idf = cut(_idf(spark, sf))
     c = cut(ss.session_coupling(_spectrum(spark, sf), asks))
-    return ss.cross_session_recall(asks, p, idf, c, "2024-01-01 08:00:00", 10)
+    return ss.cross_session_recall(asks, p, idf, c, "2024-01-01 08:00:00", 10, k_critical=0.01)
 
 
 _RECALL = """ring AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, sequence_num DESC) AS r FROM p) WHERE r <= 50 AND role = 'user'
@@ -170,8 +170,8 @@ _RECALL = """ring AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s
 ask AS (SELECT session_id || '/' || sequence_num AS query_id, namespace, session_id, sequence_num FROM p WHERE role = 'user'),
 cc AS (SELECT namespace, session_a, session_b, coupling FROM co UNION ALL SELECT namespace, session_b, session_a, coupling FROM co),
 qt AS (SELECT query_id, a.namespace, a.session_id, token, count(*) OVER (PARTITION BY query_id) AS nq FROM ask a JOIN tok t ON t.session_id = a.session_id AND t.sequence_num = a.sequence_num),
-rs AS (SELECT query_id, g.session_id, g.sequence_num, sum(idf) / sqrt(max(nq)) * max(coupling) / 0.15 * exp(-max(date_diff('second', g.created_at, TIMESTAMP '2024-01-01 08:00:00')) / 300.0::DOUBLE) AS score
-  FROM qt q JOIN cc ON cc.namespace = q.namespace AND cc.session_a = q.session_id AND coupling >= 0.15 JOIN ring g ON g.namespace = q.namespace AND g.session_id = cc.session_b
+rs AS (SELECT query_id, g.session_id, g.sequence_num, sum(idf) / sqrt(max(nq)) * max(coupling) / 0.01 * exp(-max(date_diff('second', g.created_at, TIMESTAMP '2024-01-01 08:00:00')) / 300.0::DOUBLE) AS score
+  FROM qt q JOIN cc ON cc.namespace = q.namespace AND cc.session_a = q.session_id AND coupling >= 0.01 JOIN ring g ON g.namespace = q.namespace AND g.session_id = cc.session_b
   JOIN ht h ON h.session_id = g.session_id AND h.sequence_num = g.sequence_num AND h.token = q.token JOIN idf ON idf.namespace = q.namespace AND idf.token = q.token GROUP BY 1, 2, 3)"""
 
 
@@ -357,7 +357,7 @@ def jobs_embedding_sync(spark, sf):
 
     old = ad.user_vectors(spark, sf)
     out = embedding_sync(_uv(spark, sf), old, _syn(spark, sf).limit(0), old, 1e6, 64)
-    return out["drift"].select("user_id", "token", F.round("drift", 6).alias("drift"))
+    return out["generations"].select("token", "contributors", F.round("total_weight", 6).alias("total_weight"))
 
 
 @query("jobs_sleep_cycle")
