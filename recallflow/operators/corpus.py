@@ -20,10 +20,17 @@ CMS_DEPTH = 4
 
 
 def item_tokens(items: DataFrame, text: str = "text", key: str = "mem_id") -> DataFrame:
-    """(namespace, key, token, n_tokens): one row per distinct token of an item."""
+    """(namespace, key, token, n_tokens): one row per distinct token of an item.
+
+    Outer explode plus a null filter, here and wherever an array is computed from text: the
+    optimizer answers an inner explode with a "size > 0" filter below it and would tokenise
+    every text twice.
+    """
     t = items.select("namespace", key, tx.token_set(F.col(text)).alias("_t"))
-    return t.select(
-        "namespace", key, F.explode("_t").alias("token"), F.size("_t").alias("n_tokens")
+    # The length is fixed before the explode, so the array itself is not copied per token.
+    sized = t.withColumn("n_tokens", F.size("_t"))
+    return sized.select("namespace", key, F.explode_outer("_t").alias("token"), "n_tokens").where(
+        F.col("token").isNotNull()
     )
 
 
@@ -80,7 +87,7 @@ def cooccurrence_all(items: DataFrame, text: str = "text") -> DataFrame:
     use :func:`cooccurrence_window`, whose pair count is linear.
     """
     t = items.select("namespace", F.array_sort(tx.token_set(F.col(text))).alias("t"))
-    head = t.select("namespace", "t", F.posexplode("t").alias("i", "token_a"))
+    head = t.select("namespace", "t", F.posexplode_outer("t").alias("i", "token_a")).where(F.col("i").isNotNull())
     pairs = head.select(
         "namespace",
         "token_a",
@@ -92,7 +99,7 @@ def cooccurrence_all(items: DataFrame, text: str = "text") -> DataFrame:
 def cooccurrence_window(items: DataFrame, window: int = 5, text: str = "text") -> DataFrame:
     """Counts of pairs of each token with the ``window`` tokens before it (index order)."""
     t = items.select("namespace", tx.tokenize(F.col(text)).alias("t"))
-    head = t.select("namespace", "t", F.posexplode("t").alias("i", "tok"))
+    head = t.select("namespace", "t", F.posexplode_outer("t").alias("i", "tok")).where(F.col("i").isNotNull())
     start = F.greatest(F.col("i") - window, F.lit(0))
     near = head.select(
         "namespace", "tok", F.explode(F.slice("t", start + 1, F.col("i") - start)).alias("prev")

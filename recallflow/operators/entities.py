@@ -27,7 +27,7 @@ def item_entities() -> Column:
 
 def entity_mentions(items: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(namespace, mem_id, seq, entity), one row per distinct entity of an item."""
-    m = items.select("namespace", "mem_id", "seq", F.explode(item_entities()).alias("entity"))
+    m = items.select("namespace", "mem_id", "seq", F.explode_outer(item_entities()).alias("entity")).where("entity IS NOT NULL")
     return m if aliases is None else resolve_alias(m, aliases).distinct()
 
 
@@ -36,8 +36,8 @@ def _free_tokens(items: DataFrame) -> DataFrame:
     names = item_entities()
     parts = F.flatten(F.transform(names, lambda e: F.split(e, " ")))
     return items.select(
-        "namespace", "mem_id", F.explode(F.array_except("tokens", F.array_union(names, parts))).alias("token")
-    )
+        "namespace", "mem_id", F.explode_outer(F.array_except("tokens", F.array_union(names, parts))).alias("token")
+    ).where("token IS NOT NULL")
 
 
 def entity_spectrum(items: DataFrame, mentions: DataFrame, idf: DataFrame) -> DataFrame:

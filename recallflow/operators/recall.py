@@ -25,9 +25,12 @@ Q = ["query_id", "namespace"]
 
 def item_index(items: DataFrame) -> DataFrame:
     """Posting rows (namespace, mem_id, token, n_tokens) of the tokens within reach."""
-    return items.select(
+    near = items.select(
         "namespace", "mem_id", F.size("tokens").alias("n_tokens"),
-        F.explode(field_radius(F.col("tokens"), F.col("strength"))).alias("token"),
+        field_radius(F.col("tokens"), F.col("strength")).alias("_near"),
+    )
+    return near.select("namespace", "mem_id", "n_tokens", F.explode_outer("_near").alias("token")).where(
+        F.col("token").isNotNull()
     )
 
 
@@ -42,9 +45,8 @@ def item_state(items: DataFrame) -> DataFrame:
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
-    return queries.select(*Q, F.explode(tx.token_set(F.col("text"))).alias("token")).withColumn(
-        "inferred", F.lit(False)
-    )
+    t = queries.select(*Q, F.explode_outer(tx.token_set(F.col("text"))).alias("token"))
+    return t.where(F.col("token").isNotNull()).withColumn("inferred", F.lit(False))
 
 
 def expand_with_schemas(tokens: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -111,7 +113,9 @@ def substring_hits(tokens: DataFrame, items: DataFrame) -> DataFrame:
     A token holds no white space, so it lies inside one word. The vocabulary (not the
     texts) is expanded into pieces as long as a query token and met by equality.
     """
-    words = items.select("namespace", "mem_id", F.explode(F.array_distinct(tx.split_words(F.lower("text")))).alias("word"))
+    words = items.select(
+        "namespace", "mem_id", F.explode_outer(F.array_distinct(tx.split_words(F.lower("text")))).alias("word")
+    ).where(F.col("word").isNotNull())
     lengths = tokens.select(F.length("token").alias("n")).distinct().orderBy("n")
     sizes = [r["n"] for r in lengths.limit(1024).collect()]
     if not sizes:
@@ -128,7 +132,9 @@ def substring_hits(tokens: DataFrame, items: DataFrame) -> DataFrame:
         return F.when(F.length("part") >= n, every).otherwise(F.array().cast("array<string>"))
 
     cuts = F.flatten(F.array(*[windows(n) for n in sizes]))
-    pieces = stretch.select("namespace", "word", F.explode(F.array_distinct(cuts)).alias("token"))
+    pieces = stretch.select("namespace", "word", F.explode_outer(F.array_distinct(cuts)).alias("token")).where(
+        F.col("token").isNotNull()
+    )
     found = tokens.select(*Q, "token").join(pieces, ["namespace", "token"]).select(*Q, "token", "word").distinct()
     return (
         found.join(words, ["namespace", "word"]).select(*Q, "mem_id", "token").distinct()

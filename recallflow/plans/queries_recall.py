@@ -43,7 +43,7 @@ def _weights(items):
 
 def _scored(spark, sf):
     items = _tokens(spark, sf)
-    index = items.select("namespace", "mem_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
+    index = rc.item_index(items.withColumn("strength", F.lit(1.0)))
     return rc.lexical_score(rc.candidates(rc.query_tokens(ad.queries(spark, sf)), index, cut(_weights(items))))
 
 

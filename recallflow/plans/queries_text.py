@@ -34,7 +34,7 @@ def text_clean_words(spark, sf):
           o.tokens("tok", "documents", "doc_id")),
 )
 def text_tokens(spark, sf):
-    t = _docs(spark, sf).select("doc_id", F.explode(tx.token_set(F.col("text"))).alias("token"))
+    t = _docs(spark, sf).select("doc_id", F.explode_outer(tx.token_set(F.col("text"))).alias("token")).where("token IS NOT NULL")
     return t.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum(F.length("token")).alias("chars"),
         F.min("token").alias("lo"), F.max("token").alias("hi"),
@@ -59,7 +59,7 @@ def text_tokens_ordered(spark, sf):
           f"(SELECT unnest({o.words('text')}) AS w FROM documents) GROUP BY 1, 2"),
 )
 def text_normalized_tokens(spark, sf):
-    w = _docs(spark, sf).select(F.explode(tx.clean_words(F.lower("text"))).alias("word"))
+    w = _docs(spark, sf).select(F.explode_outer(tx.clean_words(F.lower("text"))).alias("word")).where("word IS NOT NULL")
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "normal", tx.normalize_token(F.col("word"))
     )
@@ -99,8 +99,8 @@ _STRIPPED = f"regexp_replace(w, '{o.EDGE}', '', 'g')"
 )
 def text_entities(spark, sf):
     return _docs(spark, sf).select(
-        "doc_id", F.explode(tx.extract_entities(F.col("text"))).alias("entity")
-    )
+        "doc_id", F.explode_outer(tx.extract_entities(F.col("text"))).alias("entity")
+    ).where("entity IS NOT NULL")
 
 
 _SRV = "lower(concat_ws(' ', subject, relation, value))"
@@ -219,7 +219,7 @@ _BARE = (
       (SELECT doc_id, unnest({_LINES}) AS s FROM documents)) WHERE length(line) > 8 GROUP BY 1, 2""",
 )
 def text_split_document(spark, sf):
-    lines = _docs(spark, sf).select("doc_id", F.explode(tx.split_document(F.col("text"))).alias("line"))
+    lines = _docs(spark, sf).select("doc_id", F.explode_outer(tx.split_document(F.col("text"))).alias("line")).where("line IS NOT NULL")
     return lines.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -302,7 +302,7 @@ _STEM = """CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN left(t, length(t) - 3)
       (SELECT unnest({_MEAN}) AS t FROM documents) GROUP BY 1, 2""",
 )
 def text_event_stems(spark, sf):
-    t = _docs(spark, sf).select(F.explode(tx.meaningful_tokens(F.col("text"))).alias("token"))
+    t = _docs(spark, sf).select(F.explode_outer(tx.meaningful_tokens(F.col("text"))).alias("token")).where("token IS NOT NULL")
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).withColumn(
         "stem", tx.light_stem(F.col("token"))
     )

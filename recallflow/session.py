@@ -47,6 +47,17 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split a scan that has fewer partitions than the cluster has cores.
+
+    Text functions are CPU-bound, and a small file may be one row group and thus one task.
+    A large table already has more partitions than cores and is returned untouched, so no
+    shuffle is ever added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files.
 

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallflow.session import spread
+
 EPOCH_2024 = 1704067200
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,7 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _s(prefix: str, col: Column | str) -> Column:

@@ -76,8 +76,8 @@ def session_topics(prompts: DataFrame, idf: DataFrame) -> DataFrame:
     """
     tokens = prompts.select(
         "namespace", "session_id", "sequence_num", "created_at",
-        F.explode(tx.token_set(F.substring("content", 1, 2000))).alias("token"),
-    ).join(idf.select("namespace", "token", "idf"), ["namespace", "token"])
+        F.explode_outer(tx.token_set(F.substring("content", 1, 2000))).alias("token"),
+    ).where("token IS NOT NULL").join(idf.select("namespace", "token", "idf"), ["namespace", "token"])
     keyed = tokens.withWatermark("created_at", "2 hours")
     fade = math.exp(-1.0 / TAU_TOPIC)
 
