@@ -311,8 +311,8 @@ def dead_letter_digest(letters: DataFrame, batch: int = 50, shown: int = 10) ->
     )
 
 
-def pipeline_checks(letters: DataFrame, findings: DataFrame, events: DataFrame, canary_key: str, as_of: str) -> DataFrame:
-    """One row per data-quality check of the metering pipeline."""
+def metering_checks(letters: DataFrame, findings: DataFrame, events: DataFrame, canary_key: str, as_of: str) -> DataFrame:
+    """One row per data-quality check of the metering tables."""
     cutoff = F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 3 MINUTES")
     dead = letters.agg(
         F.count(F.when(F.col("notified_at").isNull() & (F.col("failed_at") < cutoff), 1)).alias("stuck"),

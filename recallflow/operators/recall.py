@@ -116,8 +116,8 @@ def substring_hits(tokens: DataFrame, items: DataFrame) -> DataFrame:
     words = items.select(
         "namespace", "mem_id", F.explode_outer(F.array_distinct(tx.split_words(F.lower("text")))).alias("word")
     ).where(F.col("word").isNotNull())
-    lengths = tokens.select(F.length("token").alias("n")).distinct().orderBy("n")
-    sizes = [r["n"] for r in lengths.limit(1024).collect()]
+    # Distinct lengths of query tokens: a few dozen numbers, set by the queries alone.
+    sizes = sorted(r["n"] for r in tokens.select(F.length("token").alias("n")).distinct().collect())
     if not sizes:
         return tokens.select(*Q, F.lit("").alias("mem_id"), F.lit(0).cast("bigint").alias("hits")).limit(0)
     # Very long words are read in overlapping stretches to stay linear.
@@ -186,12 +186,15 @@ def query_entities(queries: DataFrame, mentions: DataFrame) -> DataFrame:
     names = mentions.select("namespace", "entity").distinct()
     single = query_tokens(queries).select(*Q, F.col("token").alias("entity")).join(names, ["namespace", "entity"], "left_semi")
     compound = names.where(F.col("entity").contains(" "))
-    lengths = [r[0] for r in compound.select(F.size(F.split("entity", " ")).alias("n")).distinct().limit(1024).collect()]
-    if not lengths:
-        return single
     words = queries.select(*Q, tx.split_words(F.lower("text")).alias("_raw")).select(
         *Q, F.transform("_raw", lambda w: tx.strip_punct(w)).alias("ws")
     )
+    # A name longer than the longest query cannot occur in one, which bounds the lengths.
+    longest = words.agg(F.max(F.size("ws"))).first()[0] or 0
+    n_words = F.size(F.split("entity", " "))
+    lengths = [r["n"] for r in compound.where(n_words <= longest).select(n_words.alias("n")).distinct().collect()]
+    if not lengths:
+        return single
     def runs(n: int) -> Column:
         starts = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(
             F.array().cast("array<int>")

@@ -1,4 +1,4 @@
-"""DuckDB text of the canonical tables and token pipeline, for result checks."""
+"""DuckDB text of the canonical tables and of tokenisation, for result checks."""
 
 from __future__ import annotations
 

@@ -204,15 +204,15 @@ def metering_dead_letter_digest(spark, sf):
 
 
 @query(
-    "metering_pipeline_checks",
+    "metering_checks",
     o.sql("usage_events requests", f"""SELECT 'dead_letter.clean' AS "check", n = 0 AS ok, n AS count FROM (SELECT count(*) AS n FROM letters
       WHERE notified_at IS NULL AND failed_at < TIMESTAMP '{AS_OF}' - INTERVAL 3 MINUTE)
       UNION ALL SELECT 'dead_letter.recent', true, count(*) FROM letters WHERE failed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 MINUTE
       UNION ALL SELECT 'reconciler.drift', count(*) = 0, count(*) FROM find
       UNION ALL SELECT 'writer.roundtrip', count(*) = 1, count(*) FROM usage_events WHERE idempotency_key = 'e1'""", _LET, _COUNT),
 )
-def metering_pipeline_checks(spark, sf):
-    return mt.pipeline_checks(_letters(spark, sf), _findings(spark, sf), ad.usage_events(spark, sf), "e1", AS_OF)
+def metering_checks(spark, sf):
+    return mt.metering_checks(_letters(spark, sf), _findings(spark, sf), ad.usage_events(spark, sf), "e1", AS_OF)
 
 
 _UC = "CASE event_type WHEN 'write' THEN 0.0001 WHEN 'encode' THEN 0.0001 WHEN 'read' THEN 0.00005 WHEN 'search' THEN 0.0001 WHEN 'delete' THEN 0.00001 ELSE 0 END::DOUBLE"
