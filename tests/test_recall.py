@@ -13,6 +13,7 @@ from recallflow.operators import recall as rc
 from recallflow.operators import schemas as sc
 from recallflow.operators import strength as st
 from recallflow.operators import threads as th
+from recallflow.session import cut
 from recallflow.sources import adapters as ad
 
 FACTS = [
@@ -31,7 +32,7 @@ def _ask(spark, *texts):
 
 
 def test_known_facts_are_in_the_top_five(spark):
-    state = _memory(spark, FACTS).cache()
+    state = cut(_memory(spark, FACTS))
     hits = rc.lexical_search(_ask(spark, "How old is Alice?", "Where did Bob move?", "who is the husband of Dana", "zzzz qqqq"), state, 5)
     got = {}
     for r in hits.collect():
@@ -137,11 +138,11 @@ def test_schema_forms_absorbs_and_melts(spark):
     # The group must lose little: many similar facts about one subject.
     texts = [f"Alice practises classical violin repertoire concerto {w}" for w in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday")]
     texts += [f"unrelated filler sentence number{i} word{i} thing{i}" for i in range(30)]
-    items = _memory(spark, texts).withColumn("strength", F.lit(1.0)).cache()
-    idf = cp.token_weights(cp.token_df(items.select("namespace", "mem_id", F.explode("tokens").alias("token"))), cp.namespace_size(items))
-    mentions = en.entity_mentions(items)
-    members = sc.schema_candidates(items, mentions, idf)
-    built = sc.build_schemas(sc.schema_delta(members, items, sc.fixed_point(members, items, idf), mentions))
+    items = cut(_memory(spark, texts).withColumn("strength", F.lit(1.0)))
+    idf = cut(cp.token_weights(cp.token_df(items.select("namespace", "mem_id", F.explode("tokens").alias("token"))), cp.namespace_size(items)))
+    mentions = cut(en.entity_mentions(items))
+    members = cut(sc.schema_candidates(items, mentions, idf))
+    built = cut(sc.build_schemas(sc.schema_delta(members, items, cut(sc.fixed_point(members, items, idf)), mentions)))
     rows = [r for r in built.collect() if "violin" in r.fixed_tokens]
     assert rows and all(r.delta_f < 0 and len(r.fixed_tokens) >= 2 for r in rows)
     new = items.limit(1).withColumns({"tokens": F.array(*[F.lit(t) for t in rows[0].fixed_tokens]), "mem_id": F.lit("new"), "seq": F.lit(99).cast("bigint")})
@@ -152,7 +153,7 @@ def test_schema_forms_absorbs_and_melts(spark):
 
 
 def test_query_entities_prefer_long_names(spark):
-    state = _memory(spark, ["we visited New York City with Ann", "they like New York today", "old York walls"])
+    state = cut(_memory(spark, ["we visited New York City with Ann", "they like New York today", "old York walls"]))
     got = {r.entity for r in rc.query_entities(_ask(spark, "did ann see New York City?"), en.entity_mentions(state)).collect()}
     assert "new york city" in got and "ann" in got and "new" not in got
 
