@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallflow.llm import bpe, digest, lines, quality, simhash, toxicity
+from recallflow.llm import bpe, digest, lines, mixing, quality, simhash, toxicity
 from recallflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+MIX = mixing.Target()
+
+
+@query("op4_source_mix", mixing.oracle(MIX))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"), MIX)
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "repetition")})
+
+
 @query("op7_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
