@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallflow.llm import bpe, digest, lines, mixing, quality, simhash, toxicity
+from recallflow.llm import bpe, digest, gridjoin, lines, mixing, quality, simhash, toxicity
 from recallflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op3_grid_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.groups(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 MIX = mixing.Target()
 
 
