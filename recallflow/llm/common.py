@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,17 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a fresh one only in a local session
+    that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
