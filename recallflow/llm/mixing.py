@@ -86,16 +86,14 @@ def plan(sources: DataFrame, target: Target) -> DataFrame:
     """
     some = sources.where("tokens > 0")
     a = exponent(some, target)
-    one = some.agg(
-        F.sum("tokens").alias("_total"), F.max("tokens").alias("_most"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a))).alias("_z")
-    )
     tokens = F.col("tokens").cast("double")
-    weight = F.when(F.col("tokens") > 0, F.pow(tokens, F.lit(a)) / F.col("_z")).otherwise(0.0)
+    most, z = some.agg(F.max(tokens), F.sum(F.pow(tokens, F.lit(a)))).first()
+    weight = F.when(F.col("tokens") > 0, F.pow(tokens, F.lit(a)) / F.lit(z or 1.0)).otherwise(0.0)
     if target.budget is None:
-        amount = F.round(tokens * F.pow(F.col("_most") / tokens, F.lit(1 - a)))
+        amount = F.round(tokens * F.pow(F.lit(most or 1.0) / tokens, F.lit(1 - a)))
     else:
-        amount = F.round(F.pow(tokens, F.lit(a)) / F.col("_z") * target.budget)
-    out = sources.join(F.broadcast(one)).select(  # one row of totals
+        amount = F.round(F.pow(tokens, F.lit(a)) / F.lit(z or 1.0) * target.budget)
+    out = sources.select(
         "source", "tokens", weight.alias("weight"), F.when(F.col("tokens") > 0, amount).otherwise(0).cast("long").alias("amount")
     )
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("amount") / F.col("tokens"))).otherwise(1)

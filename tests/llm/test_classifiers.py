@@ -1,0 +1,71 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from recallflow.llm import quality, toxicity
+from recallflow.llm.common import held_out
+
+
+def test_nonnegative_risk_finds_the_positive_feature():
+    rng = np.random.default_rng(1)
+    noise = lambda: rng.choice(1000, 20, replace=False) + 10
+    positives = [np.append(noise(), 3) for _ in range(60)]
+    unlabelled = [np.append(noise(), 3) if k % 10 == 0 else noise() for k in range(600)]
+    w, b = toxicity.fit(positives, unlabelled, 0.1)
+    assert w[3] + b > np.log(0.7 / 0.3) and b < 0
+    assert w.argmax() == 3
+
+
+def test_nothing_to_learn_gives_the_prior():
+    w, b = toxicity.fit([], [np.array([1])], 0.1)
+    assert not w.any() and abs(1 / (1 + np.exp(-b)) - 0.1) < 1e-9
+    assert not quality.fit([]).any()
+
+
+def test_features_do_not_depend_on_the_batch():
+    texts = [b"some text here", b"", b"\xc3\xa9t\xc3\xa9 some", b"x" * 5000]
+    for sparse in (toxicity.sparse, quality.sparse):
+        offsets, ids, *_ = sparse(texts)
+        for k, t in enumerate(texts):
+            one = sparse([t])
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == one[1].tolist()
+    assert len(set(quality.sparse([b"AAA BBB"])[1]) & set(quality.sparse([b"CCC DDD"])[1])) >= 2  # shapes
+
+
+@pytest.fixture(scope="module")
+def learnt(spark, sf):
+    at = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    t, q = toxicity.train(docs, labels), quality.train(docs, labels)
+    marked = docs.join(labels, "doc_id").where(held_out(F.col("doc_id"))).select("doc_id", "text", F.col("toxic").alias("t"), F.col("quality").alias("q"))
+    return t, q, toxicity.score(marked, t).collect(), quality.score(marked, q).collect()
+
+
+def _auc(scores, marks):
+    s, y = np.array(scores), np.array(marks)
+    return np.mean((s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0]))
+
+
+def test_held_out_accuracy(learnt):
+    _, _, tox, good = learnt
+    assert _auc([r.score for r in tox], [r.t for r in tox]) > 0.75  # 33 positives to learn from
+    assert sum(r.score >= 0.7 and r.t == 0 for r in tox) == 0
+    assert _auc([r.score for r in good], [r.q for r in good]) > 0.98
+
+
+def test_odd_rows(learnt, odd, none):
+    t, q, *_ = learnt
+    for model, score in ((t, toxicity.score), (q, quality.score)):
+        rows = score(odd, model).collect()
+        assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+        empty = {r.score for r in rows if not r.text}
+        assert len(empty) == 1
+        assert score(none, model).collect() == []
+
+
+def test_empty_labels(spark, odd):
+    labels = spark.createDataFrame([(None, 1, 1), (5, None, None)], "doc_id long, toxic int, quality int")
+    rows = toxicity.toxicity(odd, labels).collect()
+    assert {r.predicted for r in rows} == {0} and len(rows) == odd.count()
+    assert {r.score for r in quality.quality(odd, labels).collect()} == {0.5}
+    assert all(isinstance(r.held_out, bool) for r in rows)
