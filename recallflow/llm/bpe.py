@@ -24,7 +24,7 @@ from recallflow.llm.common import appended, bound_batches
 
 END = " "  # stands for the word end; byte symbols never are a space
 NONE = 1 << 60
-CACHE = 400_000  # words and pairs a worker remembers; beyond it the memory starts anew
+CACHE = 150_000  # words and pairs a worker remembers; beyond it the memory starts anew
 # Up to here letter classes, lower case and composition are the same in every Unicode
 # version in use; other texts are split by the tokenizer library's own two first steps.
 _LATER = re.compile(r"[^\x00-\u052F]")
@@ -75,7 +75,6 @@ class Vocabulary:
             for n in range(1, len(t)):
                 self.steps.setdefault(t[:n], -1)
             self.steps[t] = i
-        self.inner = {i: t for t, i in self.ids.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         self.word = re.compile(pattern.replace(r"[\p{L}]", f"[{_kind('L')}]").replace(r"[\p{N}]", f"[{_kind('N')}]").replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACE}{_kind('L')}{_kind('N')}]"))
@@ -155,7 +154,7 @@ class Vocabulary:
             ok = known.get(key)
             if ok is None:
                 x, y = key >> 20, key & 0xFFFFF
-                ok = known[key] = self.merge(self.inner[x] + self.inner[y]) == [x, y]
+                ok = known[key] = self.merge(self._inner(self.names[x]) + self._inner(self.names[y])) == [x, y]
             out[k] = ok
         return out
 
@@ -192,6 +191,9 @@ class Vocabulary:
             out.extend(self.word.findall(part))
         return out
 
+    def forget(self) -> None:
+        self.words, self.pairs = {}, {}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE:
             self.words.clear()
@@ -223,7 +225,7 @@ def _read(spark: SparkSession, path: str):
 
 def encoded(docs: DataFrame, path: str, name: str = "ids") -> DataFrame:
     """``docs`` with the token ids of the whole text; null text: none."""
-    bound_batches(docs.sparkSession, rows=500, size="4m")
+    bound_batches(docs.sparkSession, rows=500, size="2m")
     shared = _read(docs.sparkSession, path)
 
     def run(column: pa.Array) -> list[pa.Array]:
@@ -232,7 +234,7 @@ def encoded(docs: DataFrame, path: str, name: str = "ids") -> DataFrame:
         flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))]
 
-    return appended(docs, "text", run, [(name, "array<int>")])
+    return appended(docs, "text", run, [(name, "array<int>")], lambda: vocabulary(shared.value).forget())
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -14,7 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Bound what Spark hands to a Python worker at once, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -45,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def chunks(items: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(items: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges (from, to) of ``items`` of about ``size`` bytes; one longer item stands alone."""
     first = total = 0
     for i, item in enumerate(items):
@@ -71,10 +71,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
 
 
-def appended(df: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]], fields: list[tuple[str, str]]) -> DataFrame:
+def appended(
+    df: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]], fields: list[tuple[str, str]], finish: Callable[[], None] | None = None
+) -> DataFrame:
     """``df`` with the columns ``fn`` makes from one column, batch by batch.
 
     ``fields`` are (name, type); columns of those names already there are replaced.
+    ``finish`` runs at the end of each partition, so that a worker that is used again does
+    not hold what the partition needed.
     """
     kept = without(df, [n for n, _ in fields])
     names = [*kept.columns, *[n for n, _ in fields]]
@@ -84,5 +88,7 @@ def appended(df: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]
         for batch in batches:
             made = fn(batch.column(batch.schema.get_field_index(column)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+        if finish:
+            finish()
 
     return kept.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 19), base, dtype=np.uint64)
         steps[0] = 1
         _powers[key] = np.cumprod(steps)
     return _powers[key][:n]
