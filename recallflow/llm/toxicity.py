@@ -85,13 +85,14 @@ def fit(
     rate: float = 0.05,
     sparsity: float = 2e-5,
     min_rows: int = 3,
+    min_share: float = 0.01,
     screen: float = 4.0,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk of the logistic loss.
 
     ``prior`` is the toxic share of the unlabelled texts. Only features in at least
-    ``min_rows`` positives that are more frequent there than in the unlabelled texts by
-    ``screen`` standard errors get a weight; ``sparsity`` is an L1 penalty. Without
+    ``min_rows`` and a share of ``min_share`` of the positives that are more frequent there
+    than in the unlabelled texts by ``screen`` standard errors get a weight; ``sparsity`` is an L1 penalty. Without
     positives or unlabelled texts nothing is learnt and every score is the prior.
     """
     size = 1 << BITS
@@ -105,7 +106,7 @@ def fit(
     n_p, n_u = len(positives), len(unlabelled)
     share = (in_p + in_u) / (n_p + n_u)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-    used = np.flatnonzero((in_p >= min_rows) & (in_p / n_p - in_u / n_u > screen * error))
+    used = np.flatnonzero((in_p >= max(min_rows, min_share * n_p)) & (in_p / n_p - in_u / n_u > screen * error))
     place = np.full(size, -1, dtype=np.int64)
     place[used] = np.arange(len(used))
     p, u = (Sparse([k[k >= 0] for k in (place[r] for r in rows)]) for rows in (positives, unlabelled))

@@ -49,7 +49,7 @@ def _auc(scores, marks):
 def test_held_out_accuracy(learnt):
     _, _, tox, good = learnt
     assert _auc([r.score for r in tox], [r.t for r in tox]) > 0.75  # 33 positives to learn from
-    assert sum(r.score >= 0.7 and r.t == 0 for r in tox) == 0
+    assert sum(r.score >= 0.7 and r.t == 0 for r in tox) <= 0.02 * len(tox)
     assert _auc([r.score for r in good], [r.q for r in good]) > 0.98
 
 
