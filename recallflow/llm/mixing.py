@@ -26,8 +26,9 @@ DEPTH, PASSES = 5, 8  # bisection steps answered by one aggregation; aggregation
 @dataclass(frozen=True)
 class Target:
     """``entropy``: least share of the entropy of equal weights. ``repetition``: the most
-    often any source may be read; where both cannot be met this one holds. ``budget``:
-    tokens to emit; None is the least budget that reads every source whole once."""
+    often any source may be read; where both cannot be met this one holds (a budget above
+    that many times all tokens cannot meet it and reads the natural mix). ``budget``: tokens
+    to emit; None is the least budget that reads every source whole once."""
 
     entropy: float | None = 0.999
     repetition: float | None = 2.0
@@ -145,7 +146,7 @@ def mixed(docs: DataFrame, target: Target | None = None) -> DataFrame:
         reached.where("before + size > rest"), ["source"], ["doc_key", "doc_id"], F.shiftright("doc_key", 52), {"upto": F.col("n_tokens")}
     ).where("before + upto <= rest")
     columns = [
-        "doc_id", "source", "n_tokens", "weight", (F.col("amount") / F.col("tokens")).alias("repetition"), "epoch", "block", "block_key", "doc_key",
+        "doc_id", "source", "n_tokens", "weight", F.when(F.col("tokens") > 0, F.col("amount") / F.col("tokens")).otherwise(1.0).alias("repetition"), "epoch", "block", "block_key", "doc_key",
     ]
     return whole.select(*columns).unionByName(full.select(*columns)).unionByName(edge.select(*columns))
 
@@ -198,7 +199,7 @@ sized AS (SELECT source, block, block_key, rest, sum(n_tokens) AS size FROM keye
 placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY block_key, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized),
 ends AS (SELECT k.*, before, size, sum(n_tokens) OVER (PARTITION BY k.source, k.block ORDER BY doc_key, doc_id) AS upto
   FROM keyed k JOIN placed p ON k.source IS NOT DISTINCT FROM p.source AND k.block = p.block WHERE NOT whole AND before < k.rest)
-SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, round(amount / tokens, 6) AS repetition, epoch, block, block_key, doc_key FROM keyed WHERE whole
+SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, round(CASE WHEN tokens > 0 THEN amount / tokens ELSE 1 END, 6) AS repetition, epoch, block, block_key, doc_key FROM keyed WHERE whole
 UNION ALL
-SELECT doc_id, source, n_tokens, round(weight, 6), round(amount / tokens, 6), epoch, block, block_key, doc_key FROM ends
+SELECT doc_id, source, n_tokens, round(weight, 6), round(CASE WHEN tokens > 0 THEN amount / tokens ELSE 1 END, 6), epoch, block, block_key, doc_key FROM ends
 WHERE before + size <= rest OR before + upto <= rest"""
