@@ -31,7 +31,7 @@ def main() -> None:
     only = sys.argv[1:]
     spark = get_spark(
         "bench", master=f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.recallflow.textPartitions": cpus, "spark.driver.memory": "16g"},
     )
     queries = registry.load()[0]
     spark.read.parquet(f"{sf_dir}/region.parquet").count()  # start the engine

@@ -6,32 +6,37 @@ Everything here is a fixed value that results depend on; nothing is derived.
 import string
 
 # --- fixed values: stop words of the indexer -------------------------------
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could "
-    "should may might shall can need dare ought to of in for on with at by from as into "
-    "about between through after before above below and but or nor not so yet both either "
-    "neither each every all any few more most other some such no only own same than too "
-    "very just also now then here there when where why how what which who whom this that "
-    "these those i me my we our you your he him his she her it its they them their tell "
-    "know think say get make go see come take give find let put keep"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "shall", "can", "need", "dare", "ought", "to", "of", "in",
+    "for", "on", "with", "at", "by", "from", "as", "into", "about", "between", "through", "after", "before", "above",
+    "below", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "neither", "each", "every", "all",
+    "any", "few", "more", "most", "other", "some", "such", "no", "only", "own", "same", "than", "too", "very", "just",
+    "also", "now", "then", "here", "there", "when", "where", "why", "how", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her", "it",
+    "its", "they", "them", "their", "tell", "know", "think", "say", "get", "make", "go", "see", "come", "take",
+    "give", "find", "let", "put", "keep",
+]
 
 # --- fixed values: stop words used when matching recurring events ----------
-EVENT_STOP_WORDS = (
-    "i me my we our you your he she it they them a an the is was are were be been have has "
-    "had do did will would could should may might to of in on at by for with and or but so "
-    "yet if this that these those there here what when where who how why which go went get "
-    "got s t re ll ve d yesterday today tomorrow morning afternoon evening night tonight now "
-    "just ago back last next some all up out over new like very"
-).split()
+EVENT_STOP_WORDS = [
+    "i", "me", "my", "we", "our", "you", "your", "he", "she", "it", "they", "them", "a", "an", "the", "is", "was",
+    "are", "were", "be", "been", "have", "has", "had", "do", "did", "will", "would", "could", "should", "may",
+    "might", "to", "of", "in", "on", "at", "by", "for", "with", "and", "or", "but", "so", "yet", "if", "this", "that",
+    "these", "those", "there", "here", "what", "when", "where", "who", "how", "why", "which", "go", "went", "get",
+    "got", "s", "t", "re", "ll", "ve", "d", "yesterday", "today", "tomorrow", "morning", "afternoon", "evening",
+    "night", "tonight", "now", "just", "ago", "back", "last", "next", "some", "all", "up", "out", "over", "new",
+    "like", "very",
+]
 
 # --- fixed values: stop words of the second retrieval hop ------------------
-HOP_STOP_WORDS = (
-    "i me my we our you your he she it they them a an the is was are were be been have has "
-    "had do did will would could should may might to of in on at by for with and or but so "
-    "yet if this that these those there here what when where who how why which go went get "
-    "got s t re ll ve d work works live lives name called known"
-).split()
+HOP_STOP_WORDS = [
+    "i", "me", "my", "we", "our", "you", "your", "he", "she", "it", "they", "them", "a", "an", "the", "is", "was",
+    "are", "were", "be", "been", "have", "has", "had", "do", "did", "will", "would", "could", "should", "may",
+    "might", "to", "of", "in", "on", "at", "by", "for", "with", "and", "or", "but", "so", "yet", "if", "this", "that",
+    "these", "those", "there", "here", "what", "when", "where", "who", "how", "why", "which", "go", "went", "get",
+    "got", "s", "t", "re", "ll", "ve", "d", "work", "works", "live", "lives", "name", "called", "known",
+]
 
 # --- fixed values: punctuation trimmed from both ends of a word ------------
 PUNCTUATION = string.punctuation + (
@@ -45,37 +50,36 @@ OVERRIDE_PHRASES = ["no longer", "not anymore", "switched to"]
 
 # --- fixed values: synonyms added at indexing and query time ---------------
 SYNONYMS = {
-    "husband": "married spouse",
-    "wife": "married spouse",
-    "spouse": "married husband wife",
-    "daughter": "child girl",
-    "son": "child boy",
-    "child": "daughter son",
-    "children": "daughter son kids",
-    "university": "graduated college degree school studied masters bachelor",
-    "college": "graduated university degree school studied",
-    "school": "graduated university college studied",
-    "undergrad": "graduated university college bachelor degree",
-    "education": "graduated university college degree studied masters",
-    "role": "title position job engineer manager director vp cto ceo",
-    "title": "role position job engineer manager director vp",
-    "job": "work role title position company",
-    "position": "role title job work",
-    "hobby": "hobbies interests enjoy love favorite",
-    "hobbies": "hobby interests enjoy love favorite",
-    "allergy": "allergic intolerant sensitive",
-    "allergies": "allergic intolerant sensitive",
-    "car": "drive vehicle tesla toyota honda",
-    "vehicle": "car drive",
-    "home": "house apartment address",
-    "house": "home apartment property",
-    "salary": "compensation pay income earning",
-    "email": "mail contact address",
-    "phone": "call number mobile cell",
-    "birthday": "born birth age",
-    "age": "old years born",
+    "husband": ["married", "spouse"],
+    "wife": ["married", "spouse"],
+    "spouse": ["married", "husband", "wife"],
+    "daughter": ["child", "girl"],
+    "son": ["child", "boy"],
+    "child": ["daughter", "son"],
+    "children": ["daughter", "son", "kids"],
+    "university": ["graduated", "college", "degree", "school", "studied", "masters", "bachelor"],
+    "college": ["graduated", "university", "degree", "school", "studied"],
+    "school": ["graduated", "university", "college", "studied"],
+    "undergrad": ["graduated", "university", "college", "bachelor", "degree"],
+    "education": ["graduated", "university", "college", "degree", "studied", "masters"],
+    "role": ["title", "position", "job", "engineer", "manager", "director", "vp", "cto", "ceo"],
+    "title": ["role", "position", "job", "engineer", "manager", "director", "vp"],
+    "job": ["work", "role", "title", "position", "company"],
+    "position": ["role", "title", "job", "work"],
+    "hobby": ["hobbies", "interests", "enjoy", "love", "favorite"],
+    "hobbies": ["hobby", "interests", "enjoy", "love", "favorite"],
+    "allergy": ["allergic", "intolerant", "sensitive"],
+    "allergies": ["allergic", "intolerant", "sensitive"],
+    "car": ["drive", "vehicle", "tesla", "toyota", "honda"],
+    "vehicle": ["car", "drive"],
+    "home": ["house", "apartment", "address"],
+    "house": ["home", "apartment", "property"],
+    "salary": ["compensation", "pay", "income", "earning"],
+    "email": ["mail", "contact", "address"],
+    "phone": ["call", "number", "mobile", "cell"],
+    "birthday": ["born", "birth", "age"],
+    "age": ["old", "years", "born"],
 }
-SYNONYMS = {word: others.split() for word, others in SYNONYMS.items()}
 
 # --- fixed values: category patterns, tried in this order ------------------
 CATEGORIES = {

@@ -293,11 +293,29 @@ def frustrated_users(pulse: DataFrame, limit: int = 100) -> DataFrame:
     return pulse.where("band = 'frustrated'").orderBy(F.desc("score"), "user_id").limit(limit)
 
 
+# Address ranges that are not public, as text patterns.
+_PRIVATE_V4 = (
+    r"(0|10|127)\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|192\.0\.0\.(?!(9|10)$)|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|(24\d|25[0-5])\."
+)
+_PRIVATE_V6 = (
+    r"(0{0,4}:){2,7}(0{0,3}[01])?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|0?100::|0{0,2}64:ff9b:0?0?0?1:|2001:0?db8:|2001:(:|0?[01]?[0-9a-f]{1,2}:)|2002:|3fff:"
+)
+
+
+def is_infra_ip(ip: Column) -> Column:
+    """Private, loopback, link-local and reserved addresses, IPv6 ones and mapped IPv4 ones
+    too, and unknown hosts: traffic of the platform itself."""
+    host = F.lower(F.trim(F.coalesce(ip, F.lit(""))))
+    plain = F.regexp_replace(host, r"^::ffff:(?=\d+\.)", "")
+    is_v4 = plain.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+    return host.isin("", "unknown") | (is_v4 & plain.rlike(f"^({_PRIVATE_V4})")) | (~is_v4 & host.contains(":") & host.rlike(f"^({_PRIVATE_V6})"))
+
+
 def abuse_blocks(requests: DataFrame, rules: dict | None = None) -> DataFrame:
     """First block of every identity and abuse signal, with its end time."""
     rules = rules or lx.ABUSE_RULES
     ip, path, s = F.col("ip"), F.col("path"), F.col("status_code")
-    private = ip.rlike(r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)") | ip.isNull() | (ip == "unknown")
+    private = is_infra_ip(ip)
     exempt = path.isin("", "/") | path.rlike("^(" + "|".join(p.replace(".", "\\.") for p in lx.EXEMPT_PREFIXES) + ")")
     seen = requests.where(~private & ~exempt)
     who = F.concat(F.lit("ip:"), ip)

@@ -161,13 +161,14 @@ def ppmi(pair_counts: DataFrame, df: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def svd_vocab(df: DataFrame, pair_counts: DataFrame, cap: int = 5000) -> DataFrame:
-    """Tokens that occur in a pair and in two items or more; the ``cap`` most frequent."""
+def svd_vocab(df: DataFrame, pair_counts: DataFrame, cap: int | None = None) -> DataFrame:
+    """Tokens that occur in a pair and in two items or more; with ``cap`` only that many of
+    the most frequent per namespace, the others then have no vector."""
     paired = pair_counts.select("namespace", F.col("token_a").alias("token")).unionByName(
         pair_counts.select("namespace", F.col("token_b").alias("token"))
     ).distinct()
     common = df.where(F.col("df") >= 2).join(paired, ["namespace", "token"], "left_semi")
-    return top_k(common, ["namespace"], [F.desc("df"), F.asc("token")], cap).drop("rank")
+    return common if cap is None else top_k(common, ["namespace"], [F.desc("df"), F.asc("token")], cap).drop("rank")
 
 
 def _start_vector(dims: int) -> Column:
@@ -274,8 +275,11 @@ def decayed_frequency(n: Column) -> Column:
     return (1 - F.pow(F.lit(0.995), n)) / 0.005
 
 
-def evict_vocab(df: DataFrame, limit: int = 6000) -> DataFrame:
-    """Drop the least frequent fifth of every vocabulary larger than ``limit``."""
+def evict_vocab(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Drop the least frequent fifth of every vocabulary larger than ``limit`` tokens; None,
+    the default, keeps all. Tokens of one frequency are spread over hash buckets."""
+    if limit is None:
+        return df
     sized = df.join(
         df.groupBy("namespace").agg(F.count(F.lit(1)).alias("vocab_size")), "namespace"
     )

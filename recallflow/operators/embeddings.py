@@ -26,37 +26,41 @@ def collective_vectors(user_vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def _near(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Neighbour pairs of one user; the vocabulary cap bounds the space at 5000 vectors."""
-    m = np.vstack(pdf["vec"].to_numpy())
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    m = np.where(length < 1e-12, 0.0, m / np.where(length < 1e-12, 1.0, length))
-    tokens = pdf["token"].to_numpy()
-    left, right = [], []
-    for at in range(0, len(m), 512):
-        i, j = np.nonzero(m[at : at + 512] @ m.T >= NEAR)
-        i = i + at
-        keep = i != j
-        left.append(tokens[i[keep]])
-        right.append(tokens[j[keep]])
-    return pd.DataFrame(
-        {"user_id": pdf["user_id"].iloc[0], "token": np.concatenate(left), "neighbor": np.concatenate(right)}
-    )
-
-
-def neighborhoods(user_vectors: DataFrame, cap: int = 5000) -> DataFrame:
+    """Neighbour pairs between two blocks of one user's vectors, both ways."""
+
+    def side(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        m = np.vstack(rows["vec"].to_numpy())
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.where(length < 1e-12, 0.0, m / np.where(length < 1e-12, 1.0, length)), rows["token"].to_numpy()
+
+    user, a, b = pdf["user_id"].iloc[0], pdf["a"].iloc[0], pdf["b"].iloc[0]
+    here, there = pdf[pdf["block"] == a], pdf[pdf["block"] == b]
+    if here.empty or there.empty:
+        return pd.DataFrame({"user_id": [], "token": [], "neighbor": []})
+    (m, tm), (n, tn) = side(here), side(there)
+    i, j = np.nonzero(m @ n.T >= NEAR)
+    if a == b:
+        i, j = i[i != j], j[i != j]
+        left, right = tm[i], tn[j]
+    else:
+        left, right = np.concatenate([tm[i], tn[j]]), np.concatenate([tn[j], tm[i]])
+    return pd.DataFrame({"user_id": user, "token": left, "neighbor": right})
+
+
+def neighborhoods(user_vectors: DataFrame, block_rows: int = 1024) -> DataFrame:
     """(user_id, token, neighbor) with cosine of at least 0.65 inside one user's space.
 
-    A space holds at most ``cap`` vectors (the vocabulary limit of the factorisation);
-    a larger one is refused instead of being cut.
+    A space is dealt into blocks of about ``block_rows`` vectors by a hash of the token and
+    every pair of blocks is one task's matrix product, so no space is too large for a task.
     """
     sized = user_vectors.select("user_id", "token", "vec")
-    n = sized.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    checked = sized.join(n, "user_id").where(
-        F.when(F.col("_n") > cap, F.raise_error(F.lit("space exceeds the vocabulary cap")).isNull()).otherwise(True)
-    )
-    return checked.select("user_id", "token", "vec").groupBy("user_id").applyInPandas(
-        _near, "user_id string, token string, neighbor string"
+    n = sized.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    dealt = sized.join(n, "user_id").withColumn("block", F.pmod(F.xxhash64("token"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.withColumn("_o", other).select(
+        "user_id", "token", "vec", "block", F.least("block", "_o").alias("a"), F.greatest("block", "_o").alias("b")
     )
+    return pairs.groupBy("user_id", "a", "b").applyInPandas(_near, "user_id string, token string, neighbor string")
 
 
 def discover_synonyms(near: DataFrame, epoch: float) -> DataFrame:

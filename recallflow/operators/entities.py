@@ -75,7 +75,8 @@ def related_entities(items: DataFrame, mentions: DataFrame, idf: DataFrame, k: i
         .groupBy("namespace", "mem_id", "entity").agg(F.sum("idf").alias("shared_information"))
         .join(mentions.select("namespace", "mem_id", "entity"), ["namespace", "mem_id", "entity"], "left_anti")
     )
-    return top_k(scored, ["namespace", "mem_id"], [F.desc("shared_information"), F.asc("entity")], k)
+    # Sums of the same weights in another order are ties.
+    return top_k(scored, ["namespace", "mem_id"], [F.desc(F.round("shared_information", 9)), F.asc("entity")], k)
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:

@@ -38,10 +38,19 @@ def running_ops(events: DataFrame) -> DataFrame:
     )
 
 
-def unit_cost(events: DataFrame) -> DataFrame:
-    """Cents per operation beyond the flat cap; ``events`` has tier, ops and api_key_id."""
+def unit_cost(events: DataFrame, rates: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """Cents per operation beyond the flat cap; ``events`` has tier, ops, event_type and
+    api_key_id.
+
+    ``rates`` is {tier: {event_type: cents, "_default": cents}}; a type that is not listed
+    costs the tier's ``_default``, an unknown tier nothing. Default: one rate per tier.
+    """
+    rates = rates if rates is not None else {t: {"_default": c} for t, c in lx.OVERAGE_CENTS.items()}
     cap = lookup(lx.TIER_CAPS, F.col("tier"))
-    rate = lookup(lx.OVERAGE_CENTS, F.col("tier"), 0)
+    exact = {f"{t}|{e}": c for t, by in rates.items() for e, c in by.items() if e != "_default"}
+    rate = lookup({t: by.get("_default", 0) for t, by in rates.items()}, F.col("tier"), 0)
+    if exact:
+        rate = F.coalesce(lookup(exact, F.concat_ws("|", "tier", "event_type")), rate)
     priced = (
         F.when(F.col("api_key_id").isNull() | cap.isNull(), 0)
         .when((cap <= 0) | (F.col("ops") <= cap), 0)

@@ -49,10 +49,10 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return t.where(F.col("token").isNotNull()).withColumn("inferred", F.lit(False))
 
 
-def expand_with_schemas(tokens: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Add the first three fixed tokens of the schemas about a queried entity."""
+def expand_with_schemas(tokens: DataFrame, schemas: DataFrame, n: int = 3) -> DataFrame:
+    """Add the first ``n`` fixed tokens of the schemas about a queried entity."""
     about = schemas.select(
-        "namespace", F.col("subject").alias("token"), F.slice("fixed_tokens", 1, 3).alias("extra")
+        "namespace", F.col("subject").alias("token"), F.slice("fixed_tokens", 1, n).alias("extra")
     )
     new = (
         tokens.join(about, ["namespace", "token"]).select(*Q, F.explode("extra").alias("token")).distinct()
@@ -143,9 +143,13 @@ def substring_hits(tokens: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def lexical_search(
-    queries: DataFrame, items: DataFrame, k: int = 10, schemas: DataFrame | None = None, vectors: DataFrame | None = None, dims: int = 50
+    queries: DataFrame, items: DataFrame, k: int | None = 10, schemas: DataFrame | None = None, vectors: DataFrame | None = None, dims: int = 50
 ) -> DataFrame:
-    """Full token retrieval: scored candidates, substring supplement and fallbacks."""
+    """Full token retrieval: scored candidates, substring supplement and fallbacks.
+
+    ``k`` None ranks every scored item; only queries without any hit then fall back to all
+    items of their namespace.
+    """
     tokens = query_tokens(queries)
     if schemas is not None:
         tokens = expand_with_schemas(tokens, schemas)
@@ -171,11 +175,14 @@ def lexical_search(
     both = main.unionByName(second)
     # Queries without any hit fall back to the most stable items of their namespace.
     silent = queries.select(*Q).join(matched_q, Q, "left_anti").join(second.select(*Q).distinct(), Q, "left_anti")
-    stable = top_k(
-        state.select("namespace", "mem_id", (F.col("thermo") * F.col("chi")).alias("score")),
-        ["namespace"], [F.desc("score"), F.asc("mem_id")], k,
-    ).drop("rank")
-    return top_k(both.unionByName(silent.join(stable, "namespace").select(*Q, "mem_id", "score")), Q, [F.desc("score"), F.asc("mem_id")], k)
+    stable = state.select("namespace", "mem_id", (F.col("thermo") * F.col("chi")).alias("score"))
+    if k is not None:
+        stable = top_k(stable, ["namespace"], [F.desc("score"), F.asc("mem_id")], k).drop("rank")
+    every = both.unionByName(silent.join(stable, "namespace").select(*Q, "mem_id", "score"))
+    order = [F.desc("score"), F.asc("mem_id")]
+    if k is None:
+        return every.withColumn("rank", F.row_number().over(W.partitionBy(*Q).orderBy(*order)))
+    return top_k(every, Q, order, k)
 
 
 # --- entity search ---------------------------------------------------------
@@ -324,37 +331,33 @@ def fuse(entity_hits: DataFrame, lexical_hits: DataFrame, k: int) -> DataFrame:
     return top_k(best, Q, [F.desc("score"), F.asc("mem_id")], k)
 
 
-# --- vectors ---------------------------------------------------------------
+def search(queries: DataFrame, items: DataFrame, graph: dict[str, DataFrame], schemas: DataFrame | None = None,
+           vectors: DataFrame | None = None, k: int = 10, dims: int = 50) -> DataFrame:
+    """Unified retrieval: queries that name two entities or more fuse the entity branch with
+    the lexical one, all others are answered by the lexical branch alone.
 
-BLOCK_QUERIES = 2048
+    ``graph`` has mentions, spectrum, edges, members, coherence, joint and idf (per
+    namespace). ``schemas`` expand the query, ``vectors`` (token vectors) add the semantic
+    bonus. Branches meet by query, so none is chosen by hand.
+    """
+    mentions = graph["mentions"]
+    found = cut(query_entities(queries, mentions))
+    coupled = cut(coupling_of(found, graph["edges"], graph["members"], graph["coherence"]))
+    n = items.agg(F.count(F.lit(1)).alias("n_items"))
+    df = items.select("mem_id", F.explode("tokens").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    everywhere = df.join(F.broadcast(n)).select("token", F.log(1 + F.col("n_items") / (1.0 + F.col("df"))).alias("idf"))  # one row
+    asked = query_tokens(queries)
+    if schemas is not None:
+        asked = expand_with_schemas(asked, schemas)
+    by_entity = entity_search(found, asked, items, mentions, everywhere, coupled)
+    by_token = shared_token_search(found, coupled, item_index(items), items, graph["idf"], graph["spectrum"], graph["edges"], graph["joint"], mentions)
+    both = by_entity.unionByName(by_token).groupBy(*Q, "mem_id").agg(F.max("score").alias("score"))
+    return fuse(both, lexical_search(queries, items, k, schemas, vectors, dims), k)
 
 
-def knn(query_vectors: DataFrame, items: DataFrame, k: int = 10, min_confidence: float = 0.0) -> DataFrame:
-    """Exact cosine neighbours within the namespace.
+# --- vectors ---------------------------------------------------------------
 
-    Queries are read in hashed blocks of about BLOCK_QUERIES rows, the only data sent to
-    every task. Each task scores its items by matrix products and keeps ``k`` per query,
-    so no (query, item) pair leaves a task unless it is among the best of that task.
-    """
-    spark = items.sparkSession
-    n = query_vectors.count()
-    blocks = max(1, -(-n // BLOCK_QUERIES))
-    pool = items.where((F.col("confidence") >= min_confidence) & F.col("vec").isNotNull()).select("namespace", "mem_id", "vec")
-    qtype = dict(query_vectors.dtypes)["query_id"]
-    schema = f"query_id {qtype}, namespace string, mem_id {dict(items.dtypes)['mem_id']}, similarity double"
-    out = None
-    for b in range(blocks):
-        part = query_vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(*Q, "vec").toPandas()
-        if part.empty:
-            continue
-        sent = spark.sparkContext.broadcast(
-            {ns: (g["query_id"].to_numpy(), _unit_rows(np.vstack(g["vec"].to_numpy()))) for ns, g in part.groupby("namespace")}
-        )
-        hits = pool.where(F.col("namespace").isin(sorted(part["namespace"].unique()))).mapInPandas(_best_of(sent, k), schema)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return top_k(out, Q, [F.desc("similarity"), F.asc("mem_id")], k)
+BLOCK_QUERIES, BLOCK_ITEMS = 1024, 4096
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -362,27 +365,57 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.where(length < 1e-12, 0.0, m / np.where(length < 1e-12, 1.0, length))
 
 
-def _best_of(sent, k: int):
-    def run(batches):
-        for pdf in batches:
-            frames = []
-            for ns, g in pdf.groupby("namespace"):
-                if ns not in sent.value:
-                    continue
-                ids, q = sent.value[ns]
-                sims = q @ _unit_rows(np.vstack(g["vec"].to_numpy())).T
-                mem = g["mem_id"].to_numpy()
-                # Ties at the k-th place keep the smaller id.
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(mem)), sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                cols = order.ravel()
-                frames.append(pd.DataFrame({"query_id": ids[rows], "namespace": ns, "mem_id": mem[cols], "similarity": sims[rows, cols]}))
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+def _best_of(k: int):
+    """Best items of one block for the queries of one block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, found = pdf[pdf["ask"]], pdf[~pdf["ask"]]
+        if asks.empty or found.empty:
+            return pd.DataFrame({c: pdf[c].iloc[:0] for c in ("query_id", "namespace", "mem_id")} | {"similarity": []})
+        sims = _unit_rows(np.vstack(asks["vec"].to_numpy())) @ _unit_rows(np.vstack(found["vec"].to_numpy())).T
+        mem = found["mem_id"].to_numpy()
+        # Ties at the k-th place keep the smaller id.
+        order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(mem)), sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
+        rows, cols = np.repeat(np.arange(len(asks)), order.shape[1]), order.ravel()
+        return pd.DataFrame({
+            "query_id": asks["query_id"].to_numpy()[rows], "namespace": pdf["namespace"].iloc[0], "mem_id": mem[cols], "similarity": sims[rows, cols],
+        })
 
     return run
 
 
+def knn(query_vectors: DataFrame, items: DataFrame, k: int = 10, min_confidence: float = 0.0) -> DataFrame:
+    """Exact cosine neighbours within the namespace.
+
+    Queries and items of a namespace are dealt into blocks by a hash; each pair of blocks
+    is one group and one matrix product that gives at most ``k`` rows per query, so no
+    task holds more than a block of each and nothing passes through the driver.
+    """
+    pool = items.where((F.col("confidence") >= min_confidence) & F.col("vec").isNotNull()).select("namespace", "mem_id", "vec")
+    asks = query_vectors.where("vec IS NOT NULL").select(*Q, "vec")
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("namespace").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    sizes = cut(blocks(asks, BLOCK_QUERIES, "nq").join(blocks(pool, BLOCK_ITEMS, "ni"), "namespace"))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias("own")
+        return rows.join(sizes, "namespace").select("*", part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+
+    qtype, mtype = dict(query_vectors.dtypes)["query_id"], dict(items.dtypes)["mem_id"]
+    left = dealt(asks, "query_id", "nq", "ni").select(
+        *Q, F.lit(None).cast(mtype).alias("mem_id"), "vec", F.lit(True).alias("ask"), F.col("own").alias("qb"), F.col("other").alias("ib")
+    )
+    right = dealt(pool, "mem_id", "ni", "nq").select(
+        F.lit(None).cast(qtype).alias("query_id"), "namespace", "mem_id", "vec", F.lit(False).alias("ask"), F.col("other").alias("qb"), F.col("own").alias("ib")
+    )
+    best = left.unionByName(right).groupBy("namespace", "qb", "ib").applyInPandas(
+        _best_of(k), f"query_id {qtype}, namespace string, mem_id {mtype}, similarity double"
+    )
+    return top_k(best, Q, [F.desc("similarity"), F.asc("mem_id")], k)
+
+
 def cells_for(n_rows: int) -> int:
     """Number of index cells by table size."""
     if n_rows >= 1_000_000:
@@ -409,8 +442,9 @@ def assign_cells(items: DataFrame, model) -> DataFrame:
     return out.withColumnRenamed("prediction", "cell").drop("features")
 
 
-def knn_approx(query_vectors: DataFrame, celled: DataFrame, model, k: int = 10, probes: int = 10) -> DataFrame:
-    """Neighbours from the ``probes`` cells nearest to each query, scored exactly."""
+def knn_approx(query_vectors: DataFrame, celled: DataFrame, model, k: int = 10, probes: int | None = 10) -> DataFrame:
+    """Neighbours from the ``probes`` cells nearest to each query, scored exactly; None
+    probes every cell and equals :func:`knn`."""
     centers = _unit_rows(np.vstack(model.clusterCenters()))
 
     @F.pandas_udf("array<int>")
@@ -527,15 +561,18 @@ def relevance_digest(hits: DataFrame, min_score: float = 0.15, n: int = 5) -> Da
     return top_k(one.drop("_low"), ["query_id"], [F.desc("score"), F.asc("mem_id")], n)
 
 
-def multi_hop(first: DataFrame, queries: DataFrame, items: DataFrame, search, k: int) -> DataFrame:
-    """Second pass with up to eight words of the three best texts; new hits count 90 %."""
-    best = first.where(F.col("rank") <= 3).join(items.select("namespace", "mem_id", "text"), ["namespace", "mem_id"])
+def multi_hop(first: DataFrame, queries: DataFrame, items: DataFrame, search, k: int, n_texts: int = 3, n_words: int = 8) -> DataFrame:
+    """Second pass with ``n_words`` words of the ``n_texts`` best texts; new hits count 90 %.
+
+    ``first`` and ``search`` give 2 k hits each; the best k of both are returned.
+    """
+    best = first.where(F.col("rank") <= n_texts).join(items.select("namespace", "mem_id", "text"), ["namespace", "mem_id"])
     text = best.groupBy(*Q).agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("t")).select(
         *Q, F.array_join(F.transform("t", lambda s: s["text"]), " ").alias("joined")
     )
     proper = F.transform(F.regexp_extract_all("joined", F.lit(r"(?:(?<=[.!?]\s)|(?<= ))([A-Z][a-z]{2,})"), 1), lambda w: F.lower(w))
     plain = F.filter(F.regexp_extract_all(F.lower("joined"), F.lit(r"\b([a-zA-Z]{4,})\b"), 1), lambda w: ~w.isin(lx.HOP_STOP_WORDS))
-    extra = text.select(*Q, F.array_join(F.slice(F.array_distinct(F.concat(proper, plain)), 1, 8), " ").alias("extra")).where("extra <> ''")
+    extra = text.select(*Q, F.array_join(F.slice(F.array_distinct(F.concat(proper, plain)), 1, n_words), " ").alias("extra")).where("extra <> ''")
     again = queries.join(extra, Q).withColumn("text", F.concat_ws(" ", "text", "extra")).drop("extra")
     second = search(again).select(*Q, "mem_id", (F.col("score") * 0.9).alias("score"))
     new = second.join(first.select(*Q, "mem_id"), [*Q, "mem_id"], "left_anti")
@@ -586,13 +623,14 @@ def drop_label(items: DataFrame, label: str) -> DataFrame:
     return items.withColumn("labels", F.array_remove("labels", label))
 
 
-def profile(hits: DataFrame) -> DataFrame:
-    """Facts, five-fact summary and count per namespace from the hits of fixed queries."""
+def profile(hits: DataFrame, n_facts: int = 20, n_summary: int = 5) -> DataFrame:
+    """Facts, a summary of the first ``n_summary`` and their count per namespace, from the
+    best ``n_facts`` hits of fixed queries."""
     one = top_k(hits, ["namespace", "text"], [F.asc("rank"), F.asc("query_id")], 1, "_r")
-    rows = top_k(one.drop("_r"), ["namespace"], [F.asc("rank"), F.asc("query_id"), F.asc("text")], 20, "_p")
+    rows = top_k(one.drop("_r"), ["namespace"], [F.asc("rank"), F.asc("query_id"), F.asc("text")], n_facts, "_p")
     return rows.groupBy("namespace").agg(F.sort_array(F.collect_list(F.struct("_p", "text"))).alias("f")).select(
         "namespace", F.transform("f", lambda s: s["text"]).alias("facts"),
-        F.array_join(F.transform(F.slice("f", 1, 5), lambda s: s["text"]), "; ").alias("summary"),
+        F.array_join(F.transform(F.slice("f", 1, n_summary), lambda s: s["text"]), "; ").alias("summary"),
         F.size("f").alias("n"),
     )
 

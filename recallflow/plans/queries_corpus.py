@@ -197,13 +197,13 @@ def corpus_neighbors(spark, sf):
 @query(
     "corpus_mean_vector",
     o.sql("user_vectors", """SELECT user_id AS namespace, array_to_string(list(x ORDER BY i), ' ') AS mean FROM (
-      SELECT user_id, i, printf('%.5f', round(avg(v), 5) + 0.0) AS x FROM (SELECT user_id, unnest(vec[1:4]) AS v,
-      generate_subscripts(vec[1:4], 1) AS i FROM user_vectors) GROUP BY 1, 2) GROUP BY 1"""),
+      SELECT user_id, i, printf('%.5f', round(avg(v), 5) + 0.0) AS x FROM (SELECT user_id, unnest(vec) AS v,
+      generate_subscripts(vec, 1) AS i FROM user_vectors) GROUP BY 1, 2) GROUP BY 1"""),
 )
 def corpus_mean_vector(spark, sf):
     v = ad.user_vectors(spark, sf).select(F.col("user_id").alias("namespace"), "token", "epoch", "vec")
     tokens = v.select("namespace", "token").distinct()
-    m = cp.mean_vector(tokens, v, ["namespace"], 4)
+    m = cp.mean_vector(tokens, v, ["namespace"], 64)
     return m.select(
         "namespace",
         F.array_join(

@@ -105,10 +105,13 @@ def entities_coupling(spark, sf):
     return e.drop("last_seq").withColumn("coupling", F.round("coupling", 5))
 
 
-@query("entities_related")
+@query("entities_related", o.sql("", """SELECT namespace, mem_id, entity, round(si, 5) AS shared_information, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY namespace, mem_id ORDER BY round(si, 9) DESC, entity) AS r FROM
+  (SELECT t.namespace, t.mem_id, ix.entity, sum(idf) AS si FROM bare t JOIN idf USING (namespace, token) JOIN (SELECT DISTINCT m.namespace, token, entity FROM men m JOIN bare USING (namespace, mem_id)) ix USING (namespace, token)
+   WHERE NOT EXISTS (SELECT 1 FROM men x WHERE x.namespace = t.namespace AND x.mem_id = t.mem_id AND x.entity = ix.entity) GROUP BY 1, 2, 3)) WHERE r <= 5""",
+  _PI, _F, _MENTIONS, _TOK, _IDF, "bare AS (SELECT * FROM tok WHERE NOT EXISTS (SELECT 1 FROM men WHERE men.namespace = tok.namespace AND men.entity = tok.token))"))
 def entities_related(spark, sf):
     items, idf, mentions, _ = _graph(spark, sf)
-    return en.related_entities(items, mentions, idf)
+    return en.related_entities(items, mentions, idf).withColumn("shared_information", F.round("shared_information", 5))
 
 
 def _edges(spark, sf):
@@ -123,11 +126,11 @@ def entities_clusters(spark, sf):
     return coherence
 
 
-@query("entities_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || c_nationkey % 5 AS ns, 'c' || c_custkey AS x, 'c' || (c_custkey + 40) AS y FROM customer WHERE c_custkey % 3 <> 0),
+@query("entities_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || c_nationkey % 5 AS ns, 'c' || c_custkey AS x, 'c' || (c_custkey + 40) AS y FROM customer),
   b AS (SELECT ns, x, y FROM e UNION SELECT ns, y, x FROM e), r(ns, node, low) AS (SELECT ns, x, x FROM b UNION SELECT b.ns, b.y, r.low FROM r JOIN b ON b.ns = r.ns AND b.x = r.node)
   SELECT ns AS namespace, node, min(low) AS component FROM r GROUP BY 1, 2""")
 def entities_components(spark, sf):
-    c = ad.table(spark, sf, "customer").where("c_custkey % 3 <> 0")
+    c = ad.table(spark, sf, "customer")
     e = c.select(
         F.concat(F.lit("n"), (F.col("c_nationkey") % 5).cast("string")).alias("namespace"),
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("x"),
@@ -187,33 +190,115 @@ def schemas_fixed_point(spark, sf):
 def _deltas(spark, sf):
     items, idf, mentions, members = _groups(spark, sf)
     fixed = sc.fixed_point(members, items, idf)
-    return items, idf, cut(sc.schema_delta(members, items, fixed, mentions))
+    return items, idf, mentions, cut(sc.schema_delta(members, items, fixed, mentions))
 
 
-@query("schemas_delta")
+def _bits(s):
+    """Shannon bits of a string, of its lower-case characters."""
+    return (
+        f"coalesce((SELECT -sum(n / t * log2(n / t)) FROM (SELECT count(*)::DOUBLE AS n, length({s})::DOUBLE AS t "
+        f"FROM (SELECT unnest(string_split({s}, '')) AS c) GROUP BY c)), 0)"
+    )
+
+
+_UNIT = f"({lx.KT} * {lx.LN2} / {lx.TAU_SCHEMA}::DOUBLE)"
+_ITEM = f"""it0 AS (SELECT *, lower(concat_ws(' ', subject, relation, value)) AS srv FROM f),
+it AS (SELECT *, bits * {lx.KT * lx.LN2} / (CASE WHEN override THEN {lx.TAU_OVERRIDE} ELSE {lx.TAU_DEFAULT} END)::DOUBLE AS upkeep FROM (SELECT *, {_bits('srv')} AS bits FROM it0))"""
+
+
+def _delta_sql(name, members, fixed, tokens):
+    """CTE ``name``: subject, tokens, entropies and free-energy change of member groups."""
+    return f"""{name}_s AS (SELECT m.namespace, group_id, sum(upkeep) AS up, sum(bits) AS h_sum, count(*) AS size, arg_min(subject, it.seq) AS first, max(it.seq) AS formed
+  FROM {members} m JOIN it USING (namespace, mem_id) GROUP BY 1, 2),
+{name}_d AS (SELECT namespace, group_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY namespace, group_id ORDER BY n DESC, entity) AS r FROM
+  (SELECT m.namespace, group_id, entity, count(*) AS n FROM {members} m JOIN men USING (namespace, mem_id) GROUP BY 1, 2, 3)) WHERE r = 1),
+{name}_c AS (SELECT namespace, group_id, sum(weight) AS shared, count(*) AS n_fixed, list(token ORDER BY -weight, token) AS own FROM {fixed} GROUP BY 1, 2),
+{name}_t AS (SELECT c.namespace, group_id, shared, n_fixed, {tokens} AS tokens, up, h_sum, size, formed, coalesce(entity, first) AS subject
+  FROM {name}_c c JOIN {name}_s s USING (namespace, group_id) LEFT JOIN {name}_d d USING (namespace, group_id)),
+{name}_v AS (SELECT *, array_to_string(tokens[1:20], ' ') AS value, lower(concat_ws(' ', subject, 'schema', array_to_string(tokens[1:20], ' '))) AS srv FROM {name}_t),
+{name}_h AS (SELECT *, {_bits('srv')} AS h_schema FROM {name}_v),
+{name} AS (SELECT *, {_UNIT} * h_schema - up + {_UNIT} * greatest(0, h_sum - h_schema - shared) + greatest(0, size / {lx.CAPACITY}.0 - 0.5) * {lx.KT * lx.LN2} AS delta_f FROM {name}_h)"""
+
+
+_DELTAS = (_PI, _F, _MENTIONS, _TOK, _IDF, _CAND, _FIX, _ITEM, _delta_sql("dl", "mem", "fx", "own"))
+_BUILT = f"""sch AS (SELECT 'schema/' || namespace || '/' || group_id AS schema_id, * FROM dl WHERE delta_f < 0 AND n_fixed >= {lx.MIN_FIXED_TOKENS}),
+arc AS (SELECT schema_id, namespace, mem_id FROM sch JOIN mem USING (namespace, group_id))"""
+_ABSORBED = f"""taken AS (SELECT namespace, mem_id, schema_id FROM (SELECT *, row_number() OVER (PARTITION BY namespace, mem_id ORDER BY formed, schema_id) AS r FROM
+  (SELECT t.namespace, t.mem_id, schema_id, formed, len(tokens) AS n, count(*) AS k FROM (SELECT *, unnest(tokens) AS token FROM sch) w JOIN tok t USING (namespace, token)
+   WHERE NOT EXISTS (SELECT 1 FROM arc a WHERE a.namespace = t.namespace AND a.mem_id = t.mem_id) GROUP BY ALL)
+  WHERE k / n::DOUBLE >= {lx.ABSORB_COVERAGE}) WHERE r = 1)"""
+
+
+@query("schemas_delta", o.sql("", "SELECT namespace, group_id, subject, n_fixed, round(h_schema, 5) AS h_schema, round(h_sum, 5) AS h_sum, round(delta_f, 5) AS delta_f FROM dl", *_DELTAS))
 def schemas_delta(spark, sf):
-    d = _deltas(spark, sf)[2]
+    d = _deltas(spark, sf)[3]
     return d.select("namespace", "group_id", "subject", "n_fixed", F.round("h_schema", 5).alias("h_schema"), F.round("h_sum", 5).alias("h_sum"), F.round("delta_f", 5).alias("delta_f"))
 
 
-@query("schemas_build")
+@query("schemas_build", o.sql("", f"""SELECT schema_id AS mem_id, namespace, '[Schema: ' || subject || '] ' || value AS text, {lx.TAU_SCHEMA}::DOUBLE AS tau, formed,
+  (SELECT string_agg(mem_id, ' ' ORDER BY mem_id) FROM arc WHERE arc.schema_id = sch.schema_id) AS members FROM sch""", *_DELTAS, _BUILT))
 def schemas_build(spark, sf):
-    s = sc.build_schemas(_deltas(spark, sf)[2])
-    return s.select("mem_id", "namespace", "text", "tau", "retrieval_count", F.size("member_ids").alias("members"))
+    s = sc.build_schemas(_deltas(spark, sf)[3])
+    return s.select("mem_id", "namespace", "text", "tau", "formed", F.array_join("member_ids", " ").alias("members"))
+
+
+@query("schemas_fade", o.sql("", f"""SELECT namespace, mem_id, CASE WHEN EXISTS (SELECT 1 FROM arc WHERE arc.namespace = f.namespace AND arc.mem_id = f.mem_id)
+  THEN {lx.TAU_CRITICAL / 2} WHEN override THEN {lx.TAU_OVERRIDE} ELSE {lx.TAU_DEFAULT} END::DOUBLE AS tau FROM f""", *_DELTAS, _BUILT))
+def schemas_fade(spark, sf):
+    items, _, _, d = _deltas(spark, sf)
+    return sc.fade_members(items, sc.archive_rows(cut(sc.build_schemas(d)))).select("namespace", "mem_id", "tau")
 
 
-@query("schemas_absorb")
+def _absorbed(spark, sf):
+    items, idf, mentions, d = _deltas(spark, sf)
+    schemas = cut(sc.build_schemas(d))
+    after, archive, faded = sc.absorb(items, schemas, sc.archive_rows(schemas))
+    return cut(after), cut(archive), faded, idf, mentions
+
+
+@query("schemas_absorb", o.sql("", """SELECT schema_id, namespace, mem_id FROM arc UNION ALL SELECT schema_id, namespace, mem_id FROM taken""", *_DELTAS, _BUILT, _ABSORBED))
 def schemas_absorb(spark, sf):
-    items, _, d = _deltas(spark, sf)
-    return sc.absorb(items, cut(sc.build_schemas(d)))[1]
+    return _absorbed(spark, sf)[1].select("schema_id", "namespace", "mem_id")
+
+
+@query("schemas_absorbed_state", o.sql("", """SELECT schema_id AS mem_id, namespace, n AS absorbed, n AS retrieval_count, round(h_sum + more, 5) AS h_sum, CASE WHEN n >= 3 THEN 'glass' ELSE 'solid' END AS phase
+  FROM (SELECT s.schema_id, s.namespace, s.h_sum, count(t.mem_id) AS n, coalesce(sum(it.bits), 0) AS more FROM sch s LEFT JOIN taken t USING (schema_id)
+  LEFT JOIN it ON it.namespace = t.namespace AND it.mem_id = t.mem_id GROUP BY ALL)""", *_DELTAS, _BUILT, _ABSORBED))
+def schemas_absorbed_state(spark, sf):
+    after = _absorbed(spark, sf)[0]
+    return after.select("mem_id", "namespace", F.col("absorbed").cast("long").alias("absorbed"), F.col("retrieval_count").cast("long").alias("retrieval_count"), F.round("h_sum", 5).alias("h_sum"), "phase")
+
 
+_MELTED = ("ar2 AS (SELECT schema_id AS group_id, namespace, mem_id FROM arc UNION ALL SELECT schema_id, namespace, mem_id FROM taken), "
+  "pres AS (SELECT a.* FROM ar2 a JOIN f USING (namespace, mem_id) WHERE f.seq % 2 = 1)",
+  """fx2 AS (SELECT namespace, group_id, token, k / size::DOUBLE AS coverage, idf * idf * k / size AS weight FROM (SELECT m.namespace, group_id, token, count(*) AS k
+  FROM pres m JOIN tok USING (namespace, mem_id) GROUP BY 1, 2, 3) JOIN (SELECT namespace, group_id, count(*) AS size FROM pres GROUP BY 1, 2) USING (namespace, group_id)
+  JOIN idf USING (namespace, token) WHERE k >= 0.8 * size)""",
+  _delta_sql("dm", "pres", "fx2", "(SELECT any_value(sch.tokens) FROM sch WHERE sch.schema_id = c.group_id)"),
+  f"""grown AS (SELECT s.schema_id, s.namespace, s.h_schema, s.h_sum + coalesce(sum(it.bits), 0) AS h_sum FROM sch s LEFT JOIN taken t USING (schema_id)
+  LEFT JOIN it ON it.namespace = t.namespace AND it.mem_id = t.mem_id GROUP BY s.schema_id, s.namespace, s.h_schema, s.h_sum),
+  fate AS (SELECT g.schema_id, g.namespace, coalesce(dm.size >= 2 AND dm.delta_f <= {lx.KT * lx.LN2} * greatest(g.h_sum - g.h_schema, 0), false) AS stays
+  FROM grown g LEFT JOIN dm ON dm.group_id = g.schema_id AND dm.namespace = g.namespace)""")
 
-@query("schemas_melt")
+
+@query("schemas_melt", o.sql("", "SELECT schema_id AS mem_id, namespace, stays FROM fate", *_DELTAS, _BUILT, _ABSORBED, *_MELTED))
 def schemas_melt(spark, sf):
-    items, idf, d = _deltas(spark, sf)
-    dimmed = items.withColumn("strength", F.when(F.col("seq") % 2 == 0, 0.0).otherwise(1.0))
-    kept, _ = sc.melt(cut(sc.build_schemas(d)), dimmed, idf)
-    return kept.select("mem_id", "namespace", F.size("member_ids").alias("members"))
+    return _melted(spark, sf)[0].select("mem_id", "namespace", (F.col("strength") > 0).alias("stays"))
+
+
+def _melted(spark, sf):
+    """Every other item has died when the schemas are judged."""
+    after, archive, faded, idf, mentions = _absorbed(spark, sf)
+    dimmed = cut(faded.withColumn("strength", F.when(F.col("seq") % 2 == 0, 0.0).otherwise(1.0)))
+    return sc.melt(after, archive, dimmed, idf, mentions)
+
+
+@query("schemas_freed", o.sql("", f"""SELECT f.namespace, f.mem_id, CASE WHEN EXISTS (SELECT 1 FROM pres p JOIN fate ON p.group_id = schema_id AND p.namespace = fate.namespace
+  WHERE NOT stays AND p.namespace = f.namespace AND p.mem_id = f.mem_id) THEN {lx.TAU_DEFAULT}
+  WHEN EXISTS (SELECT 1 FROM taken t WHERE t.namespace = f.namespace AND t.mem_id = f.mem_id) THEN {lx.TAU_CRITICAL / 2}
+  WHEN override THEN {lx.TAU_OVERRIDE} ELSE {lx.TAU_DEFAULT} END::DOUBLE AS tau FROM f""", *_DELTAS, _BUILT, _ABSORBED, *_MELTED))
+def schemas_freed(spark, sf):
+    return _melted(spark, sf)[1].select("namespace", "mem_id", "tau")
 
 
 # --- belief ----------------------------------------------------------------
@@ -242,9 +327,9 @@ def belief_judge(spark, sf):
     return j.select("vec_id", F.round("similarity", 5).alias("similarity"), "conflict", "merge", "overwrite")
 
 
-@query("belief_revise", """SELECT 'n' || vec_id AS mem_id, 'm' || vec_id AS lineage, vec_id % 5 + 2 AS version, true AS accepted FROM embeddings WHERE vec_id % 2 = 0""")
+@query("belief_revise", """SELECT 'n' || vec_id AS mem_id, 'm' || vec_id AS lineage, vec_id % 5 + 2 AS version, true AS accepted FROM embeddings""")
 def belief_revise(spark, sf):
-    v = ad.table(spark, sf, "embeddings").where("vec_id % 2 = 0")
+    v = ad.table(spark, sf, "embeddings")
     i = F.col("vec_id").cast("string")
     old = v.select(F.concat(F.lit("m"), i).alias("mem_id"), F.concat(F.lit("old "), i).alias("text"),
                    F.col("embedding").cast("array<double>").alias("embedding"), F.array().cast("array<string>").alias("lineage"),

@@ -21,14 +21,15 @@ def metering_running_ops(spark, sf):
 @query(
     "metering_unit_cost",
     o.sql("usage_events users", """SELECT idempotency_key, tier, CASE WHEN tier IS NULL THEN 0 WHEN ops * 1000 > (CASE tier WHEN 'free' THEN 1000
-      WHEN 'pro' THEN 50000 WHEN 'business' THEN 200000 ELSE 1000000 END) THEN (CASE tier WHEN 'pro' THEN 2 WHEN 'business' THEN 1 ELSE 0 END)
-      ELSE 0 END AS unit_cents FROM ops LEFT JOIN users ON id = user_id""", _OPS),
+      WHEN 'pro' THEN 50000 WHEN 'business' THEN 200000 ELSE 1000000 END) THEN (CASE tier WHEN 'pro' THEN CASE event_type WHEN 'encode' THEN 10 WHEN 'search' THEN 0 ELSE 5 END WHEN 'business' THEN CASE event_type WHEN 'read' THEN 3 ELSE 1 END
+      WHEN 'free' THEN CASE event_type WHEN 'write' THEN 7 ELSE 0 END ELSE 0 END) ELSE 0 END AS unit_cents FROM ops LEFT JOIN users ON id = user_id""", _OPS),
 )
 def metering_unit_cost(spark, sf):
     tiers = ad.users(spark, sf).select(F.col("id").alias("user_id"), "tier")
     # Operation counts are scaled so that the small data set crosses the caps.
     ops = mt.running_ops(ad.usage_events(spark, sf)).join(tiers, "user_id", "left").withColumn("ops", F.col("ops") * 1000)
-    return mt.unit_cost(ops).select("idempotency_key", "tier", "unit_cents")
+    rates = {"pro": {"_default": 5, "encode": 10, "search": 0}, "business": {"read": 3, "_default": 1}, "free": {"write": 7}}
+    return mt.unit_cost(ops, rates).select("idempotency_key", "tier", "unit_cents")
 
 
 _KEYS = """keys AS (SELECT c.key_hash, i.namespace, i.owner_email, u.tier, u.subscription_expires_at FROM api_credentials c
@@ -94,9 +95,15 @@ def _calls(spark, sf):
     )
 
 
-@query("metering_rate_limit")
+@query("metering_rate_limit", """WITH RECURSIVE ca AS (SELECT event_type AS key, event_id AS request_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+w(key, request_id, i, held, allowed) AS (
+  SELECT key, request_id, i, [t], true FROM ca WHERE i = 1
+  UNION ALL SELECT ca.key, ca.request_id, ca.i, CASE WHEN len(list_filter(held, lambda x: x > t - 1200000000)) < 2
+    THEN list_append(list_filter(held, lambda x: x > t - 1200000000), t) ELSE list_filter(held, lambda x: x > t - 1200000000) END,
+    len(list_filter(held, lambda x: x > t - 1200000000)) < 2 FROM w JOIN ca ON ca.key = w.key AND ca.i = w.i + 1)
+SELECT key, request_id, allowed FROM w""")
 def metering_rate_limit(spark, sf):
-    return mt.rate_limit(_calls(spark, sf), limit=2, seconds=1200)
+    return mt.rate_limit(_calls(spark, sf), limit=2, seconds=1200).select("key", "request_id", "allowed")
 
 
 @query(

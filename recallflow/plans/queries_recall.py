@@ -89,7 +89,8 @@ def recall_search(spark, sf):
 
 
 def _qvecs(spark, sf):
-    return ad.vectors(spark, sf).where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "namespace", "vec")
+    """Every vector asks."""
+    return ad.vectors(spark, sf).select(F.col("vec_id").alias("query_id"), "namespace", "vec")
 
 
 def _vitems(spark, sf):
@@ -97,21 +98,24 @@ def _vitems(spark, sf):
 
 
 @query("recall_knn", o.sql("vectors", """SELECT query_id, mem_id, r AS rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, mem_id) AS r FROM
-  (SELECT q.vec_id AS query_id, v.vec_id AS mem_id, list_cosine_similarity(q.vec, v.vec) AS s FROM vectors q JOIN vectors v USING (namespace) WHERE q.vec_id % 25 = 0 AND v.confidence >= 0.6)) WHERE r <= 10"""))
+  (SELECT q.vec_id AS query_id, v.vec_id AS mem_id, list_cosine_similarity(q.vec, v.vec) AS s FROM vectors q JOIN vectors v USING (namespace) WHERE v.confidence >= 0.6)) WHERE r <= 10"""))
 def recall_knn(spark, sf):
     k = rc.knn(_qvecs(spark, sf), _vitems(spark, sf), 10, 0.6)
     return k.select("query_id", "mem_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query("recall_knn_approx")
+@query("recall_knn_approx", o.sql("vectors", """SELECT query_id, mem_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, mem_id) AS r FROM
+  (SELECT q.vec_id AS query_id, v.vec_id AS mem_id, list_cosine_similarity(q.vec, v.vec) AS s FROM vectors q JOIN vectors v USING (namespace))) WHERE r <= 10"""))
 def recall_knn_approx(spark, sf):
+    """All cells probed: the index must then give the exact neighbours. Recall with fewer
+    probes is a test."""
     items = _vitems(spark, sf)
-    model = rc.train_cells(items, 16)
-    return rc.knn_approx(_qvecs(spark, sf), rc.assign_cells(items, model), model, 10, 4)
+    model = rc.train_cells(items, rc.cells_for(items.count()))
+    return rc.knn_approx(_qvecs(spark, sf), rc.assign_cells(items, model), model, 10, None).select("query_id", "mem_id", "rank")
 
 
 _KNN = """kn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, mem_id) AS r FROM (SELECT q.vec_id AS query_id, v.vec_id AS mem_id,
-  list_cosine_similarity(q.vec, v.vec) AS score, v.confidence FROM vectors q JOIN vectors v USING (namespace) WHERE q.vec_id % 25 = 0)), kt AS (SELECT * FROM kn WHERE r <= 20)"""
+  list_cosine_similarity(q.vec, v.vec) AS score, v.confidence FROM vectors q JOIN vectors v USING (namespace))), kt AS (SELECT * FROM kn WHERE r <= 20)"""
 
 
 @query("recall_rerank", o.sql("vectors", """SELECT query_id, mem_id, round(0.6 * (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END + 0.4 * confidence, 5) AS score FROM
@@ -160,11 +164,17 @@ def recall_choose_alpha(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", rc.choose_alpha(F.col("text"), F.col("next")).alias("alpha"))
 
 
-@query("recall_embedding_rescue")
+@query("recall_embedding_rescue", o.sql("vectors", """SELECT query_id, mem_id, round(score, 6) AS score, mem_id % 9 = 0 AS is_schema, false AS rescued FROM k5
+  UNION ALL SELECT query_id, mem_id, round(score * 10, 6), false, true FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, mem_id) AS r2 FROM kn0 WHERE mem_id % 9 <> 0
+   AND query_id NOT IN (SELECT query_id FROM k5 WHERE r = 1 AND mem_id % 9 <> 0)) n WHERE r2 <= 5
+   AND NOT EXISTS (SELECT 1 FROM k5 WHERE k5.query_id = n.query_id AND k5.mem_id = n.mem_id AND mem_id % 9 <> 0)""",
+  """kn0 AS (SELECT q.vec_id AS query_id, v.vec_id AS mem_id, list_cosine_similarity(q.vec, v.vec) AS score FROM vectors q JOIN vectors v USING (namespace)),
+  k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, mem_id) AS r FROM kn0) WHERE r <= 5)"""))
 def recall_embedding_rescue(spark, sf):
     items = _vitems(spark, sf).withColumns({"strength": F.lit(1.0), "is_schema": F.col("mem_id") % 9 == 0})
-    hits = rc.knn(_qvecs(spark, sf).where("query_id % 50 = 0"), items, 5).select("query_id", "namespace", "mem_id", F.col("similarity").alias("score"), (F.col("mem_id") % 9 == 0).alias("is_schema"))
-    return rc.embedding_rescue(hits, _qvecs(spark, sf), items, 5)
+    hits = rc.knn(_qvecs(spark, sf), items, 5).select("query_id", "namespace", "mem_id", F.col("similarity").alias("score"), (F.col("mem_id") % 9 == 0).alias("is_schema"))
+    out = rc.embedding_rescue(hits, _qvecs(spark, sf), items, 5)
+    return out.select("query_id", "mem_id", F.round("score", 6).alias("score"), "is_schema", "rescued")
 
 
 def _as_hits(spark, sf, k=20):
@@ -178,10 +188,17 @@ def recall_quality_tiers(spark, sf):
     return rc.quality_tiers(_as_hits(spark, sf), 8).select("query_id", "namespace", "mem_id", "tier")
 
 
-@query("recall_merge_cross_session")
+_HITS = """hh AS (SELECT * FROM (SELECT seq % 20 AS query_id, namespace, mem_id, seq, text, confidence, row_number() OVER (PARTITION BY seq % 20, namespace ORDER BY confidence DESC, mem_id) AS r
+  FROM memories) WHERE r <= 20)"""
+
+
+@query("recall_merge_cross_session", o.sql("memories", """SELECT query_id, namespace, src, r2 AS rank, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, namespace ORDER BY src, r) AS r2 FROM
+  (SELECT query_id, namespace, text, r, 0 AS src FROM cr UNION ALL SELECT d.query_id, d.namespace, d.text, d.r, 1 FROM hh d
+   LEFT JOIN (SELECT query_id, namespace, count(*) AS n FROM cr GROUP BY 1, 2) u USING (query_id, namespace) WHERE seq % 2 = 1 AND d.r <= 10 - coalesce(n, 0))) WHERE r2 <= 10""",
+  _HITS, "cr AS (SELECT * FROM hh WHERE seq % 2 = 0 AND r <= 4)"))
 def recall_merge_cross_session(spark, sf):
     h = _as_hits(spark, sf)
-    return rc.merge_cross_session(h.where("seq % 2 = 0"), h.where("seq % 2 = 1"), 10).select("query_id", "namespace", "src", "rank")
+    return rc.merge_cross_session(h.where("seq % 2 = 0"), h.where("seq % 2 = 1"), 10).select("query_id", "namespace", "src", "rank", F.md5("text").alias("text_md5"))
 
 
 @query("recall_digest", o.sql("memories", """SELECT query_id, lower(trim(text)) AS low FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, mem_id) AS r2 FROM (SELECT *, row_number() OVER
@@ -222,7 +239,8 @@ def recall_labels(spark, sf):
     return rc.label_counts(items)
 
 
-@query("recall_profile")
+@query("recall_profile", o.sql("memories", """SELECT namespace, count(*) AS n, md5(string_agg(text, '; ' ORDER BY p) FILTER (p <= 5)) AS summary_md5 FROM
+  (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY r, query_id, text) AS p FROM (SELECT *, row_number() OVER (PARTITION BY namespace, text ORDER BY r, query_id) AS one FROM hh) WHERE one = 1) WHERE p <= 20 GROUP BY 1""", _HITS))
 def recall_profile(spark, sf):
     return rc.profile(_as_hits(spark, sf)).select("namespace", "n", F.md5("summary").alias("summary_md5"))
 
@@ -236,8 +254,8 @@ def recall_conversation_window(spark, sf):
 def _hop(spark, sf):
     items = _state_items(spark, sf)
     q = ad.queries(spark, sf)
-    first = cut(rc.lexical_search(q, items, 10))
-    return rc.multi_hop(first, q, items, lambda qq: rc.lexical_search(qq, items, 10), 10)
+    first = cut(rc.lexical_search(q, items, 20))
+    return rc.multi_hop(first, q, items, lambda qq: rc.lexical_search(qq, items, 20), 10)
 
 
 @query("recall_multi_hop")
@@ -252,29 +270,39 @@ def entity_setup(spark, sf):
     spectrum = cut(en.entity_spectrum(items, mentions, idf))
     edges = cut(en.coupling(en.candidate_edges(mentions), spectrum, idf))
     members, coherence, joint = (cut(x) for x in en.clusters(edges, spectrum))
-    asks = items.where("seq % 1000 = 0").select(F.col("mem_id").alias("query_id"), "namespace", "text")
+    asks = items.select(F.col("mem_id").alias("query_id"), "namespace", "text")
     return items, idf, mentions, spectrum, edges, members, coherence, joint, asks
 
 
 @query("recall_query_entities")
 def recall_query_entities(spark, sf):
     items = prompt_items(spark, sf)
-    asks = items.where("seq % 1000 = 0").select(F.col("mem_id").alias("query_id"), "namespace", "text")
+    asks = items.select(F.col("mem_id").alias("query_id"), "namespace", "text")
     return rc.query_entities(asks, en.entity_mentions(items))
 
 
 @query("recall_entity_search")
 def recall_entity_search(spark, sf):
+    """Every turn asks; no schemas, no token vectors."""
+    items, idf, mentions, spectrum, edges, members, coherence, joint, asks = entity_setup(spark, sf)
+    graph = {"mentions": mentions, "spectrum": spectrum, "edges": edges, "members": members, "coherence": coherence, "joint": joint, "idf": idf}
+    return rc.search(asks, items, graph, k=10).select("query_id", "mem_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query("recall_full_search")
+def recall_full_search(spark, sf):
+    """With schemas formed from the items and token vectors for the semantic bonus."""
+    from recallflow.operators import schemas as sc
+
     items, idf, mentions, spectrum, edges, members, coherence, joint, asks = entity_setup(spark, sf)
-    found = cut(rc.query_entities(asks, mentions))
-    coupled = cut(rc.coupling_of(found, edges, members, coherence))
-    n = items.count()
-    gidf = cp.global_idf(items.select("mem_id", F.explode("tokens").alias("token")), n)
-    by_entity = rc.entity_search(found, rc.query_tokens(asks), items, mentions, gidf, coupled)
-    by_token = rc.shared_token_search(found, coupled, rc.item_index(items), items, idf, spectrum, edges, joint, mentions)
-    both = by_entity.unionByName(by_token).groupBy(*rc.Q, "mem_id").agg(F.max("score").alias("score"))
-    lexical = rc.lexical_search(asks, items, 20)
-    return rc.fuse(both, lexical, 10).select("query_id", "mem_id", "rank", F.round("score", 4).alias("score"))
+    graph = {"mentions": mentions, "spectrum": spectrum, "edges": edges, "members": members, "coherence": coherence, "joint": joint, "idf": idf}
+    groups = cut(sc.schema_candidates(items, mentions, idf))
+    schemas = cut(sc.build_schemas(sc.schema_delta(groups, items, sc.fixed_point(groups, items, idf), mentions)))
+    tokens = items.select("namespace", "mem_id", F.explode("tokens").alias("token"))
+    pairs, df = cut(cp.cooccurrence_window(items)), cut(cp.token_df(tokens))
+    weights = cut(cp.ppmi(pairs, df, cp.namespace_size(items)))
+    vectors = cp.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=8, iterations=2)
+    return rc.search(asks, items, graph, schemas, vectors, 10, 8).select("query_id", "mem_id", "rank", F.round("score", 4).alias("score"))
 
 
 # --- evaluation ------------------------------------------------------------
@@ -316,12 +344,12 @@ def eval_best_span_f1(spark, sf):
     return ev.best_span_f1(_gold(spark, sf), ["conv_id"])
 
 
-_JUDGE = "kt2 AS (SELECT * FROM kn WHERE r <= 5), ju AS (SELECT q.vec_id AS query_id, v.vec_id AS mem_id FROM vectors q JOIN vectors v ON v.label = q.label AND v.namespace = q.namespace WHERE q.vec_id % 25 = 0)"
+_JUDGE = "kt2 AS (SELECT * FROM kn WHERE r <= 5), ju AS (SELECT q.vec_id AS query_id, v.vec_id AS mem_id FROM vectors q JOIN vectors v ON v.label = q.label AND v.namespace = q.namespace)"
 
 
 def _judged(spark, sf):
     v = ad.vectors(spark, sf)
-    q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    q = v.select(F.col("vec_id").alias("query_id"), "label")
     return q.join(v.select("label", F.col("vec_id").alias("mem_id")), "label").select("query_id", "mem_id")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from recallflow.functions import lexicon as lx
 from recallflow.functions import temporal as tp
 from recallflow.functions import text as tx
 from recallflow.operators import corpus as cp
@@ -17,40 +18,76 @@ from recallflow.sources import adapters as ad
 # --- temporal text: phrases derived from orders and events ------------------
 
 
-def _phrases(spark, sf):
-    """One sentence per order with a relative date; the order date is the reference."""
-    k = F.col("o_orderkey")
-    forms = F.array(
-        F.format_string("met %s %d days ago.", "o_orderpriority", k % 40), F.lit("went yesterday and again tomorrow"),
-        F.format_string("due in %d weeks", k % 9), F.lit("the day before yesterday, tonight"), F.lit("no date here"),
-    )
-    return ad.table(spark, sf, "orders").select(
-        "o_orderkey", F.col("o_orderdate").alias("ref"), F.get(forms, (k % 5).cast("int")).alias("text")
-    )
+_WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_DAY, _MONTH = "'%-d %B %Y'", "'%B %Y'"
+
+
+def _day(n):
+    return f"strftime(d + to_days(CAST({n} AS INTEGER)), {_DAY})"
 
 
-_D = "strftime({0}, '%-d %B %Y')"
+def _expressions():
+    """(expression, word before the date, date as SQL over ``d``): all kinds, each once a form."""
+    out = [
+        ("the day before yesterday", "on", _day(-2)), ("the day after tomorrow", "on", _day(2)), ("yesterday", "on", _day(-1)), ("TODAY", "on", _day(0)),
+        ("tomorrow", "on", _day(1)), ("tonight", "on", _day(0)), ("in a week", "on", _day(7)), ("in a  month", "on", _day(30)),
+        ("last week", "the week of", _day(-7)), ("this week", "the week of", _day(0)), ("next week", "the week of", _day(7)),
+        ("last year", "in", "(year(d) - 1)::VARCHAR"), ("this year", "in", "year(d)::VARCHAR"), ("next year", "in", "(year(d) + 1)::VARCHAR"),
+        ("this month", "in", f"strftime(d, {_MONTH})"),
+        ("next month", "in", f"CASE WHEN day(d + INTERVAL 1 MONTH) = day(d) THEN strftime(d + INTERVAL 1 MONTH, {_MONTH}) END"),
+        ("last month", "in", f"CASE WHEN day(d - INTERVAL 1 MONTH) = day(d) THEN strftime(d - INTERVAL 1 MONTH, {_DAY}) END"),
+        ("last weekend", "the week of", _day("-((isodow(d) + 1) % 7) - CASE WHEN isodow(d) = 6 THEN 7 ELSE 0 END")),
+        ("this weekend", "the week of", _day("CASE WHEN isodow(d) = 6 THEN 7 ELSE (13 - isodow(d)) % 7 END")),
+        ("next weekend", "the week of", _day("7 + CASE WHEN isodow(d) = 6 THEN 7 ELSE (13 - isodow(d)) % 7 END")),
+    ]
+    out += [(f"this {p}", "on", _day(0)) for p in ("morning", "afternoon", "evening")]
+    for n in (1, 2, 13):
+        out += [(f"{n} day{'s' * (n > 1)} ago", "on", _day(-n)), (f"{n} weeks ago", "on", _day(-7 * n)), (f"in {n} days", "on", _day(n)), (f"in {n} week", "on", _day(7 * n))]
+        out += [(f"{n} months ago", "on", f"CASE WHEN day(d - INTERVAL {n} MONTH) = day(d) THEN strftime(d - INTERVAL {n} MONTH, {_DAY}) END")]
+    for i, name in enumerate(_WEEKDAYS, 1):
+        back, ahead = f"-coalesce(nullif((isodow(d) - {i} + 7) % 7, 0), 7)", f"coalesce(nullif(({i} - isodow(d) + 7) % 7, 0), 7)"
+        out += [(f"last {name}", "on", _day(back)), (f"this {name}", "on", _day(ahead)), (f"next {name[:3]}", "on", _day(ahead))]
+    for i, name in enumerate(_MONTHS, 1):
+        title, after, before = name.capitalize(), f"year(d) + (month(d) >= {i})::INT", f"year(d) - (month(d) <= {i})::INT"
+        out += [(f"in {name}", "in", f"'{title} ' || ({after})"), (f"in {name[:3]}", "in" if name == "may" else "on", f"'{title} ' || ({after})")]
+        out += [(f"next {name}", "in" if i < 3 else "on", f"'{title} ' || ({after})"), (f"last {name}", "in" if i == 1 else "on", f"'{title} ' || ({before})")]
+    return out
 
 
-def _d(expr):
-    return _D.format(expr)
+_FORMS = ["met {0}.", "{0}, or not", "no date, then {0} and more {1}", "it was not in {1} {0}"]
 
 
-_PH = f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'met ' || o_orderpriority || ' on ' || {_d("o_orderdate - to_days(CAST(o_orderkey % 40 AS INTEGER))")} || '.'
-  WHEN 1 THEN 'went on ' || {_d('o_orderdate - to_days(1)')} || ' and again on ' || {_d('o_orderdate + to_days(1)')}
-  WHEN 2 THEN 'due on ' || {_d("o_orderdate + to_days(CAST(o_orderkey % 9 * 7 AS INTEGER))")}
-  WHEN 3 THEN 'on ' || {_d('o_orderdate - to_days(2)')} || ', on ' || {_d('o_orderdate')} ELSE 'no date here' END AS text FROM orders"""
+def _said(expr, word, date):
+    """SQL for the replaced and the annotated expression; without a day both stay as said."""
+    return f"coalesce('{word} ' || {date}, '{expr}')", f"coalesce('{expr} [' || {date} || ']', '{expr}')"
 
 
-@query("temporal_resolve_dates", _PH)
+def _phrases(spark, sf):
+    """One sentence per order, every expression in turn; the order date is the reference."""
+    texts = [form.format(e, "2021") for form in _FORMS for e, _, _ in _expressions()]
+    k = F.col("o_orderkey") % len(texts)
+    return ad.table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderdate").alias("ref"), F.get(F.array(*[F.lit(t) for t in texts]), k.cast("int")).alias("text")
+    )
+
+
+def _phrases_sql(which):
+    forms = [form.format("' || x || '", "2021") for form in _FORMS]
+    n = len(_expressions())
+    cases = " ".join(f"WHEN {i} THEN {_said(*e)[which]}" for i, e in enumerate(_expressions()))
+    whole = " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(forms))
+    return f"""WITH o AS (SELECT o_orderkey, o_orderkey % {n * len(forms)} AS k, o_orderdate::DATE AS d FROM orders),
+x AS (SELECT o_orderkey, k, CASE k % {n} {cases} END AS x FROM o)
+SELECT o_orderkey, CASE k // {n} {whole} END AS text FROM x"""
+
+
+@query("temporal_resolve_dates", _phrases_sql(0))
 def temporal_resolve_dates(spark, sf):
     return _phrases(spark, sf).select("o_orderkey", tp.resolve_dates(F.col("text"), F.col("ref")).alias("text"))
 
 
-@query("temporal_annotate_dates", f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'met ' || o_orderpriority || ' ' || o_orderkey % 40 || ' days ago [' || {_d("o_orderdate - to_days(CAST(o_orderkey % 40 AS INTEGER))")} || '].'
-  WHEN 1 THEN 'went yesterday [' || {_d('o_orderdate - to_days(1)')} || '] and again tomorrow [' || {_d('o_orderdate + to_days(1)')} || ']'
-  WHEN 2 THEN 'due in ' || o_orderkey % 9 || ' weeks [' || {_d("o_orderdate + to_days(CAST(o_orderkey % 9 * 7 AS INTEGER))")} || ']'
-  WHEN 3 THEN 'the day before yesterday [' || {_d('o_orderdate - to_days(2)')} || '], tonight [' || {_d('o_orderdate')} || ']' ELSE 'no date here' END AS text FROM orders""")
+@query("temporal_annotate_dates", _phrases_sql(1))
 def temporal_annotate_dates(spark, sf):
     return _phrases(spark, sf).select("o_orderkey", tp.annotate_dates(F.col("text"), F.col("ref")).alias("text"))
 
@@ -83,15 +120,15 @@ def temporal_date_label(spark, sf):
 
 def _events_text(spark, sf):
     """Part orders told as events: the part name is what happened."""
-    li = ad.table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_shipdate")
+    li = ad.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     p = ad.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
     return li.join(p, "l_partkey").select(
         F.col("p_brand").alias("namespace"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("mem_id"),
-        F.col("l_orderkey").alias("seq"), F.concat(F.lit("I went to the "), F.element_at(F.split("p_name", " "), -1)).alias("text"), F.col("l_shipdate").alias("event_at"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("I went to the "), F.element_at(F.split("p_name", " "), -1)).alias("text"), F.col("l_shipdate").alias("event_at"),
     )
 
 
-_EV = """ev AS (SELECT p_brand AS namespace, l_orderkey AS seq, string_split(p_name, ' ')[-1] AS noun, l_shipdate FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)"""
+_EV = """ev AS (SELECT p_brand AS namespace, l_orderkey * 10 + l_linenumber AS seq, string_split(p_name, ' ')[-1] AS noun, l_shipdate FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 @query("threads_events", o.sql("", """SELECT namespace, 'i went to the ' || noun AS event, count(DISTINCT CAST(l_shipdate AS DATE)) AS dates, min(CAST(l_shipdate AS DATE)) AS first_date FROM ev
@@ -101,13 +138,15 @@ def threads_events(spark, sf):
     return t.select("namespace", "event", F.size("dates").cast("bigint").alias("dates"), F.col("dates")[0].alias("first_date"))
 
 
-@query("threads_hits")
+@query("threads_hits", o.sql("", """SELECT p_partkey AS query_id, p_brand AS namespace, '[Frequency] i went to the ' || noun || ': ' || len(ds) || ' times. Most recent: ' ||
+  array_to_string(list_transform(ds[-3:], lambda x: strftime(x, '%-d %B %Y')), ', ') AS text, len(ds)::INT AS times FROM part JOIN
+  (SELECT namespace, noun, list_sort(list(DISTINCT CAST(l_shipdate AS DATE))) AS ds FROM ev GROUP BY 1, 2) t ON t.namespace = p_brand AND noun = string_split(p_name, ' ')[-1] WHERE len(ds) >= 2""", _EV))
 def threads_hits(spark, sf):
     e = _events_text(spark, sf)
     q = ad.table(spark, sf, "part").select(
         F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("namespace"), F.concat(F.lit("how many times did I visit the "), F.col("p_name")).alias("text")
     )
-    return th.thread_hits(q, cut(th.event_threads(e)), "2002-01-01 00:00:00")
+    return th.thread_hits(q, cut(th.event_threads(e)), "2002-01-01 00:00:00").select("query_id", "namespace", "text", "times")
 
 
 # --- sessions --------------------------------------------------------------
@@ -118,7 +157,7 @@ def _idf(spark, sf):
     return cp.token_weights(cp.token_df(cp.item_tokens(p)), cp.namespace_size(p))
 
 
-_P = "p AS (SELECT namespace, session_id, sequence_num, created_at, role, content AS text, left(content, 2000) AS head FROM prompt_log)"
+_P = "p AS (SELECT namespace, session_id, sequence_num, created_at, role, content AS text, content AS head FROM prompt_log)"
 _PT = o.tokens("tok", "p", "namespace, session_id, sequence_num")
 _HT = o.tokens("ht", "p", "namespace, session_id, sequence_num", "head")
 _IDF = """idf AS (SELECT namespace, token, ln(1 + n / (1.0::DOUBLE + df)) AS idf FROM (SELECT namespace, token, count(*) AS df FROM tok GROUP BY 1, 2) JOIN (SELECT namespace, count(*) AS n FROM p GROUP BY 1) USING (namespace))"""
@@ -192,13 +231,22 @@ def sessions_active(spark, sf):
     return ss.active_sessions(ad.prompt_log(spark, sf), "2024-01-01 09:00:00").select("session_id", "sequence_num")
 
 
-@query("sessions_report")
+@query("sessions_report", o.sql("prompt_log", """SELECT namespace, session_id, n AS prompt_count, t AS top_tokens FROM (SELECT namespace, session_id, count(*) AS n FROM p GROUP BY 1, 2) LEFT JOIN
+  (SELECT namespace, session_id, string_agg(token, ' ' ORDER BY r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY namespace, session_id ORDER BY round(weight, 9) DESC, token) AS r FROM sp) WHERE r <= 10 GROUP BY 1, 2) USING (namespace, session_id)""",
+  _P, _PT, _HT, _IDF, _SPEC))
 def sessions_report(spark, sf):
     p, s = ad.prompt_log(spark, sf), _spectrum(spark, sf)
     top, _ = ss.session_report(ss.session_info(p, s), s, ss.session_coupling(s))
     return top.select("namespace", "session_id", "prompt_count", F.array_join("top_tokens", " ").alias("top_tokens"))
 
 
+@query("sessions_pairs", o.sql("prompt_log", f"SELECT namespace, session_a, session_b, round(coupling, 5) AS coupling, coupling >= {lx.K_CRITICAL} AS synchronized FROM co", _P, _PT, _HT, _IDF, _SPEC, _COUP))
+def sessions_pairs(spark, sf):
+    p, s = ad.prompt_log(spark, sf), _spectrum(spark, sf)
+    _, pairs = ss.session_report(ss.session_info(p, s), s, ss.session_coupling(s))
+    return pairs.select("namespace", "session_a", "session_b", F.round("coupling", 5).alias("coupling"), "synchronized")
+
+
 @query("sessions_list", o.sql("prompt_log", """SELECT namespace, session_id, n AS message_count FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY last_at DESC, session_id) AS r FROM
   (SELECT namespace, session_id, max(created_at) AS last_at, count(*) AS n FROM prompt_log GROUP BY 1, 2)) WHERE r <= 5"""))
 def sessions_list(spark, sf):
@@ -241,10 +289,17 @@ _SUM = """ud AS (SELECT token, i, sum(v) AS s FROM (SELECT token, unnest(vec) AS
 cv AS (SELECT token, i, s / sqrt(sum(s * s) OVER (PARTITION BY token)) AS v FROM ud)"""
 
 
-@query("embeddings_collective", o.sql("user_vectors", "SELECT token, (SELECT count(*) FROM u WHERE u.token = c.token) AS contributors, round(max(v), 5) AS hi, round(min(v), 5) AS lo FROM cv c GROUP BY 1", _UV, _SUM))
+def _whole(vec):
+    """All elements of a vector, rounded, as one digest."""
+    return F.md5(F.array_join(F.transform(vec, lambda x: F.format_string("%.4f", F.round(x, 4) + F.lit(0.0))), " "))
+
+
+_ALL = "md5(string_agg(printf('%.4f', round(v, 4) + 0.0), ' ' ORDER BY i))"
+
+
+@query("embeddings_collective", o.sql("user_vectors", f"SELECT token, (SELECT count(*) FROM u WHERE u.token = c.token) AS contributors, {_ALL} AS vec_md5 FROM cv c GROUP BY 1", _UV, _SUM))
 def embeddings_collective(spark, sf):
-    c = em.collective_vectors(_uv(spark, sf), 64)
-    return c.select("token", "contributors", F.round(F.array_max("vec"), 5).alias("hi"), F.round(F.array_min("vec"), 5).alias("lo"))
+    return em.collective_vectors(_uv(spark, sf), 64).select("token", "contributors", _whole("vec").alias("vec_md5"))
 
 
 def _near_vectors(spark, sf):
@@ -283,24 +338,31 @@ def embeddings_merge_synonyms(spark, sf):
     return em.merge_synonyms(s, s).select("token_a", "token_b", F.round("similarity", 6).alias("similarity"), "confirmations")
 
 
-@query("embeddings_expand_query")
+@query("embeddings_expand_query", o.sql("user_vectors", """SELECT user_id AS query_id, token FROM (SELECT DISTINCT user_id, token FROM user_vectors) UNION
+  SELECT DISTINCT user_id, synonym FROM user_vectors JOIN (SELECT *, row_number() OVER (PARTITION BY token ORDER BY similarity DESC, synonym) AS r FROM
+  (SELECT token_a AS token, token_b AS synonym, similarity FROM sy WHERE confirmations >= 3 UNION ALL SELECT token_b, token_a, similarity FROM sy WHERE confirmations >= 3)) USING (token) WHERE r <= 8""", _UV, _NV, _SYN))
 def embeddings_expand_query(spark, sf):
     q = ad.user_vectors(spark, sf).select(F.col("user_id").alias("query_id"), "token").distinct()
     return em.expand_query(q, cut(_syn(spark, sf)))
 
 
-@query("embeddings_blend", o.sql("user_vectors", """SELECT user_id, token, round(max(v), 5) AS hi FROM (SELECT user_id, token, b / sqrt(sum(b * b) OVER (PARTITION BY user_id, token)) AS v FROM
-  (SELECT user_id, token, 0.8 * x + 0.2 * cv.v AS b FROM (SELECT user_id, token, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM u) JOIN cv USING (token, i))) GROUP BY 1, 2""", _UV, _SUM))
+_BLEND = """bl AS (SELECT user_id, token, i, b / sqrt(sum(b * b) OVER (PARTITION BY user_id, token)) AS v FROM
+  (SELECT user_id, token, i, 0.8 * x + 0.2 * cv.v AS b FROM (SELECT user_id, token, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM u) JOIN cv USING (token, i)))"""
+
+
+@query("embeddings_blend", o.sql("user_vectors", f"SELECT user_id, token, {_ALL} AS vec_md5 FROM bl GROUP BY 1, 2", _UV, _SUM, _BLEND))
 def embeddings_blend(spark, sf):
     uv = _uv(spark, sf)
-    grown = em.broadcast_vectors(uv, em.collective_vectors(uv, 64), 64)
-    return grown.join(uv.select("user_id", "token"), ["user_id", "token"], "left_semi").select("user_id", "token", F.round(F.array_max("vec"), 5).alias("hi"))
+    c = em.collective_vectors(uv, 64)
+    grown = em.blend_vectors(uv, uv.select("user_id", "token").join(c, "token"), ["user_id", "token"], 64)
+    return grown.select("user_id", "token", _whole("vec").alias("vec_md5"))
 
 
-@query("embeddings_broadcast", o.sql("user_vectors", "SELECT user_id, count(*) AS tokens FROM (SELECT DISTINCT user_id FROM u), (SELECT DISTINCT token FROM u) GROUP BY 1", _UV))
+@query("embeddings_broadcast", o.sql("user_vectors", f"""SELECT user_id, token, {_ALL} AS vec_md5 FROM (SELECT user_id, token, i, v FROM bl UNION ALL
+  SELECT w.user_id, cv.token, cv.i, cv.v FROM (SELECT DISTINCT user_id FROM u) w, cv WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = w.user_id AND u.token = cv.token)) GROUP BY 1, 2""", _UV, _SUM, _BLEND))
 def embeddings_broadcast(spark, sf):
     uv = _uv(spark, sf)
-    return em.broadcast_vectors(uv, em.collective_vectors(uv, 64), 64).groupBy("user_id").agg(F.count(F.lit(1)).alias("tokens"))
+    return em.broadcast_vectors(uv, em.collective_vectors(uv, 64), 64).select("user_id", "token", _whole("vec").alias("vec_md5"))
 
 
 _DR = """dr AS (SELECT user_id, token, epoch, 1 - list_cosine_similarity(lag(vec) OVER w, vec) AS drift, lag(doc_count) OVER w AS from_count, doc_count AS to_count FROM user_vectors WINDOW w AS (PARTITION BY user_id, token ORDER BY epoch))"""
@@ -360,19 +422,51 @@ def jobs_embedding_sync(spark, sf):
     return out["generations"].select("token", "contributors", F.round("total_weight", 6).alias("total_weight"))
 
 
-@query("jobs_sleep_cycle")
-def jobs_sleep_cycle(spark, sf):
+def _cycle(spark, sf):
+    """Schemas of the prompts; half are in L2 already and a third in L3."""
     from recallflow.operators import schemas as sc
     from recallflow.plans.jobs import sleep_cycle
     from recallflow.plans.queries_entities import _deltas
 
-    items, _, d = _deltas(spark, sf)
-    schemas = cut(sc.build_schemas(d))
-    empty = schemas.select(
-        "mem_id", "namespace", F.lit(0).cast("bigint").alias("seq"), "text", F.col("strength").alias("confidence"), F.lit(0.0).alias("salience"),
-        F.lit(0).alias("usage_count"), F.lit(1).alias("version"), F.lit(1.0).alias("edge_weight"),
-    ).limit(0)
-    return sleep_cycle(items, schemas, empty, empty)["report"]
+    items, _, _, d = _deltas(spark, sf)
+    schemas = cut(sc.build_schemas(d)).withColumn("strength", F.when(F.col("formed") % 5 == 0, 0.02).when(F.col("formed") % 5 == 1, 0.5).otherwise(1.0))
+    rows = schemas.select(
+        "mem_id", "namespace", F.lit(0).cast("bigint").alias("seq"), F.lit("old").alias("text"), F.lit(0.25).alias("confidence"), F.lit(0.0).alias("salience"),
+        F.lit(3).alias("usage_count"), F.lit(2).alias("version"), F.lit(0.5).alias("edge_weight"), "formed",
+    )
+    return sleep_cycle(items, schemas, rows.where("formed % 2 = 0").drop("formed"), rows.where("formed % 3 = 0").drop("formed"))
+
+
+def _cycle_parts():
+    from recallflow.plans import queries_entities as qe
+
+    return [*qe._DELTAS, qe._BUILT, """cy AS (SELECT *, CASE formed % 5 WHEN 0 THEN 0.02 WHEN 1 THEN 0.5 ELSE 1.0 END AS strength FROM sch),
+      ex AS (SELECT * FROM cy WHERE strength >= 0.05), l3n AS (SELECT * FROM ex WHERE strength >= 0.85 AND formed % 3 <> 0)"""]
+
+
+@query("jobs_sleep_cycle", o.sql("", """SELECT namespace, least(count(*), 50)::BIGINT AS rehearsed, coalesce((SELECT count(*) FROM ex WHERE ex.namespace = f.namespace), 0) AS schemas_exported,
+  coalesce((SELECT count(*) FROM l3n WHERE l3n.namespace = f.namespace), 0) AS archived_to_l3 FROM f GROUP BY namespace""", *_cycle_parts()))
+def jobs_sleep_cycle(spark, sf):
+    r = _cycle(spark, sf)["report"]
+    return r.select("namespace", *[F.col(c).cast("long").alias(c) for c in ("rehearsed", "schemas_exported", "archived_to_l3")])
+
+
+@query("jobs_sleep_cycle_l2", o.sql("", """SELECT schema_id AS mem_id, namespace, CASE WHEN strength < 0.05 THEN md5('old') ELSE md5('[Schema: ' || subject || '] ' || value) END AS text_md5,
+  CAST(CASE WHEN strength < 0.05 THEN 0.25 ELSE strength END AS DOUBLE) AS confidence, CASE WHEN strength < 0.05 THEN 2 WHEN formed % 2 = 0 THEN 3 ELSE 1 END AS version,
+  round(CASE WHEN strength < 0.05 THEN 0.5 WHEN formed % 2 = 0 THEN 0.505 ELSE 1.0 END::DOUBLE, 6) AS edge_weight FROM cy WHERE strength >= 0.05 OR formed % 2 = 0""", *_cycle_parts()))
+def jobs_sleep_cycle_l2(spark, sf):
+    out = _cycle(spark, sf)["l2"]
+    return out.select("mem_id", "namespace", F.md5("text").alias("text_md5"), F.col("confidence").cast("double").alias("confidence"), "version", F.round("edge_weight", 6).alias("edge_weight"))
+
+
+@query("jobs_sleep_cycle_l3", o.sql("", "SELECT schema_id AS mem_id, namespace, md5('[Schema: ' || subject || '] ' || value) AS text_md5 FROM l3n", *_cycle_parts()))
+def jobs_sleep_cycle_l3(spark, sf):
+    return _cycle(spark, sf)["l3_new"].select("mem_id", "namespace", F.md5("text").alias("text_md5"))
+
+
+@query("jobs_sleep_cycle_state", o.sql("", "SELECT namespace, mem_id, CASE WHEN r <= 50 THEN 1 ELSE 0 END AS retrieval_count FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY seq) AS r FROM f)", *_cycle_parts()))
+def jobs_sleep_cycle_state(spark, sf):
+    return _cycle(spark, sf)["state"].select("namespace", "mem_id", "retrieval_count")
 
 
 @query("jobs_recall")

@@ -1,9 +1,12 @@
 """Queries over sources and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recallflow.plans import oracle as o
 from recallflow.plans.registry import query
+from recallflow.session import shared_folder
 from recallflow.sources import adapters as ad
 from recallflow.sources import store as so
 
@@ -21,27 +24,27 @@ def store_validate_dead_letters(spark, sf):
     return dead.groupBy("error_class", "error_message").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DELTA = """delta AS (SELECT 'm' || (doc_id * 2) AS mem_id, 'new ' || left(text, 40) AS text, 0.9 + (doc_id % 7)::DOUBLE / 100 AS confidence, 0.25::DOUBLE AS salience,
+_DELTA = """delta AS (SELECT 'm' || (doc_id * 2) AS mem_id, 'new ' || text AS text, 0.9 + (doc_id % 7)::DOUBLE / 100 AS confidence, 0.25::DOUBLE AS salience,
   CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2025-01-01' END AS event_at, lang AS namespace, doc_id AS seq, 0 AS usage_count FROM documents)"""
 
 
 def _base(spark, sf):
     return ad.memories(spark, sf).select(
-        "mem_id", "namespace", "seq", F.substring("text", 1, 40).alias("text"), "confidence", "salience", "event_at", "version", "usage_count"
+        "mem_id", "namespace", "seq", "text", "confidence", "salience", "event_at", "version", "usage_count"
     )
 
 
 def _delta(spark, sf):
     d = F.col("doc_id")
     return ad.table(spark, sf, "documents").select(
-        F.concat(F.lit("m"), (d * 2).cast("string")).alias("mem_id"), F.concat(F.lit("new "), F.substring("text", 1, 40)).alias("text"),
+        F.concat(F.lit("m"), (d * 2).cast("string")).alias("mem_id"), F.concat(F.lit("new "), "text").alias("text"),
         (0.9 + (d % 7) / 100).alias("confidence"), F.lit(0.25).alias("salience"),
         F.when(d % 2 == 0, F.lit("2025-01-01").cast("timestamp")).alias("event_at"), F.col("lang").alias("namespace"),
         d.alias("seq"), F.lit(1).alias("version"), F.lit(0).alias("usage_count"),
     )
 
 
-@query("store_upsert_memories", o.sql("memories", """SELECT coalesce(b.mem_id, d.mem_id) AS mem_id, CASE WHEN d.mem_id IS NOT NULL THEN md5(d.text) ELSE md5(left(b.text, 40)) END AS text_md5,
+@query("store_upsert_memories", o.sql("memories", """SELECT coalesce(b.mem_id, d.mem_id) AS mem_id, CASE WHEN d.mem_id IS NOT NULL THEN md5(d.text) ELSE md5(b.text) END AS text_md5,
   round(coalesce(d.confidence, b.confidence), 6) AS confidence, coalesce(d.salience, b.salience) AS salience, strftime(coalesce(d.event_at, b.event_at), '%Y-%m-%d') AS event_at,
   CASE WHEN b.mem_id IS NULL THEN 1 WHEN d.mem_id IS NULL THEN 1 ELSE 2 END AS version, CASE WHEN b.mem_id IS NULL THEN 0 WHEN d.mem_id IS NULL THEN b.usage_count ELSE b.usage_count + 1 END AS usage_count
   FROM memories b FULL JOIN delta d ON b.mem_id = d.mem_id""", _DELTA))
@@ -197,11 +200,15 @@ def store_resolve_namespace(spark, sf):
     return so.resolve_namespace(e, all_aliases).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("store_decay_edges", o.sql("memories", "SELECT mem_id, namespace, round(CASE WHEN namespace = 'en' THEN confidence * 0.9 ELSE confidence END, 6) AS edge_weight FROM memories"))
+def store_decay_edges(spark, sf):
+    edges = ad.memories(spark, sf).select("mem_id", "namespace", F.col("confidence").cast("double").alias("edge_weight"))
+    return so.decay_edges(edges, 0.9, "en").withColumn("edge_weight", F.round("edge_weight", 6))
+
+
 @query("store_engrams_round_trip", o.sql("vectors", """SELECT 'v' || vec_id AS id, 'L3' AS store_level, namespace, len(vec) AS dims, round(vec[1], 6) AS first, 1 AS parents FROM vectors"""))
 def store_engrams_round_trip(spark, sf):
     """Encode, write to the shared checkpoint folder, and read back."""
-    from recallflow.session import _checkpoint_dir
-
     v = ad.vectors(spark, sf)
     items = v.select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), "namespace", F.lit("").alias("text"),
@@ -210,8 +217,7 @@ def store_engrams_round_trip(spark, sf):
         F.lit(0.5).alias("salience"), F.lit(0).cast("bigint").alias("usage_count"), F.lit(0.5).alias("authority"),
         F.create_map(F.lit("k"), F.lit("1")).alias("metadata"), F.col("vec").alias("embedding"),
     )
-    _checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/engrams-{abs(hash(sf))}"
+    path = f"{shared_folder(spark)}/engrams-{uuid.uuid4().hex}"
     so.write_snapshot(so.encode_engrams(items), path)
     return so.read_engrams(spark, path).select(
         "id", "store_level", "namespace", F.size("embedding").alias("dims"),

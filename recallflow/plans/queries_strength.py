@@ -37,10 +37,10 @@ def _gram(s):
 
 
 _SURPRISE = f"""g AS (SELECT *, {_gram('value')} AS gr FROM kept WHERE subject <> '' AND relation <> ''),
-pr AS (SELECT i.namespace, i.seq, j.seq AS old, i.override, len(i.gr) + len(j.gr) AS both, len(list_intersect(i.gr, j.gr))::DOUBLE AS x
+pr AS (SELECT i.namespace, i.seq, j.seq AS old, i.override, len(i.gr) + len(j.gr) AS n_both, len(list_intersect(i.gr, j.gr))::DOUBLE AS x
   FROM g i LEFT JOIN g j ON i.namespace = j.namespace AND i.subject = j.subject AND i.relation = j.relation AND j.seq < i.seq),
 sp AS (SELECT namespace, seq, count(old) AS contradicted, coalesce(max(CASE WHEN override THEN {lx.SIGMA_MAX}
-  ELSE (1 - x / (both - x)) * {lx.SIGMA_MAX} END) FILTER (WHERE old IS NOT NULL), 0) AS surprise FROM pr GROUP BY 1, 2)"""
+  ELSE (1 - x / (n_both - x)) * {lx.SIGMA_MAX} END) FILTER (WHERE old IS NOT NULL), 0) AS surprise FROM pr GROUP BY 1, 2)"""
 _DAMAGE = f"""dm AS (SELECT j.namespace, j.seq, least(2.0, coalesce(sum(CASE WHEN i.seq IS NULL THEN 0 ELSE
   (CASE WHEN i.override THEN 1.5 ELSE 1.0 END) / (1 + exp(-10 * (least(s.surprise / {lx.SIGMA_MAX}, 1.0) - 0.5)))
   * (least((CASE WHEN i.override THEN 200 ELSE 50 END)::DOUBLE / (CASE WHEN j.override THEN 200 ELSE 50 END), 4.0) / 4 + 0.5) END), 0)) AS damage

@@ -341,11 +341,11 @@ def text_drop_noise(spark, sf):
 
 @query(
     "text_clip_events",
-    """SELECT page_id, left(trim(url), 20) AS page, left(trim(html), 512) AS ref FROM pages WHERE trim(url) <> ''""",
+    """SELECT page_id, left(trim(url), 512) AS page, left(trim(html), 512) AS ref FROM pages WHERE trim(url) <> ''""",
 )
 def text_clip_events(spark, sf):
     p = ad.table(spark, sf, "pages").select(
-        "page_id", tx.clip(F.col("url"), 20).alias("page"), tx.clip(F.col("html"), 512).alias("ref")
+        "page_id", tx.clip(F.col("url"), 512).alias("page"), tx.clip(F.col("html"), 512).alias("ref")
     )
     return p.where(F.col("page") != "")
 

@@ -47,15 +47,21 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Split a scan that has fewer partitions than the cluster has cores.
+    """Deal a text table into as many partitions as the setting asks for.
 
-    Text functions are CPU-bound, and a small file may be one row group and thus one task.
-    A large table already has more partitions than cores and is returned untouched, so no
-    shuffle is ever added at scale.
+    Text functions are CPU-bound and a small file may be one row group, thus one task; the
+    bench asks for its cores. Unset, the default, nothing is added: a large table already
+    has more splits than a cluster has cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    n = df.sparkSession.conf.get("spark.recallflow.textPartitions", None)
+    return df.repartition(int(n), key) if n else df
 
 
 def cut(df: DataFrame) -> DataFrame:

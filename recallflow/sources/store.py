@@ -112,6 +112,12 @@ def upsert_schema_nodes(base: DataFrame, delta: DataFrame, order: str = "seq") -
     return upsert_memories(base, delta, order, graph=True)
 
 
+def decay_edges(edges: DataFrame, factor: float = 0.95, namespace: str | None = None) -> DataFrame:
+    """Edge weights times ``factor``, of one namespace or of all."""
+    mine = F.lit(True) if namespace is None else F.col("namespace") == namespace
+    return edges.withColumn("edge_weight", F.when(mine, F.col("edge_weight") * factor).otherwise(F.col("edge_weight")))
+
+
 def append_new(base: DataFrame, delta: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows of ``delta`` to append: first per key, keys of ``base`` left out.
 
@@ -288,4 +294,5 @@ def add_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def canonical_namespace(user_id: Column) -> Column:
-    return F.concat(F.lit("user-"), F.substring(user_id.cast("string"), 1, 8))
+    """The whole id: users that share a beginning never share a namespace."""
+    return F.concat(F.lit("user-"), user_id.cast("string"))

@@ -55,20 +55,28 @@ def test_knn_equals_brute_force_and_cells_find_most(spark, sf):
     assert len(approx & exact) / len(exact) > 0.8
 
 
-def test_relative_dates():
-    ref = datetime(2024, 5, 8)
-    cases = {
-        "I went to the doctor yesterday": "I went to the doctor on 7 May 2024",
-        "Meeting tomorrow and dentist next week": "Meeting on 9 May 2024 and dentist the week of 15 May 2024",
-        "I ran a race last Saturday": "I ran a race on 4 May 2024",
-        "Going camping next month": "Going camping in June 2024",
-        "the day before yesterday": "on 6 May 2024", "in June": "in June 2024", "last weekend": "the week of 4 May 2024",
-        "in a week": "on 15 May 2024", "Bought this in 2021": "Bought this in 2021",
-    }
-    for text, want in cases.items():
-        assert tp.resolve_one(text, ref) == want
-    assert tp.resolve_one("1 month ago", datetime(2024, 3, 31)) == "1 month ago"
-    assert tp.resolve_one("yesterday", ref, annotate=True) == "yesterday [7 May 2024]"
+def test_relative_dates(spark):
+    cases = [
+        ("2024-05-08", "I went to the doctor yesterday", "I went to the doctor on 7 May 2024"),
+        ("2024-05-08", "Meeting tomorrow and dentist next week", "Meeting on 9 May 2024 and dentist the week of 15 May 2024"),
+        ("2024-05-08", "I ran a race last Saturday", "I ran a race on 4 May 2024"),
+        ("2024-05-08", "Going camping next month", "Going camping in June 2024"),
+        ("2024-05-08", "the day before yesterday", "on 6 May 2024"), ("2024-05-08", "in June", "in June 2024"),
+        ("2024-05-08", "last weekend", "the week of 4 May 2024"), ("2024-05-08", "next weekend", "the week of 18 May 2024"),
+        ("2024-05-08", "in a week", "on 15 May 2024"), ("2024-05-08", "Bought this in 2021", "Bought this in 2021"),
+        ("2024-05-08", "due in 3 days ago", "due in on 5 May 2024"), ("2024-05-08", "IN 2  Weeks!", "on 22 May 2024!"),
+        ("2024-05-08", "last may, next may, in may", "on May 2023, on May 2025, in May 2025"),
+        ("2024-05-08", "next wed and last wed", "on 15 May 2024 and on 1 May 2024"),
+        ("2024-05-08", "today.today", "on 8 May 2024.on 8 May 2024"), ("2024-05-08", "last thisweek", "last thisweek"),
+        ("2024-03-31", "1 month ago", "1 month ago"), ("2024-01-31", "next month", "next month"),
+        ("2024-03-31", "last month or last year", "last month or in 2023"), ("2023-12-15", "next month", "in January 2024"),
+        ("2024-05-08", "99999999999 days ago", "99999999999 days ago"), ("2024-05-08", "", ""), (None, "today", "today"),
+    ]
+    df = spark.createDataFrame(cases, "ref string, text string, want string")
+    for r in df.withColumn("got", tp.resolve_dates(F.col("text"), F.col("ref").cast("timestamp"))).collect():
+        assert r.got == r.want, (r.text, r.got)
+    note = spark.range(1).select(tp.annotate_dates(F.lit("yesterday, x"), F.lit("2024-05-08").cast("timestamp"))).first()[0]
+    assert note == "yesterday [7 May 2024], x"
 
 
 def test_time_filter_rules(spark):
@@ -146,10 +154,20 @@ def test_schema_forms_absorbs_and_melts(spark):
     rows = [r for r in built.collect() if "violin" in r.fixed_tokens]
     assert rows and all(r.delta_f < 0 and len(r.fixed_tokens) >= 2 for r in rows)
     new = items.limit(1).withColumns({"tokens": F.array(*[F.lit(t) for t in rows[0].fixed_tokens]), "mem_id": F.lit("new"), "seq": F.lit(99).cast("bigint")})
-    after, taken = sc.absorb(new, built)
-    assert taken.count() == 1 and after.agg(F.sum("absorbed")).first()[0] == 1
-    kept, freed = sc.melt(built, items.withColumn("strength", F.lit(0.0)), idf)
-    assert kept.count() == 0 and freed.count() == 0
+    archive = cut(sc.archive_rows(built))
+    faded = {r.mem_id: r.tau for r in sc.fade_members(items, archive).collect()}
+    assert all(faded[r.mem_id] == 5.0 for r in archive.collect()) and 50.0 in faded.values()
+    more = items.unionByName(new, allowMissingColumns=True)
+    after, members_now, next_items = sc.absorb(more, built, archive)
+    assert {r.mem_id for r in members_now.exceptAll(archive).collect()} == {"new"}  # founders are not taken again
+    assert after.agg(F.sum("absorbed")).first()[0] == 1 and next_items.where("mem_id = 'new'").first().tau == 5.0
+    dead, _ = sc.melt(built, archive, items.withColumn("strength", F.lit(0.0)), idf, mentions)
+    assert {r.strength for r in dead.collect()} == {0.0}
+    two = [r.mem_id for r in archive.where(F.col("schema_id") == rows[0].mem_id).orderBy("mem_id").limit(1).collect()]
+    orphan = items.withColumn("strength", F.when(F.col("mem_id").isin(two), 1.0).otherwise(0.0)).withColumn("tau", F.lit(5.0))
+    dead, freed = sc.melt(built, archive, orphan, idf, mentions)
+    assert {r.strength for r in dead.where(F.col("mem_id") == rows[0].mem_id).collect()} == {0.0}
+    assert {r.tau for r in freed.where(F.col("mem_id").isin(two)).collect()} == {50.0}
 
 
 def test_query_entities_prefer_long_names(spark):
