@@ -76,7 +76,7 @@ def related_entities(items: DataFrame, mentions: DataFrame, idf: DataFrame, k: i
         .join(mentions.select("namespace", "mem_id", "entity"), ["namespace", "mem_id", "entity"], "left_anti")
     )
     # Sums of the same weights in another order are ties.
-    return top_k(scored, ["namespace", "mem_id"], [F.desc(F.round("shared_information", 9)), F.asc("entity")], k)
+    return top_k(scored, ["namespace", "mem_id"], [F.desc(F.round("shared_information", 6)), F.asc("entity")], k)
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:

@@ -105,7 +105,7 @@ def entities_coupling(spark, sf):
     return e.drop("last_seq").withColumn("coupling", F.round("coupling", 5))
 
 
-@query("entities_related", o.sql("", """SELECT namespace, mem_id, entity, round(si, 5) AS shared_information, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY namespace, mem_id ORDER BY round(si, 9) DESC, entity) AS r FROM
+@query("entities_related", o.sql("", """SELECT namespace, mem_id, entity, round(si, 5) AS shared_information, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY namespace, mem_id ORDER BY round(si, 6) DESC, entity) AS r FROM
   (SELECT t.namespace, t.mem_id, ix.entity, sum(idf) AS si FROM bare t JOIN idf USING (namespace, token) JOIN (SELECT DISTINCT m.namespace, token, entity FROM men m JOIN bare USING (namespace, mem_id)) ix USING (namespace, token)
    WHERE NOT EXISTS (SELECT 1 FROM men x WHERE x.namespace = t.namespace AND x.mem_id = t.mem_id AND x.entity = ix.entity) GROUP BY 1, 2, 3)) WHERE r <= 5""",
   _PI, _F, _MENTIONS, _TOK, _IDF, "bare AS (SELECT * FROM tok WHERE NOT EXISTS (SELECT 1 FROM men WHERE men.namespace = tok.namespace AND men.entity = tok.token))"))

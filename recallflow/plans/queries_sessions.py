@@ -232,7 +232,7 @@ def sessions_active(spark, sf):
 
 
 @query("sessions_report", o.sql("prompt_log", """SELECT namespace, session_id, n AS prompt_count, t AS top_tokens FROM (SELECT namespace, session_id, count(*) AS n FROM p GROUP BY 1, 2) LEFT JOIN
-  (SELECT namespace, session_id, string_agg(token, ' ' ORDER BY r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY namespace, session_id ORDER BY round(weight, 9) DESC, token) AS r FROM sp) WHERE r <= 10 GROUP BY 1, 2) USING (namespace, session_id)""",
+  (SELECT namespace, session_id, string_agg(token, ' ' ORDER BY r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY namespace, session_id ORDER BY round(weight, 6) DESC, token) AS r FROM sp) WHERE r <= 10 GROUP BY 1, 2) USING (namespace, session_id)""",
   _P, _PT, _HT, _IDF, _SPEC))
 def sessions_report(spark, sf):
     p, s = ad.prompt_log(spark, sf), _spectrum(spark, sf)
