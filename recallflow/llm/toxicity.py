@@ -140,8 +140,8 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     prior: float | None = None,
-    max_positives: int = 6000,
-    max_unlabelled: int = 12000,
+    max_positives: int = 3000,
+    max_unlabelled: int = 10000,
 ) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample: at most about ``max_positives`` confirmed toxic texts and
     ``max_unlabelled`` texts of unknown kind, both drawn by a hash of doc_id outside the
