@@ -16,7 +16,7 @@ from recallflow.plans import registry
 from recallflow.session import get_spark
 
 HEADLINE = [
-    "recall_lexical_top5", "recall_knn", "text_tokens", "text_auto_facts", "corpus_token_weights",
+    "recall_lexical_top5", "recall_knn", "strength_memory_state", "jobs_sleep_cycle", "text_tokens", "text_auto_facts", "corpus_token_weights",
     "corpus_cooccurrence_window", "strength_dedup", "strength_surprise_parts", "sessions_spectrum",
     "sessions_coupling", "temporal_resolve_dates", "entities_components", "embeddings_collective",
     "metering_running_ops", "metering_window_usage", "metering_reconcile", "metering_monthly_snapshot",
