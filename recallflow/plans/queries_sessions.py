@@ -413,13 +413,38 @@ def embeddings_prune_bootstrap(spark, sf):
     return em.bootstrap_vectors(g).join(g.select("token", F.col("contributors").alias("n")), "token").select("token", "n")
 
 
-@query("jobs_embedding_sync")
-def jobs_embedding_sync(spark, sf):
+def _sync(spark, sf):
     from recallflow.plans.jobs import embedding_sync
 
     old = ad.user_vectors(spark, sf)
-    out = embedding_sync(_uv(spark, sf), old, _syn(spark, sf).limit(0), old, 1e6, 64)
-    return out["generations"].select("token", "contributors", F.round("total_weight", 6).alias("total_weight"))
+    return embedding_sync(_uv(spark, sf), old, cut(_syn(spark, sf)), old, 1e6, 64)
+
+
+_SYNC_ROWS = f"""(SELECT token, epoch FROM user_vectors UNION ALL SELECT token, 1000000 FROM (SELECT DISTINCT user_id FROM u), (SELECT DISTINCT token FROM u))"""
+
+
+@query("jobs_embedding_sync", o.sql("user_vectors", f"""SELECT token, count(*) AS contributors, round(sum(pow(2.0, -((1000000 - epoch) / {em.YEAR_SECONDS}) / {em.HALF_LIFE_YEARS})), 6) AS total_weight
+  FROM {_SYNC_ROWS} GROUP BY 1""", _UV))
+def jobs_embedding_sync(spark, sf):
+    """Generational knowledge after one sync; the other outputs have queries of their own."""
+    return _sync(spark, sf)["generations"].select("token", "contributors", F.round("total_weight", 6).alias("total_weight"))
+
+
+@query("jobs_sync_collective", o.sql("user_vectors", f"SELECT token, {_ALL} AS vec_md5 FROM cv GROUP BY 1", _UV, _SUM))
+def jobs_sync_collective(spark, sf):
+    return _sync(spark, sf)["collective"].select("token", _whole("vec").alias("vec_md5"))
+
+
+@query("jobs_sync_snapshots", o.sql("user_vectors", """SELECT user_id, token, epoch FROM user_vectors
+  UNION ALL SELECT user_id, token, 1000000 FROM (SELECT DISTINCT user_id FROM u), (SELECT DISTINCT token FROM u)""", _UV))
+def jobs_sync_snapshots(spark, sf):
+    return _sync(spark, sf)["snapshots"].select("user_id", "token", "epoch")
+
+
+@query("jobs_sync_drift", o.sql("user_vectors", """SELECT user_id, token, round(d, 6) AS drift FROM (SELECT user_id, token, 1 - list_cosine_similarity(u.vec, b.vec) AS d FROM u
+  JOIN (SELECT user_id, token, list(v ORDER BY i) AS vec FROM bl GROUP BY 1, 2) b USING (user_id, token)) WHERE d >= 0.3""", _UV, _SUM, _BLEND))
+def jobs_sync_drift(spark, sf):
+    return _sync(spark, sf)["drift"].select("user_id", "token", F.round("drift", 6).alias("drift"))
 
 
 def _cycle(spark, sf):
