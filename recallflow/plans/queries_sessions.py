@@ -196,12 +196,12 @@ def sessions_coupling(spark, sf):
     return ss.session_coupling(_spectrum(spark, sf)).withColumn("coupling", F.round("coupling", 5))
 
 
-def _recalled(spark, sf):
+def _recalled(spark, sf, ring=None):
     p = ad.prompt_log(spark, sf)
     asks = p.where("role = 'user'").select(F.concat_ws("/", "session_id", "sequence_num").alias("query_id"), "namespace", "session_id", F.col("content").alias("text"))
     idf = cut(_idf(spark, sf))
     c = cut(ss.session_coupling(_spectrum(spark, sf), asks))
-    return ss.cross_session_recall(asks, p, idf, c, "2024-01-01 08:00:00", 10, k_critical=0.01)
+    return ss.cross_session_recall(asks, p, idf, c, "2024-01-01 08:00:00", 10, k_critical=0.01, ring=ring)
 
 
 _RECALL = """ring AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, sequence_num DESC) AS r FROM p) WHERE r <= 50 AND role = 'user'
@@ -217,7 +217,8 @@ rs AS (SELECT query_id, g.session_id, g.sequence_num, sum(idf) / sqrt(max(nq)) *
 @query("sessions_cross_recall", o.sql("prompt_log", """SELECT query_id, session_id, sequence_num, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id, sequence_num) AS r
   FROM rs WHERE score > 0.01) WHERE r <= 10""", _P, _PT, _HT, _IDF, _SPEC, _COUP, _RECALL))
 def sessions_cross_recall(spark, sf):
-    return _recalled(spark, sf).select("query_id", "session_id", "sequence_num", F.round("score", 5).alias("score"))
+    # The SQL ranks the 50 newest prompts of a session.
+    return _recalled(spark, sf, ring=50).select("query_id", "session_id", "sequence_num", F.round("score", 5).alias("score"))
 
 
 @query("sessions_reinforce")

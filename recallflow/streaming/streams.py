@@ -53,12 +53,12 @@ def ingest_prompts(prompts: DataFrame, path: str, checkpoint: str, delay: str =
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/archive/batch={batch_id}")
         users = batch.where((F.col("role") == "user") & (F.length(F.trim("content")) >= 10)).select(
-            "namespace", "session_id", "created_at", F.substring(F.trim("content"), 1, 1000).alias("text")
+            "namespace", "session_id", "created_at", F.trim("content").alias("text")
         )
         derive_facts(users).write.mode("overwrite").parquet(f"{path}/facts/batch={batch_id}")
         batch.select(
             "namespace", "session_id", "sequence_num", "created_at",
-            F.explode(tx.token_set(F.substring("content", 1, 2000))).alias("token"),
+            F.explode(tx.token_set(F.col("content"))).alias("token"),
         ).write.mode("overwrite").parquet(f"{path}/topics/batch={batch_id}")
 
     return (
@@ -76,7 +76,7 @@ def session_topics(prompts: DataFrame, idf: DataFrame) -> DataFrame:
     """
     tokens = prompts.select(
         "namespace", "session_id", "sequence_num", "created_at",
-        F.explode_outer(tx.token_set(F.substring("content", 1, 2000))).alias("token"),
+        F.explode_outer(tx.token_set(F.col("content"))).alias("token"),
     ).where("token IS NOT NULL").join(idf.select("namespace", "token", "idf"), ["namespace", "token"])
     keyed = tokens.withWatermark("created_at", "2 hours")
     fade = math.exp(-1.0 / TAU_TOPIC)
