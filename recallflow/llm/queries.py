@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallflow.llm import bpe, chat, digest, gridjoin, license, lines, mixing, quality, simhash, toxicity, whitening
+from recallflow.llm import bpe, chat, digest, gridjoin, license, lines, mixing, quality, sharding, simhash, toxicity, whitening
 from recallflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op11_histogram_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.sharded(docs, shards=24, carry=["doc_id"])
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
