@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallflow.llm import bpe, chat, digest, gridjoin, license, lines, mixing, quality, sharding, simhash, toxicity, whitening
+from recallflow.llm import alignment, bpe, chat, digest, gridjoin, license, lines, mixing, quality, sharding, simhash, toxicity, whitening
 from recallflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs, shards=24, carry=["doc_id"])
 
 
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = alignment.aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
