@@ -182,10 +182,12 @@ class Vocabulary:
             if k % 2:
                 out.append(self.special[part])
                 continue
-            if _LATER.search(part):
+            # composed first: marks may join into letters beyond the range
+            whole = part if part.isascii() else unicodedata.normalize("NFC", part)
+            if _LATER.search(part) or _LATER.search(whole):
                 out.extend(w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)))
                 continue
-            part = part if part.isascii() else unicodedata.normalize("NFC", part)
+            part = whole
             # letter by letter where a final sigma would depend on its neighbours
             part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
             out.extend(self.word.findall(part))

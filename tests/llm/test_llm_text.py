@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ def test_bpe_equals_the_library():
     texts = ["", "Hello WORLD's don't <|endoftext|>x<|startoftext|><|endoftext", "ΟΔΥΣΣΕΥΣ İ ſ Ⅷ ² 한국어", "a" * 3000, "ab" * 150, "\x00\x1c\x7f  "]
     texts += ["".join(draw.choice(letters) for _ in range(draw.randint(1, 60))) for _ in range(800)]
     texts += ["".join(chr(draw.choice([draw.randrange(1, 0x250), draw.randrange(0x250, 0x3000), draw.randrange(0x10000, 0x1FFFF)])) for _ in range(30)) for _ in range(400)]
+    decomposed = ["Tiếng Việt là ngôn ngữ của người Việt", "ἐν ἀρχῇ ἦν ὁ λόγος", "ẗ ḧ ế Ǟ ά ΐ"]
+    texts += [unicodedata.normalize(form, t) for t in decomposed for form in ("NFC", "NFD")]
+    marks = "aeiouyAEOUtThwsΑαιυωΩ" + "".join(map(chr, [*range(0x300, 0x30D), 0x323, 0x327, 0x328, 0x331, 0x342, 0x345]))
+    texts += ["".join(draw.choice(marks) for _ in range(draw.randint(1, 12))) for _ in range(20_000)]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         want = lib.encode(text, add_special_tokens=False)
         assert ids.tolist() == want.ids, text
