@@ -4,12 +4,11 @@ Greedy longest match proposes the tokens of a word. A proposal is the exact enco
 only if every adjacent pair of its tokens is compatible, that is, if merging the two
 tokens' characters alone gives those two tokens back. All pairs of a batch are tested at
 once against a table of known pairs; only the words with an incompatible pair are merged
-step by step.
+exactly, all of them side by side (``merges.py``).
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
@@ -17,13 +16,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from recallflow.llm.common import appended, bound_batches
+from recallflow.llm.merges import Merges
 
-END = " "  # stands for the word end; byte symbols never are a space
-NONE = 1 << 60
 CACHE = 150_000  # words and pairs a worker remembers; beyond it the memory starts anew
 # Up to here letter classes, lower case and composition are the same in every Unicode
 # version in use; other texts are split by the tokenizer library's own two first steps.
@@ -54,126 +53,61 @@ class Vocabulary:
 
     def __init__(self, text: str):
         spec = json.loads(text)
-        model = spec["model"]
-        self.suffix = model["end_of_word_suffix"]
-        self.ids = {self._inner(t): i for t, i in model["vocab"].items()}
-        special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        top = max([*self.ids.values(), *special.values()])
-        self.names = [""] * (top + 1)
-        for t, i in [*model["vocab"].items(), *special.items()]:
+        model, special = spec["model"], {a["content"]: a["id"] for a in spec["added_tokens"]}
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        self.names = [""] * (max([*vocab.values(), *special.values()]) + 1)
+        for t, i in [*vocab.items(), *special.items()]:
             self.names[i] = t
         self.special = special
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in special) + ")") if special else None
-        self.rank: dict[int, int] = {}  # left * 2^20 + right: place in the list of merges
-        self.made: list[int] = []
-        for r, pair in enumerate(model["merges"]):
-            x, y = (self._inner(t) for t in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.rank[self.ids[x] << 20 | self.ids[y]] = r
-            self.made.append(self.ids[x + y])
-        self.steps: dict[str, int] = {}  # every prefix of a token: its id, or -1
-        for t, i in self.ids.items():
-            for n in range(1, len(t)):
-                self.steps.setdefault(t[:n], -1)
-            self.steps[t] = i
+        value = {s: b for b, s in enumerate(byte_symbols())}
+        spelled, ends = [b""] * len(self.names), [False] * len(self.names)
+        for t, i in vocab.items():
+            if t not in special:
+                ends[i] = t.endswith(suffix)
+                spelled[i] = bytes(value[c] for c in t.removesuffix(suffix))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merges = Merges(spelled, ends, [(vocab[x], vocab[y], vocab[x + y]) for x, y in pairs])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         self.word = re.compile(pattern.replace(r"[\p{L}]", f"[{_kind('L')}]").replace(r"[\p{N}]", f"[{_kind('N')}]").replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACE}{_kind('L')}{_kind('N')}]"))
         self.normalizer = Tokenizer.from_str(text).normalizer
         self.splitter = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
-        self.map = {b: s for b, s in enumerate(byte_symbols())}
         self.words: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.pairs: dict[int, bool] = {}
 
-    def _inner(self, token: str) -> str:
-        return token[: -len(self.suffix)] + END if token.endswith(self.suffix) else token
-
-    def symbols(self, word: str) -> str:
-        """Byte symbols of a word and its end."""
-        return word.encode("utf-8", "replace").decode("latin-1").translate(self.map) + END
-
-    def merge(self, s: str) -> list[int]:
-        """Exact encoding: the pair of least rank, leftmost first, until none is left."""
-        base, get, made = self.ids, self.rank.get, self.made
-        part = [base[c] for c in s[:-2]] + [base[s[-2:]]] if s.endswith(END) else [base[c] for c in s]
-        if len(part) > 200:
-            return self._merge_long(part)
-        ranks = [get(x << 20 | y, NONE) for x, y in zip(part, part[1:], strict=False)]
-        while ranks and (least := min(ranks)) < NONE:
-            i = ranks.index(least)
-            part[i : i + 2] = [made[least]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(part[i - 1] << 20 | part[i], NONE)
-            if i < len(ranks):
-                ranks[i] = get(part[i] << 20 | part[i + 1], NONE)
-        return part
-
-    def _merge_long(self, part: list[int]) -> list[int]:
-        """The same with a heap, for words of very many symbols."""
-        n, get = len(part), self.rank.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := get(part[i] << 20 | part[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i]
-            if part[i] < 0 or j >= n or get(part[i] << 20 | part[j]) != r:
-                continue
-            part[i], part[j] = self.made[r], -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := get(part[x] << 20 | part[y])) is not None:
-                    heapq.heappush(heap, (r, x))
-        return [p for p in part if p >= 0]
-
-    def propose(self, s: str) -> list[int]:
-        """Greedy longest match; a token never leaves the bare word end behind."""
-        out, i, n, steps = [], 0, len(s), self.steps
-        while i < n:
-            best, end, j = -1, i, i + 1
-            while j <= n:
-                t = steps.get(s[i:j])
-                if t is None:
-                    break
-                if t >= 0 and j != n - 1:
-                    best, end = t, j
-                j += 1
-            out.append(best)
-            i = end
-        return out
-
     def compatible(self, keys: np.ndarray) -> np.ndarray:
         """Whether each distinct pair (left * 2^20 + right) survives exact merging."""
-        known = self.pairs
-        if len(known) > CACHE:
-            known.clear()
-        out = np.zeros(len(keys), dtype=bool)
-        for k, key in enumerate(keys.tolist()):
-            ok = known.get(key)
-            if ok is None:
-                x, y = key >> 20, key & 0xFFFFF
-                ok = known[key] = self.merge(self._inner(self.names[x]) + self._inner(self.names[y])) == [x, y]
-            out[k] = ok
+        if len(self.pairs) > CACHE:
+            self.pairs.clear()
+        known = list(map(self.pairs.get, keys.tolist()))
+        new = np.array([k is None for k in known], dtype=bool)
+        out = np.array([bool(k) for k in known], dtype=bool)
+        out[new] = self.merges.stable(keys[new] >> 20, keys[new] & 0xFFFFF)
+        self.pairs.update(zip(keys[new].tolist(), out[new].tolist(), strict=True))
         return out
 
     def learn(self, words: list[str]) -> None:
         """Encode words not seen before: propose all, test all pairs, merge the failures."""
         if not words:
             return
-        forms = [self.symbols(w) for w in words]
-        tokens = [self.propose(s) for s in forms]
-        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        flat = np.fromiter((t for ts in tokens for t in ts), dtype=np.int64, count=int(size.sum()))
+        forms = [w.encode("utf-8", "replace") for w in words]
+        tokens, size = self.merges.propose(*self.merges.spell(forms))
         owner = np.repeat(np.arange(len(words)), size)
         inside = owner[1:] == owner[:-1]
-        keys, place = np.unique((flat[:-1] << 20 | flat[1:])[inside], return_inverse=True)
+        wide = tokens.astype(np.int64)
+        keys, place = np.unique((wide[:-1] << 20 | wide[1:])[inside], return_inverse=True)
         bad = ~self.compatible(keys)[place]
         failed = np.zeros(len(words), dtype=bool)
         failed[owner[1:][inside][bad]] = True
-        for k, word in enumerate(words):
-            self.words[word] = array("i", self.merge(forms[k]) if failed[k] else tokens[k]).tobytes()
+        self._keep([w for w, f in zip(words, failed.tolist(), strict=True) if not f], tokens[~failed[owner]], size[~failed])
+        again = [forms[k] for k in np.flatnonzero(failed).tolist()]
+        if again:
+            self._keep([w for w, f in zip(words, failed.tolist(), strict=True) if f], *self.merges.exact(*self.merges.spell(again)))
+
+    def _keep(self, words: list[str], tokens: np.ndarray, size: np.ndarray) -> None:
+        data, ends = tokens.astype(np.int32).tobytes(), (4 * np.cumsum(size)).tolist()
+        self.words.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text; a special token stands as its id."""
@@ -219,6 +153,16 @@ def vocabulary(text: str) -> Vocabulary:
     return _loaded[text]
 
 
+_names: dict[str, pa.Array] = {}
+
+
+def _name_array(text: str) -> pa.Array:
+    """Name of every token id of a vocabulary file."""
+    spec = json.loads(text)
+    held = {**{i: t for t, i in spec["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in spec["added_tokens"]}}
+    return pa.array([held.get(i, "") for i in range(max(held) + 1)], pa.string())
+
+
 def _read(spark: SparkSession, path: str):
     """The file's text for all executors: its size is that of one vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -244,7 +188,11 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
     shared = _read(rows.sparkSession, path)
 
     def run(column: pa.Array) -> list[pa.Array]:
-        names = vocabulary(shared.value).names.__getitem__
-        return [pa.array([None if r is None else " ".join(map(names, r)) for r in column.to_pylist()], pa.string())]
+        if shared.value not in _names:
+            _names[shared.value] = _name_array(shared.value)
+        names = _names[shared.value].take(column.flatten())
+        size = column.value_lengths().fill_null(0).to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), names)
+        return [pc.if_else(column.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))]
 
     return appended(rows, ids, run, [(name, "string")])

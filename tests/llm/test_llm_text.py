@@ -2,12 +2,14 @@ import hashlib
 import random
 import unicodedata
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recallflow.llm import bpe, chat, digest, license
 from recallflow.llm.bpe import Vocabulary
+from recallflow.llm.merges import Lookup
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,15 +32,25 @@ def test_bpe_equals_the_library():
 
 
 def test_bpe_proposals_fail_and_are_repaired():
-    own = Vocabulary(open(PATH, encoding="utf-8").read())
-    forms = [own.symbols(w) for w in ("the", "thaterndingha", "oferanlyor", "andanororre")]
-    proposed = [own.propose(s) for s in forms]
-    assert [own.merge(s) == p for s, p in zip(forms, proposed, strict=True)].count(False) > 0
-    own.learn(["the", "thaterndingha", "oferanlyor", "andanororre"])
-    import numpy as np
-
-    for w in own.words:
-        assert np.frombuffer(own.words[w], dtype=np.int32).tolist() == own.merge(own.symbols(w))
+    own, lib = Vocabulary(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    draw = random.Random(6)
+    words = ["the", "thaterndingha", "oferanlyor", "andanororre", "a" * 700, "a"]
+    words += sorted({"".join(draw.choice("etaoinshrdluß") for _ in range(draw.randint(1, draw.choice([5, 12, 40, 140])))) for _ in range(3000)})
+    flat, at = own.merges.spell([w.encode() for w in words])
+    cut = lambda tokens, size: [x.tolist() for x in np.split(tokens, np.cumsum(size)[:-1])]
+    proposed, exact = cut(*own.merges.propose(flat, at)), cut(*own.merges.exact(flat, at))
+    want = [lib.encode(w, add_special_tokens=False).ids for w in words]
+    assert exact == want and 0.1 < np.mean([p == w for p, w in zip(proposed, want, strict=True)]) < 0.9
+    own.learn(words)
+    assert [np.frombuffer(own.words[w], dtype=np.int32).tolist() for w in words] == want
+
+
+def test_lookup_finds_every_key_and_no_other():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 40, size=5000))
+    table = Lookup(keys, np.arange(len(keys), dtype=np.int32))
+    assert (table(keys) == np.arange(len(keys))).all()
+    assert (table(np.setdiff1d(np.concatenate([keys + 1, rng.integers(0, 1 << 40, size=5000)]), keys)) == -1).all()
 
 
 def test_bpe_odd_rows(odd, none):
