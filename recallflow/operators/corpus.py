@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +9,6 @@ from pyspark.sql import functions as F
 from recallflow.functions import text as tx
 from recallflow.functions import vectors as vx
 from recallflow.operators.scans import numbered, top_k
-from recallflow.session import cut
 
 CMS_WIDTH = 65536
 CMS_DEPTH = 4
@@ -171,85 +166,6 @@ def svd_vocab(df: DataFrame, pair_counts: DataFrame, cap: int | None = None) ->
     return common if cap is None else top_k(common, ["namespace"], [F.desc("df"), F.asc("token")], cap).drop("rank")
 
 
-def _start_vector(dims: int) -> Column:
-    """Reproducible pseudo-Gaussian start values derived from the token."""
-    return F.array(
-        *[
-            F.sqrt(-2 * F.log((F.abs(F.xxhash64("token", F.lit(d))) % 999983 + 1) / 999984.0))
-            * F.cos(2 * math.pi * (F.abs(F.xxhash64("token", F.lit(-1 - d))) % 999983) / 999983.0)
-            for d in range(dims)
-        ]
-    )
-
-
-def _orthonormal(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Orthonormal columns of one space: at most 5000 x 50 numbers by the vocabulary cap."""
-    pdf = pdf.sort_values("token")
-    m = np.vstack(pdf["vec"].to_numpy())
-    k = min(m.shape[1], max(m.shape[0] - 1, 1))
-    q, r = np.linalg.qr(m[:, :k])
-    q = q * np.where(np.diag(r) < 0, -1.0, 1.0)
-    return pd.DataFrame(
-        {"namespace": pdf["namespace"], "token": pdf["token"], "vec": [list(map(float, v)) for v in q]}
-    )
-
-
-def warm_start(previous: DataFrame, vocab: DataFrame, dims: int) -> DataFrame:
-    """Re-index an earlier basis to a new vocabulary; unseen tokens start at zero."""
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return vocab.select("namespace", "token").join(
-        previous.select("namespace", "token", "vec"), ["namespace", "token"], "left"
-    ).withColumn("vec", F.coalesce("vec", zero))
-
-
-def ppmi_vectors(
-    weights: DataFrame,
-    vocab: DataFrame,
-    dims: int = 50,
-    iterations: int = 15,
-    basis: DataFrame | None = None,
-) -> DataFrame:
-    """Truncated symmetric factorisation of the PPMI matrix of every namespace at once.
-
-    Subspace iteration: the sparse product is a join plus ``groupBy.sum`` over the pairs;
-    only the capped basis (5000 x 50 numbers at most) meets in one task for its
-    orthonormalisation. Lineage is cut every round.
-    """
-    keep = vocab.select("namespace", "token")
-    a = keep.withColumnRenamed("token", "token_a")
-    b = keep.withColumnRenamed("token", "token_b")
-    inside = weights.join(a, ["namespace", "token_a"], "left_semi").join(
-        b, ["namespace", "token_b"], "left_semi"
-    )
-    both = inside.select("namespace", "token_a", "token_b", "ppmi").unionByName(
-        inside.select(
-            "namespace",
-            F.col("token_b").alias("token_a"),
-            F.col("token_a").alias("token_b"),
-            "ppmi",
-        )
-    )
-    both = cut(both)
-    state = basis if basis is not None else keep.withColumn("vec", _start_vector(dims))
-    v = F.col("vec")
-    for _ in range(iterations):
-        moved = both.join(state.withColumnRenamed("token", "token_b"), ["namespace", "token_b"])
-        wide = moved.groupBy("namespace", F.col("token_a").alias("token")).agg(
-            *[F.sum(F.col("ppmi") * F.get(v, F.lit(d))).alias(f"_d{d}") for d in range(dims)]
-        )
-        image = wide.select(
-            "namespace",
-            "token",
-            F.array(*[F.coalesce(F.col(f"_d{d}"), F.lit(0.0)) for d in range(dims)]).alias("vec"),
-        )
-        state = cut(
-            image.groupBy("namespace").applyInPandas(
-                _orthonormal, "namespace string, token string, vec array<double>"
-            )
-        )
-    return state
-
-
 def mean_vector(tokens: DataFrame, vectors: DataFrame, keys: list[str], dims: int) -> DataFrame:
     """Mean of the available token vectors per group; groups without one are left out."""
     joined = tokens.join(vectors, ["namespace", "token"])
@@ -277,13 +193,15 @@ def decayed_frequency(n: Column) -> Column:
 
 def evict_vocab(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Drop the least frequent fifth of every vocabulary larger than ``limit`` tokens; None,
-    the default, keeps all. Tokens of one frequency are spread over hash buckets."""
+    the default, keeps all. Tokens of one frequency go by their code points; buckets of
+    the running count hold one frequency and one first letter pair."""
     if limit is None:
         return df
     sized = df.join(
         df.groupBy("namespace").agg(F.count(F.lit(1)).alias("vocab_size")), "namespace"
     )
-    ranked = numbered(sized, ["namespace"], ["df", "token"], F.least(F.col("df"), F.lit(4096)))
+    bucket = F.struct("df", F.substring("token", 1, 2).alias("head"))
+    ranked = numbered(sized, ["namespace"], ["df", "token"], bucket)
     stay = (F.col("vocab_size") <= limit) | (F.col("rank") > F.floor(F.col("vocab_size") / 5))
     return ranked.where(stay).drop("rank", "vocab_size")
 

@@ -16,6 +16,7 @@ from recallflow.functions import lexicon as lx
 from recallflow.functions import text as tx
 from recallflow.functions import vectors as vx
 from recallflow.operators import corpus as cp
+from recallflow.operators import lexical
 from recallflow.operators.scans import top_k
 from recallflow.operators.strength import field_radius, safe_energy, susceptibility
 from recallflow.session import cut
@@ -66,18 +67,17 @@ def expand_with_schemas(tokens: DataFrame, schemas: DataFrame, n: int = 3) -> Da
 def candidates(tokens: DataFrame, index: DataFrame, weights: DataFrame) -> DataFrame:
     """(query, item, matched, raw score) over prefix variants of the query tokens.
 
-    Weights are attached to the few query variants before the postings are touched.
+    Variants of a token share its stem, so a query probes stems, not variants. A token
+    that a schema has added counts half; its other half is taken off where an item has it.
     """
-    variants = cp.prefix_variants(tokens, weights.select("namespace", "token")).select(*Q, F.col("variant").alias("token")).distinct()
-    guessed = tokens.where("inferred").select(*Q, "token").withColumn("_half", F.lit(0.5))
-    w = F.col("idf") * F.col("entropy_weight") * F.coalesce("_half", F.lit(1.0))
-    probes = (
-        variants.join(guessed, [*Q, "token"], "left").join(weights, ["namespace", "token"])
-        .select(*Q, "token", w.alias("w"))
-    )
-    return probes.join(index, ["namespace", "token"]).groupBy(*Q, "mem_id").agg(
-        F.sum("w").alias("raw"), F.count(F.lit(1)).alias("matched"), F.max("n_tokens").alias("n_tokens")
+    found = lexical.all_candidates(lexical.probes_of(tokens), lexical.stem_postings(index, weights)).drop("lexical")
+    half = weights.select("namespace", "token", (0.5 * F.col("idf") * F.col("entropy_weight")).alias("half"))
+    less = (
+        tokens.where("inferred").select(*Q, "token").distinct().join(half, ["namespace", "token"])
+        .join(index.select("namespace", "token", "mem_id"), ["namespace", "token"]).groupBy(*Q, "mem_id").agg(F.sum("half").alias("half"))
     )
+    raw = F.col("raw") - F.coalesce("half", F.lit(0.0))
+    return found.join(less, [*Q, "mem_id"], "left").select(*Q, "mem_id", raw.alias("raw"), "matched", "n_tokens")
 
 
 def lexical_score(cands: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from recallflow.operators import corpus as cp
+from recallflow.operators import factor as fa
 from recallflow.plans import oracle as o
 from recallflow.plans.registry import query
 from recallflow.sources import adapters as ad
@@ -128,7 +129,50 @@ def corpus_svd_vocab(spark, sf):
 @query("corpus_ppmi_vectors")
 def corpus_ppmi_vectors(spark, sf):
     df, pairs, weights = _ppmi(spark, sf)
-    return cp.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=16, iterations=3)
+    return fa.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=16, iterations=3)
+
+
+_VOCAB = """vocab AS (SELECT namespace, token FROM df WHERE df >= 2 AND (namespace, token) IN
+  (SELECT (namespace, token_a) FROM pairs UNION SELECT (namespace, token_b) FROM pairs)),
+inside AS (SELECT p.* FROM ppmi p JOIN vocab a ON a.namespace = p.namespace AND a.token = token_a
+  JOIN vocab b ON b.namespace = p.namespace AND b.token = token_b WHERE ppmi > 0)"""
+
+
+@query("corpus_basis_products", o.sql("", "SELECT DISTINCT namespace, i, j, (i = j)::DOUBLE AS product FROM inside, range(4) a(i), range(4) b(j)", _P, _PT, _PAIRS, _PDF, _PN, _PPMI, _VOCAB))
+def corpus_basis_products(spark, sf):
+    """Products of the columns of every namespace's basis: those of an orthonormal one."""
+    df, pairs, weights = _ppmi(spark, sf)
+    g = fa.grams(fa.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=4, iterations=4), 4)
+    each = g.select("namespace", F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "p"))
+    return each.select("namespace", "i", F.col("j").cast("long").alias("j"), (F.round("p", 6) + 0.0).alias("product"))
+
+
+@query("corpus_basis_energy", o.sql("", """SELECT namespace, round(2 * sum(ppmi * ppmi), 3) AS norm2, TRUE AS within FROM inside GROUP BY 1""",
+                                    _P, _PT, _PAIRS, _PDF, _PN, _PPMI, _VOCAB))
+def corpus_basis_energy(spark, sf):
+    """Norm of the matrix, and whether what the basis holds is within its image and the norm."""
+    df, pairs, weights = _ppmi(spark, sf)
+    vocab = cp.svd_vocab(df, pairs)
+    e = fa.energy(weights, vocab, fa.ppmi_vectors(weights, vocab, dims=4, iterations=12), 4)
+    within = (F.col("inside2") <= F.col("image2") * (1 + 1e-9)) & (F.col("image2") <= F.col("norm2") * (1 + 1e-9)) & (F.col("inside2") > 0)
+    return e.select("namespace", F.round("norm2", 3).alias("norm2"), within.alias("within"))
+
+
+@query("corpus_basis_warm", o.sql("", "SELECT DISTINCT namespace, TRUE AS orthonormal, TRUE AS same_space FROM inside", _P, _PT, _PAIRS, _PDF, _PN, _PPMI, _VOCAB))
+def corpus_basis_warm(spark, sf):
+    """Two runs, the second from the first one's rows: it stays in the dominant space."""
+    from recallflow.plans import jobs
+
+    df, pairs, weights = _ppmi(spark, sf)
+    vocab = cp.svd_vocab(df, pairs)
+    first = jobs.token_space(weights, vocab, 4, iterations=12)
+    second = jobs.token_space(weights, vocab, 4, previous=first)
+    both = first.withColumnRenamed("vec", "w").join(second, ["namespace", "token"]).select("namespace", F.concat("w", "vec").alias("vec"))
+    g = fa.grams(both, 8)
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    unit = F.abs(F.get("row", F.col("i")) - 1) < 1e-9
+    shared = F.sum(F.when(F.col("i") < 4, square(F.slice("row", 5, 4))).otherwise(0.0))
+    return g.groupBy("namespace").agg(F.min(unit).alias("orthonormal"), (shared >= 0.5 * 4).alias("same_space"))
 
 
 @query(

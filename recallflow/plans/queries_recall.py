@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from recallflow.functions import lexicon as lx
 from recallflow.functions import text as tx
 from recallflow.operators import corpus as cp
+from recallflow.operators import factor as fa
 from recallflow.operators import entities as en
 from recallflow.operators import evaluation as ev
+from recallflow.operators import lexical
 from recallflow.operators import recall as rc
 from recallflow.operators import strength as st
 from recallflow.operators.scans import top_k
@@ -50,8 +52,9 @@ def _scored(spark, sf):
 @query("recall_lexical_top5", o.sql("memories queries", """SELECT query_id, mem_id, r AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
   ORDER BY round(score, 9) DESC, mem_id) AS r FROM ls) WHERE r <= 5""", _TOK, _QT, _W))
 def recall_lexical_top5(spark, sf):
-    s = _scored(spark, sf)
-    t = top_k(s, rc.Q, [F.desc(F.round("lexical", 9)), F.asc("mem_id")], 5)
+    items = _tokens(spark, sf)
+    index = rc.item_index(items.withColumn("strength", F.lit(1.0)))
+    t = lexical.best_items(rc.query_tokens(ad.queries(spark, sf)), index, _weights(items), 5)
     return t.select("query_id", "mem_id", "rank", F.round("lexical", 6).alias("score"))
 
 
@@ -301,7 +304,7 @@ def recall_full_search(spark, sf):
     tokens = items.select("namespace", "mem_id", F.explode("tokens").alias("token"))
     pairs, df = cut(cp.cooccurrence_window(items)), cut(cp.token_df(tokens))
     weights = cut(cp.ppmi(pairs, df, cp.namespace_size(items)))
-    vectors = cp.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=8, iterations=2)
+    vectors = fa.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=8, iterations=2)
     return rc.search(asks, items, graph, schemas, vectors, 10, 8).select("query_id", "mem_id", "rank", F.round("score", 4).alias("score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recallflow.functions import temporal as tp
 from recallflow.operators import corpus as cp
+from recallflow.operators import factor as fa
 from recallflow.operators import entities as en
 from recallflow.operators import metering as mt
 from recallflow.operators import recall as rc
@@ -116,7 +117,7 @@ def test_token_space_separates_topics(spark):
     df = cp.token_df(cp.item_tokens(items))
     pairs = cp.cooccurrence_all(items)
     weights = cp.ppmi(pairs, df, cp.namespace_size(items))
-    out = cp.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=4, iterations=6).collect()
+    out = fa.ppmi_vectors(weights, cp.svd_vocab(df, pairs), dims=4, iterations=6).collect()
     v = {r.token: np.array(r.vec) for r in out}
     m = np.vstack(list(v.values()))
     assert np.allclose(m.T @ m, np.eye(m.shape[1]), atol=1e-8)
