@@ -1,23 +1,30 @@
 """Alignment of two tokenizations of the same bytes by merge-path partitioning.
 
-The ends of both token sequences of a batch of texts are merged. Diagonals of the merge
-matrix, equally far apart, are binary-searched all at once; between two of them lies a
-piece of the same number of steps, whatever the texts' lengths. All pieces advance
-together, a step of every piece a vector operation, and each step emits one overlap of an
-A token and a B token. A place where both end closes a group; a group that runs over
-several pieces is stitched by the running count of closed ones.
-
-Overlaps of one id pair are counted over the whole corpus. The counts, bounded by the two
-vocabularies, are looked up in slices of a fixed number of pairs, one pass over the written
-tokens each, so neither a slice nor a shuffle grows with the corpus.
+The ends of both token sequences are merged. Diagonals of the merge matrix, equally far
+apart, are binary-searched all at once; between two of them lies a piece of the same number
+of steps, whatever the lengths. All pieces advance together, a step of every piece a vector
+operation, and each step emits one overlap of an A token and a B token. A place where both
+end closes a group; a group that runs over several pieces is stitched by the running count
+of closed ones.
+
+But for a few characters found in the vocabulary, neither tokenizer joins white space to
+what stands before it, so a text falls into stretches (white space and what follows up to the next)
+that are encoded independently, each different one once while a worker remembers it, and
+aligned once a batch. Overlaps of one id pair are counted over the whole corpus. The counts,
+bounded by the two vocabularies, are looked up in slices of a fixed number of pairs, one
+pass over the written tokens each, so no broadcast grows with the corpus and no text or
+token is shuffled.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +40,15 @@ from recallflow.llm.bpe import byte_symbols
 from recallflow.llm.common import bound_batches, without, written
 
 STEPS = 256  # of the merge in one piece
-SLICE = 2_000_000  # id pairs looked up at once: 34 MB
-COLUMNS = ["a_ids", "b_ids", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+SLICE = 4_000_000  # id pairs looked up at once: 68 MB
+HELD, HELD_CHARS = 200_000, 8_000_000  # stretches a worker remembers, and their length
+COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 # The splitting pattern of byte-level vocabularies; a fixed value of their file format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Beyond U+052F the libraries' Unicode tables may differ: such texts take the slower one.
 _LATER = re.compile(r"[^\x00-ԯ]")
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_JOINED = re.compile(f"[^{_SPACES}]([{_SPACES}])")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -46,8 +56,7 @@ class Pair:
     """The two tokenizers, the bytes of their tokens and the decimal texts of their ids."""
 
     def __init__(self, a_json: str, b_model: bytes):
-        self.a = Tokenizer.from_str(a_json)
-        self.a.encode_special_tokens = True
+        self.a_json, self.slow = a_json, None
         spec = json.loads(a_json)
         special = {t["id"] for t in spec["added_tokens"]}
         value = {s: b for b, s in enumerate(byte_symbols())}
@@ -61,6 +70,14 @@ class Pair:
             byte = _BYTE.fullmatch(piece) if self.b.is_byte(i) else None
             self.b_bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
         self.a_size, self.b_size = (np.array([len(t) for t in ts], dtype=np.int64) for ts in (self.a_bytes, self.b_bytes))
+        pieces = [t.decode("utf-8", "replace") for i, t in enumerate(self.b_bytes) if not self.b.is_byte(i)]
+        # B may join these to what stands before them, so no stretch begins there
+        tied = "".join(re.escape(c) for c in sorted({c for t in pieces for c in _JOINED.findall(t)}))
+        more = f"(?:[{tied}][{_SPACES}]*[^{_SPACES}]+)*(?:[{tied}][{_SPACES}]*\\Z)?" if tied else ""
+        self.stretch = re.compile(f"[{_SPACES}]*[^{_SPACES}]+{more}|[{_SPACES}]+")
+        self.parted = self.fast is not None and not any("\n" in t for t in pieces)
+        self.parted &= self.b.encode("\n  a\n") == [self.b.piece_to_id(t) for t in ("▁", "<0x0A>", "▁", "▁a", "<0x0A>")]
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(t), dtype=np.uint8) for t in (self.a_bytes, self.b_bytes))
         self.names = [np.array([f"{i}{end}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))], dtype=object) for end in (",", "|", ";")]
 
     @staticmethod
@@ -73,21 +90,57 @@ class Pair:
             return None
         return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={t: i for i, t in vocab.items()}, special_tokens={})
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of space+text by A and of text by B; none where their bytes are not those."""
+    def stretches(self, text: str) -> list[str]:
+        """Parts of space+text whose tokens do not depend on the others."""
         if not text:
-            return [], []
-        whole = " " + text
-        if self.fast and not _LATER.search(text):
-            a = self.fast.encode_ordinary(whole)
+            return []
+        return self.stretch.findall(" " + text) if self.parted else [" " + text]
+
+    def _encode_slow(self, part: str) -> list[int]:
+        if self.slow is None:
+            self.slow = Tokenizer.from_str(self.a_json)
+            self.slow.encode_special_tokens = True
+        return self.slow.encode(part, add_special_tokens=False).ids
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by A and where those of each stretch begin, the same by B; a stretch that one
+        of them does not give back byte by byte has none."""
+        ascii_, fast, later = str.isascii, self.fast and self.fast.encode_ordinary, _LATER.search
+        a = _flat([fast(p) if fast and (ascii_(p) or not later(p)) else self._encode_slow(p) for p in parts])
+        if self.parted:
+            # B puts a space before all; a line break is a token of its own and shields it
+            ids, at = _flat(self.b.encode(["\n" + p for p in parts], num_threads=1))
+            shield = np.zeros(len(ids), dtype=bool)
+            shield[at[:-1]] = shield[at[:-1] + 1] = True
+            b = ids[~shield], at - 2 * np.arange(len(at))
         else:
-            a = self.a.encode(whole, add_special_tokens=False).ids
-        b = self.b.encode(text, num_threads=1)
-        want = whole.encode("utf-8", "surrogatepass")
-        for ids, names in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join(map(names.__getitem__, ids)) != want:
-                return [], []
-        return a, b
+            b = _flat(self.b.encode([p[1:] for p in parts], num_threads=1))
+        raw = "".join(parts).encode("utf-8", "surrogatepass")
+        sizes = np.array([len(p) if ascii_(p) else len(p.encode("utf-8", "surrogatepass")) for p in parts], dtype=np.int64)
+        buffer = np.frombuffer(raw, dtype=np.uint8)
+        same = _spelled(*a, buffer, sizes, self.a_flat, self.a_size) & _spelled(*b, buffer, sizes, self.b_flat, self.b_size)
+        if same.all():
+            return *a, *b
+        out = []
+        for ids, at in (a, b):
+            size = np.where(same, np.diff(at), 0)
+            out += [ids[np.repeat(same, np.diff(at))], np.concatenate([[0], np.cumsum(size)])]
+        return tuple(out)
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _spelled(ids: np.ndarray, at: np.ndarray, buffer: np.ndarray, want: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each row of ids are those of its part of the buffer."""
+    out = _per_row(size[ids], at) == want
+    ids = ids[np.repeat(out, np.diff(at))]
+    expected = buffer if out.all() else buffer[np.repeat(out, want)]
+    differs = flat[_spans((np.cumsum(size) - size)[ids], size[ids])] != expected
+    out[out] = _per_row(differs, np.concatenate([[0], np.cumsum(want[out])])) == 0
+    return out
 
 
 _loaded: dict[tuple[str, bytes], Pair] = {}
@@ -98,9 +151,20 @@ def _pair(shared: Broadcast) -> Pair:
     if shared.value not in _loaded:
         _loaded.clear()
         _loaded[shared.value] = Pair(*shared.value)
+        gc.freeze()  # the vocabularies stay: no need to look through them again and again
     return _loaded[shared.value]
 
 
+_encoders: list[Encoder] = []
+
+
+def _encoder(pair: Pair) -> Encoder:
+    """The worker's memory, which a partition leaves empty."""
+    if not _encoders or _encoders[0].pair is not pair:
+        _encoders[:] = [Encoder(pair)]
+    return _encoders[0]
+
+
 def _read(spark: SparkSession, a_path: str, b_path: str) -> Broadcast:
     """Both files for all executors: their size is that of the two vocabularies."""
     with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
@@ -162,136 +226,226 @@ def overlaps(a: np.ndarray, b: np.ndarray, steps: int = STEPS) -> Overlaps:
     return Overlaps(out_a.T.ravel()[held], out_b.T.ravel()[held], closes.T.ravel()[held])
 
 
-@dataclass
-class Merged:
-    """A batch of texts, merged: links, their owner and pair keys, and the texts' bounds."""
-
-    links: Overlaps
-    owner: np.ndarray  # of each link
-    keys: np.ndarray  # a id * size of B + b id
-
-
-def merged(pair: Pair, a_ids: pa.ListArray, b_ids: pa.ListArray) -> Merged:
-    a, b = (c.flatten().to_numpy().astype(np.int64) for c in (a_ids, b_ids))
-    # Both sequences of a text have the same bytes, so the texts can follow one another.
-    links = overlaps(np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b]))
-    counts = np.diff(a_ids.offsets.to_numpy())
-    owner = np.repeat(np.arange(len(counts)), counts)[links.a]
-    return Merged(links, owner, a[links.a] * len(pair.b_size) + b[links.b])
-
-
-def group_texts(pair: Pair, a_ids: pa.ListArray, b_ids: pa.ListArray, m: Merged) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` for each text."""
-    a, b = (c.flatten().to_numpy() for c in (a_ids, b_ids))
-    comma, bar, semi = pair.names
-    ends = np.flatnonzero(m.links.closes)
-    a_last, b_last = m.links.a[ends], m.links.b[ends]
+class Encoder:
+    """Tokens of the stretches a worker remembers."""
+
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        none = np.zeros(0, dtype=np.int32)
+        self.ids = [none, none]  # by A and by B
+        self.at = [np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)]
+
+    def batch(self, texts: list[str | None]) -> dict[str, np.ndarray]:
+        """One batch of texts: its different stretches with their tokens, one after the
+        other, and the stretches of each text by their place among them."""
+        if len(self.number) > HELD or self.chars > HELD_CHARS:
+            self.clear()
+        rows = [self.pair.stretches(t or "") for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        each = list(chain.from_iterable(rows))
+        known = self.number
+        new = [p for p in dict.fromkeys(each) if p not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            found = self.pair.encode(new)
+            self.chars += sum(map(len, new))
+            for k in (0, 1):
+                ids, begin = found[2 * k], found[2 * k + 1]
+                self.at[k] = np.concatenate([self.at[k], self.at[k][-1] + begin[1:]])
+                self.ids[k] = np.concatenate([self.ids[k], ids.astype(np.int32)])
+        numbers, local = np.unique(np.array(list(map(known.__getitem__, each)), dtype=np.int64), return_inverse=True)
+        out = {"at": at, "each": local}
+        for k, name in enumerate("ab"):
+            size = self.at[k][numbers + 1] - self.at[k][numbers]
+            out[name] = self.ids[k][_spans(self.at[k][numbers], size)].astype(np.int64)
+            out[f"{name}_at"] = np.concatenate([[0], np.cumsum(size)])
+        return out
+
+
+PACKED = ["at", "each", "a", "a_at", "b", "b_at"]
+
+
+class Aligned:
+    """One batch as it was written, merged: links of its different stretches."""
+
+    def __init__(self, pair: Pair, packed: dict[str, np.ndarray]):
+        self.at, self.each, a, self.a_at, b, self.b_at = (packed[k] for k in PACKED)
+        self.a, self.b, self.pair = a, b, pair
+        # Both sequences of a stretch have the same bytes, so they can follow one another.
+        self.links = overlaps(np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b]))
+        self.count = len(self.a_at) - 1
+        owner = np.repeat(np.arange(self.count), np.diff(self.a_at))[self.links.a]
+        self.link_at = np.searchsorted(owner, np.arange(self.count + 1))
+        self.keys = a[self.links.a] * len(pair.b_size) + b[self.links.b]
+        # A text is whole if every stretch of it is given back byte by byte.
+        self.whole = _per_row(np.diff(self.a_at)[self.each] == 0, self.at) == 0
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums per text of a number per stretch, zero for texts that are not whole."""
+        return np.where(self.whole, _per_row(values[self.each], self.at), 0)
+
+    def per_stretch(self, values: np.ndarray) -> np.ndarray:
+        return _per_row(values, self.link_at)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pair keys, links) of the whole texts."""
+        times = np.bincount(self.each[np.repeat(self.whole, np.diff(self.at))], minlength=self.count)
+        times = np.repeat(times, np.diff(self.link_at))
+        key, place = np.unique(self.keys[times > 0], return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[order], np.arange(len(key)))
+        return key, np.add.reduceat(times[times > 0][order], starts) if len(key) else key
+
+    def groups(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each text."""
+        own = group_texts(self.pair, (self.a, self.a_at), (self.b, self.b_at), self.links)
+        each, at = self.each.tolist(), self.at.tolist()
+        return [";".join(map(own.__getitem__, each[x:y])) if ok else "" for x, y, ok in zip(at[:-1], at[1:], self.whole.tolist(), strict=True)]
+
+
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)))])
+    return np.array(list(chain.from_iterable(rows)), dtype=np.int64), at
+
+
+def _per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(values.astype(np.int64))])[at])
+
+
+def group_texts(pair: Pair, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], links: Overlaps) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3`` for each stretch of (ids, where the stretches begin)."""
+    (a, a_at), (b, b_at), (comma, bar, semi) = a, b, pair.names
+    ends = np.flatnonzero(links.closes)
+    a_last, b_last = links.a[ends], links.b[ends]
     a_text, b_text = comma[a], comma[b]
     a_text[a_last], b_text[b_last] = bar[a[a_last]], semi[b[b_last]]
-    # A token stands behind the B tokens of earlier groups, a B token behind its group's A.
+    # An A token stands behind the B tokens of earlier groups, a B token behind its group's A.
     group_a = np.searchsorted(a_last, np.arange(len(a)))
     group_b = np.searchsorted(b_last, np.arange(len(b)))
     whole = np.empty(len(a) + len(b), dtype=object)
     whole[np.arange(len(a)) + np.concatenate([[0], b_last + 1])[group_a]] = a_text
-    whole[np.arange(len(b)) + (a_last + 1)[group_b] if len(b) else np.zeros(0, dtype=np.int64)] = b_text
-    at = a_ids.offsets.to_numpy().astype(np.int64) - a_ids.offsets[0].as_py() + b_ids.offsets.to_numpy() - b_ids.offsets[0].as_py()
-    parts = whole.tolist()
-    return ["".join(parts[x:y])[:-1] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
-def _lists(rows: list[list[int]]) -> pa.ListArray:
-    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = np.fromiter((t for r in rows for t in r), dtype=np.int32, count=int(at[-1]))
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-
-
-def tokens(docs: DataFrame, shared: Broadcast, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep``, a row number and both tokenizations, written."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row"), F.monotonically_increasing_id().alias("at"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    whole[np.arange(len(b)) + np.append(a_last + 1, 0)[group_b]] = b_text
+    at, parts = (a_at + b_at).tolist(), whole.tolist()
+    return ["".join(parts[x:y])[:-1] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _pack(packed: dict[str, np.ndarray]) -> bytes:
+    """The arrays, each in the narrowest whole numbers that hold it, bounds as sizes."""
+    parts = []
+    for k in PACKED:
+        v = np.diff(packed[k]) if k.endswith("at") else packed[k]
+        v = v.astype(np.min_scalar_type(int(v.max()) if len(v) else 0))
+        parts.append(struct.pack("<qB", len(v), v.itemsize) + v.tobytes())
+    data = b"".join(parts)
+    return struct.pack("<q", len(data)) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+    data = pa.decompress(blob[8:], struct.unpack_from("<q", blob)[0], codec="zstd", asbytes=True)
+    out, at = {}, 0
+    for k in PACKED:
+        n, width = struct.unpack_from("<qB", data, at)
+        v = np.frombuffer(data, f"<u{width}", n, at + 9).astype(np.int64)
+        out[k] = np.concatenate([[0], np.cumsum(v)]) if k.endswith("at") else v
+        at += 9 + n * width
+    return out
+
+
+def encoded(docs: DataFrame, shared: Broadcast, text_col: str, names: list[str]) -> DataFrame:
+    """One row per batch of texts, written: the rows' other columns, and the packed tokens."""
+    row = F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("_")).alias("row")
+    rows = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(shared)
         for batch in batches:
-            found = [pair.encode(t or "") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists([f[0] for f in found]), _lists([f[1] for f in found])], names=["row", "at", "a_ids", "b_ids"])
+            packed = _pack(_encoder(pair).batch(batch.column(1).to_pylist()))
+            held = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            zero = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.array(np.zeros(batch.num_rows, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([held, pa.array([packed], pa.binary()), zero, zero], names=["rows", "packed", "n_best", "count_sum"])
+        _encoder(pair).clear()
+
+    each = T.StructType([T.StructField("rows", T.ArrayType(rows.schema["row"].dataType))])
+    more = T._parse_datatype_string("packed binary, n_best array<bigint>, count_sum array<bigint>")
+    return written(rows.mapInArrow(run, T.StructType([*each.fields, *more.fields])))
 
-    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("a_ids array<int>, b_ids array<int>").fields])
-    return written(rows.mapInArrow(run, schema))
+
+def _unpacked(pair: Pair, batch: pa.RecordBatch) -> Iterator[tuple[int, Aligned]]:
+    for r in range(batch.num_rows):
+        yield r, Aligned(pair, _unpack(batch.column("packed")[r].as_py()))
 
 
 def marked_counts(found: DataFrame, shared: Broadcast, width: int) -> DataFrame:
     """(key, n, best) of every linked id pair, written: its links over the corpus, added up
-    by partition before they move, and whether its B id has no pair with more."""
+    by batch and partition before they move, and whether its B id has no pair with more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(shared)
-        keys, counts, held = [], [], 0
         for batch in batches:
-            k, n = np.unique(merged(pair, batch.column(0), batch.column(1)).keys, return_counts=True)
-            keys, counts, held = [*keys, k], [*counts, n], held + len(k)
-            if held > SLICE:
-                yield _added(keys, counts)
-                keys, counts, held = [], [], 0
-        if held:
-            yield _added(keys, counts)
+            for _, m in _unpacked(_pair(shared), batch):
+                key, n = m.counts()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    seen = found.select("a_ids", "b_ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    seen = written(seen.withColumn("b", F.col("key") % width))
-    top = seen.groupBy("b").agg(F.max("n").alias("top"))
-    return written(seen.join(top, "b").select("key", "n", (F.col("n") == F.col("top")).alias("best")))
+    counted = found.select("packed").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = written(counted.withColumn("b", F.col("key") % width))
+    top = counted.groupBy("b").agg(F.max("n").alias("top"))
+    return written(counted.join(top, "b").select("key", "n", (F.col("n") == F.col("top")).alias("best")))
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+def _looked_up(found: DataFrame, shared: Broadcast, table: Broadcast, last: bool) -> DataFrame:
+    """The batches with the links added up whose pairs are in the table; at last row by row,
+    with sizes and groups."""
+    row, columns = found.schema["rows"].dataType.elementType, found.columns
+    done = T.StructType([T.StructField("row", row), *T._parse_datatype_string(", ".join(f"{c} {'string' if c == 'groups' else 'bigint'}" for c in COLUMNS)).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = _pair(shared)
+        keys, counts, best = table.value
+        for batch in batches:
+            sums: list[list] = [[], []]
+            for r, m in _unpacked(pair, batch):
+                place = np.minimum(np.searchsorted(keys, m.keys), max(0, len(keys) - 1))
+                here = keys[place] == m.keys if len(keys) else np.zeros(len(m.keys), dtype=bool)
+                two = [m.per_text(m.per_stretch(np.where(here, v[place], 0) if len(keys) else m.keys * 0)) for v in (best, counts)]
+                two = [v + batch.column(c)[r].values.to_numpy() for v, c in zip(two, ("n_best", "count_sum"), strict=True)]
+                if last:
+                    links, closes = np.diff(m.link_at), m.per_stretch(m.links.closes)
+                    sizes = [m.per_text(v) for v in (np.diff(m.a_at), np.diff(m.b_at), closes, links)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("rows")[r].values, *[pa.array(v) for v in (*sizes, *two)], pa.array(m.groups(), pa.string())], names=done.names
+                    )
+                else:
+                    for held, v in zip(sums, two, strict=True):
+                        held.append(v)
+            if not last:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *[pa.array(v, pa.list_(pa.int64())) for v in sums]], names=columns)
+
+    return found.mapInArrow(run, done if last else found.schema)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", keep: list[str] | None = None, slice_pairs: int = SLICE) -> DataFrame:
-    """``docs`` with both tokenizations, their groups and the counts of their links.
+    """``docs`` with the groups of both tokenizations and the counts of their links.
 
     ``n_best`` counts the links whose id pair is linked as often, over all rows, as any of
     its B id; ``count_sum`` adds up the pairs' counts. A text that is null or empty, or that
-    one of the tokenizers does not give back byte by byte, has no tokens: empty lists,
-    zeros and an empty ``groups``. Null and repeated ids are not read. ``keep`` names the
-    columns that stay, all by default; those named like ``COLUMNS`` are replaced.
+    one of the tokenizers does not give back byte by byte, has no tokens: zeros and an
+    empty ``groups``. Null and repeated ids are not read. ``keep`` names the columns that
+    stay, all by default; those named like ``COLUMNS`` are replaced.
     """
     spark = docs.sparkSession
-    bound_batches(spark, rows=500, size="1m")
+    bound_batches(spark, rows=1000, size="2m")
     shared = _read(spark, a_path, b_path)
     names = without(docs.select(*[F.col(f"`{c}`") for c in docs.columns if keep is None or c in keep]), COLUMNS).columns
-    found = tokens(docs, shared, text_col, names).withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
+    found = encoded(docs, shared, text_col, names)
     counts = marked_counts(found, shared, sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size())
     passes = max(1, -(-counts.count() // slice_pairs))
     for k in range(passes):
         own = counts.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k).toArrow().sort_by("key")
         table = spark.sparkContext.broadcast(tuple(own[c].to_numpy() for c in ("key", "n", "best")))
-        last = k == passes - 1
-        found = _looked_up(found, shared, table, last)
-        found = found if last else written(found)
+        found = _looked_up(found, shared, table, k == passes - 1)
+        found = found if k == passes - 1 else written(found)
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *COLUMNS)
-
-
-def _looked_up(found: DataFrame, shared: Broadcast, table, last: bool) -> DataFrame:
-    """``found`` with the links added up whose pairs are in the table; at last with the rest."""
-    schema = T.StructType([*found.schema.fields, *(T._parse_datatype_string("n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string").fields if last else [])])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(shared)
-        keys, counts, best = table.value
-        for batch in batches:
-            a_ids, b_ids = batch.column(2), batch.column(3)
-            m = merged(pair, a_ids, b_ids)
-            at = np.minimum(np.searchsorted(keys, m.keys), max(0, len(keys) - 1))
-            here = keys[at] == m.keys if len(keys) else np.zeros(0, dtype=bool)
-            n, top = (np.where(here, v[at], 0).astype(np.int64) if len(keys) else m.keys * 0 for v in (counts, best))
-            bounds = np.searchsorted(m.owner, np.arange(batch.num_rows + 1))
-            per = lambda v: pa.array(np.diff(np.concatenate([[0], np.cumsum(v)])[bounds]))  # noqa: B023, E731
-            more = [np.add(x, y) for x, y in zip((per(top), per(n)), batch.columns[4:6], strict=True)]
-            out = [*batch.columns[:4], *map(pa.array, more)]
-            if last:
-                sizes = [pa.array(np.diff(c.offsets.to_numpy()).astype(np.int64)) for c in (a_ids, b_ids)]
-                out += [*sizes, per(m.links.closes), pa.array(np.diff(bounds)), pa.array(group_texts(pair, a_ids, b_ids, m), pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
-
-    return found.mapInArrow(run, schema)
