@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from recallflow.functions import lexicon as lx
 from recallflow.functions import text as tx
+from recallflow.functions.address import is_internal
 from recallflow.operators.metering import cost_of, lookup
 from recallflow.operators.scans import numbered, running_sum
+from recallflow.operators.selection import percentiles
 from recallflow.session import cut
 
 
@@ -293,22 +295,10 @@ def frustrated_users(pulse: DataFrame, limit: int = 100) -> DataFrame:
     return pulse.where("band = 'frustrated'").orderBy(F.desc("score"), "user_id").limit(limit)
 
 
-# Address ranges that are not public, as text patterns.
-_PRIVATE_V4 = (
-    r"(0|10|127)\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|192\.0\.0\.(?!(9|10)$)|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|(24\d|25[0-5])\."
-)
-_PRIVATE_V6 = (
-    r"(0{0,4}:){2,7}(0{0,3}[01])?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|0?100::|0{0,2}64:ff9b:0?0?0?1:|2001:0?db8:|2001:(:|0?[01]?[0-9a-f]{1,2}:)|2002:|3fff:"
-)
-
-
 def is_infra_ip(ip: Column) -> Column:
-    """Private, loopback, link-local and reserved addresses, IPv6 ones and mapped IPv4 ones
-    too, and unknown hosts: traffic of the platform itself."""
-    host = F.lower(F.trim(F.coalesce(ip, F.lit(""))))
-    plain = F.regexp_replace(host, r"^::ffff:(?=\d+\.)", "")
-    is_v4 = plain.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    return host.isin("", "unknown") | (is_v4 & plain.rlike(f"^({_PRIVATE_V4})")) | (~is_v4 & host.contains(":") & host.rlike(f"^({_PRIVATE_V6})"))
+    """Private, loopback and link-local addresses, IPv6 ones and mapped IPv4 ones too, and
+    unknown hosts: traffic of the platform itself."""
+    return F.lower(F.trim(F.coalesce(ip, F.lit("")))).isin("", "unknown") | is_internal(ip)
 
 
 def abuse_blocks(requests: DataFrame, rules: dict | None = None) -> DataFrame:
@@ -358,18 +348,20 @@ def ops_health(requests: DataFrame, as_of: str, minutes: int = 60) -> DataFrame:
     total = F.count(F.lit(1))
     err4, err5 = _n((s >= 400) & (s < 500)), _n((s >= 500) & (s < 600))
 
-    def p(q: float) -> Column:
-        return F.round(F.coalesce(F.percentile("latency_ms", F.lit(q)), F.lit(0.0)), 2)
+    def p(k: int) -> Column:
+        return F.round(F.coalesce(f"p_{k}", F.lit(0.0)), 2)
 
-    return r.agg(
+    counts = r.agg(
         total.alias("total_requests"),
         F.round(total / minutes, 2).alias("requests_per_minute"),
         F.coalesce(pct(err4 + err5, total), F.lit(0.0)).alias("error_rate"),
         F.coalesce(pct(err4, total), F.lit(0.0)).alias("error_rate_4xx"),
         F.coalesce(pct(err5, total), F.lit(0.0)).alias("error_rate_5xx"),
         _n(s == 402).alias("quota_402"), _n(s == 429).alias("rate_limit_429"), _n(s == 403).alias("blocked_403"),
-        p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"),
     )
+    # one row each
+    both = counts.crossJoin(F.broadcast(percentiles(r, "latency_ms", (0.5, 0.95, 0.99))))
+    return both.select(*counts.columns, p(0).alias("p50"), p(1).alias("p95"), p(2).alias("p99"))
 
 
 def top_errors(requests: DataFrame, as_of: str, minutes: int = 60, n: int = 8) -> DataFrame:

@@ -157,7 +157,7 @@ CTES = {
   o_orderdate AS moment FROM orders""",
     "integrations": """SELECT 'i' || c_custkey AS id, 'u' || c_custkey % 10 AS namespace,
   CASE WHEN c_custkey % 8 = 0 THEN 'deleted' ELSE 'active' END AS status,
-  'user' || c_custkey || '@example.com' AS owner_email FROM customer WHERE c_custkey % 3 <> 0""",
+  'user' || c_custkey || '@example.com' AS owner_email FROM customer""",
     "api_credentials": """SELECT 'c' || o_orderkey AS id, 'i' || o_custkey AS integration_id,
   'k' || o_orderkey AS key_hash,
   CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'rotated' ELSE 'revoked' END AS status,
@@ -173,7 +173,7 @@ CTES = {
   {_T0} + to_seconds(c_custkey * 1800) AS created_at,
   CASE WHEN c_custkey % 3 = 1 THEN {_T0} + to_seconds(c_custkey * 1800 + 172800) END AS invite_expires_at,
   CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 300 END AS last_notified_position FROM customer""",
-    "user_roles": """SELECT c_custkey AS user_id, c_nationkey % 5 AS role_id FROM customer WHERE c_custkey % 2 = 0""",
+    "user_roles": """SELECT c_custkey AS user_id, c_nationkey % 5 AS role_id FROM customer""",
     "role_scopes": "SELECT n_regionkey AS role_id, n_name AS scope FROM nation",
     "user_groups": "SELECT c_custkey AS user_id, c_nationkey AS group_id FROM customer",
     "group_roles": "SELECT n_nationkey AS group_id, (n_regionkey + 1) % 5 AS role_id FROM nation",

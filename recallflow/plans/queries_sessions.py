@@ -196,15 +196,15 @@ def sessions_coupling(spark, sf):
     return ss.session_coupling(_spectrum(spark, sf)).withColumn("coupling", F.round("coupling", 5))
 
 
-def _recalled(spark, sf, ring=None):
+def _recalled(spark, sf):
     p = ad.prompt_log(spark, sf)
     asks = p.where("role = 'user'").select(F.concat_ws("/", "session_id", "sequence_num").alias("query_id"), "namespace", "session_id", F.col("content").alias("text"))
     idf = cut(_idf(spark, sf))
     c = cut(ss.session_coupling(_spectrum(spark, sf), asks))
-    return ss.cross_session_recall(asks, p, idf, c, "2024-01-01 08:00:00", 10, k_critical=0.01, ring=ring)
+    return ss.cross_session_recall(asks, p, idf, c, "2024-01-01 08:00:00", 10, k_critical=0.01)
 
 
-_RECALL = """ring AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, sequence_num DESC) AS r FROM p) WHERE r <= 50 AND role = 'user'
+_RECALL = """ring AS (SELECT * FROM p WHERE role = 'user'
   AND date_diff('second', created_at, TIMESTAMP '2024-01-01 08:00:00') BETWEEN 0 AND 3600),
 ask AS (SELECT session_id || '/' || sequence_num AS query_id, namespace, session_id, sequence_num FROM p WHERE role = 'user'),
 cc AS (SELECT namespace, session_a, session_b, coupling FROM co UNION ALL SELECT namespace, session_b, session_a, coupling FROM co),
@@ -217,8 +217,7 @@ rs AS (SELECT query_id, g.session_id, g.sequence_num, sum(idf) / sqrt(max(nq)) *
 @query("sessions_cross_recall", o.sql("prompt_log", """SELECT query_id, session_id, sequence_num, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id, sequence_num) AS r
   FROM rs WHERE score > 0.01) WHERE r <= 10""", _P, _PT, _HT, _IDF, _SPEC, _COUP, _RECALL))
 def sessions_cross_recall(spark, sf):
-    # The SQL ranks the 50 newest prompts of a session.
-    return _recalled(spark, sf, ring=50).select("query_id", "session_id", "sequence_num", F.round("score", 5).alias("score"))
+    return _recalled(spark, sf).select("query_id", "session_id", "sequence_num", F.round("score", 5).alias("score"))
 
 
 @query("sessions_reinforce")
@@ -248,6 +247,11 @@ def sessions_pairs(spark, sf):
     return pairs.select("namespace", "session_a", "session_b", F.round("coupling", 5).alias("coupling"), "synchronized")
 
 
+@query("sessions_coupled", o.sql("prompt_log", f"SELECT namespace, session_a, session_b, round(coupling, 5) AS coupling FROM co WHERE coupling >= {lx.K_CRITICAL}", _P, _PT, _HT, _IDF, _SPEC, _COUP))
+def sessions_coupled(spark, sf):
+    return ss.coupled_sessions(_spectrum(spark, sf)).withColumn("coupling", F.round("coupling", 5))
+
+
 @query("sessions_list", o.sql("prompt_log", """SELECT namespace, session_id, n AS message_count FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY last_at DESC, session_id) AS r FROM
   (SELECT namespace, session_id, max(created_at) AS last_at, count(*) AS n FROM prompt_log GROUP BY 1, 2)) WHERE r <= 5"""))
 def sessions_list(spark, sf):

@@ -175,6 +175,24 @@ def store_rollup_monthly(spark, sf):
     return so.rollup_usage(ad.usage_events(spark, sf), "2024-02-01")[1]
 
 
+_SHIPPED = "ship AS (SELECT 'u' || l_suppkey % 10 AS tenant, 'op' || l_linenumber % 3 AS event_type, l_shipdate AS moment, CAST(l_quantity AS BIGINT) AS q, l_orderkey % 50 AS cents, strftime(l_shipdate, '%Y-%m') AS period FROM lineitem)"
+
+
+@query("store_rollup_reissue", o.sql("", """SELECT period, tenant, event_type, CAST(sum(q + late) AS BIGINT) AS quantity, CAST(sum(cents * (q + late)) AS BIGINT) AS cents, count(*) AS events
+  FROM (SELECT *, CASE WHEN period < '1998-06' THEN 1 ELSE 0 END AS late FROM ship WHERE period >= '1996-10' AND moment <= TIMESTAMP '1998-09-05') GROUP BY 1, 2, 3""", _SHIPPED))
+def store_rollup_reissue(spark, sf):
+    """Roll-ups written twice: the second run corrects the months since the first, keeps the
+    earlier ones as they were issued, and deletes those out of retention."""
+    ship = ad.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("u"), (F.col("l_suppkey") % 10).cast("string")).alias("namespace"), F.concat(F.lit("op"), (F.col("l_linenumber") % 3).cast("string")).alias("event_type"),
+        F.col("l_shipdate").cast("timestamp").alias("occurred_at"), F.col("l_quantity").cast("bigint").alias("quantity"), (F.col("l_orderkey") % 50).alias("unit_cost_cents"),
+    )
+    path = f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}"
+    so.write_rollups(ship.withColumn("quantity", F.col("quantity") + 1), path, "1998-06-15")
+    so.write_rollups(ship, path, "1998-09-05")
+    return spark.read.parquet(f"{path}/monthly").select(F.col("period").cast("string").alias("period"), "tenant", "event_type", "quantity", "cents", "events")
+
+
 @query("store_schema_version", o.sql("memories", "SELECT mem_id, NULL AS event_at, false AS superseded FROM memories"))
 def store_schema_version(spark, sf):
     old = ad.memories(spark, sf).select("mem_id", "text")

@@ -265,6 +265,43 @@ def rollup_usage(events: DataFrame, as_of: str, months: int = 24) -> tuple[DataF
     return daily, daily.groupBy("period", "tenant", "event_type").agg(*sums)
 
 
+def _folders(spark: SparkSession, path: str) -> dict[str, object]:
+    """Period folders of a roll-up (two years and a few) by their period, on any file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return {}
+    found = {s.getPath().getName(): s.getPath() for s in fs.listStatus(place) if s.isDirectory()}
+    return {name.removeprefix("period="): at for name, at in found.items() if name.startswith("period=")}
+
+
+def write_rollups(events: DataFrame, path: str, as_of: str, reissue_days: int = 7, months: int = 24) -> None:
+    """Bring the daily and monthly roll-ups under ``path`` up to ``as_of``.
+
+    Files lie by period and tenant. A run issues again the months of the last
+    ``reissue_days`` days, for corrections, and those since the last month written, which
+    may have been partial; only the partitions it computes are replaced, so it can be
+    repeated. Months out of the retention of ``months`` are deleted.
+    """
+    spark = events.sparkSession
+    now = F.lit(as_of).cast("timestamp")
+    first, since, limit = spark.range(1).select(
+        F.date_format(F.add_months(F.date_trunc("month", now).cast("date"), 1 - months), "yyyy-MM"),
+        F.date_format(F.date_sub(now.cast("date"), reissue_days), "yyyy-MM"), F.date_format(now, "yyyy-MM-dd HH:mm:ss"),
+    ).first()
+    written = [p for p in _folders(spark, f"{path}/monthly") if p >= first]
+    begin = max(first, min([since, max(written)])) if written else first
+    held = events.where((F.col("occurred_at") >= F.lit(f"{begin}-01").cast("timestamp")) & (F.col("occurred_at") <= F.lit(limit).cast("timestamp")))
+    for name, rows in zip(("daily", "monthly"), rollup_usage(held, as_of, months), strict=True):
+        (
+            rows.repartition("period", "tenant").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("period", "tenant").parquet(f"{path}/{name}")
+        )
+        for period, place in _folders(spark, f"{path}/{name}").items():
+            if period < first:
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def apply_schema_version(items: DataFrame) -> DataFrame:
     """Old rows lack ``event_at`` and ``superseded``: fill them with null and false."""
     empty = items.sparkSession.createDataFrame([], "event_at timestamp, superseded boolean")
