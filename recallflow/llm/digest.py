@@ -2,7 +2,9 @@
 
 Byte triplets are hashed into buckets; a bucket's count is coded by the quartile of all
 counts it falls in, two bits each, behind a code of the text's length. Two digests differ
-by the steps between their codes, and the likeness is one less that difference, bounded.
+by the steps between their codes, and the likeness is one less that difference, bounded,
+where one is the difference that codes of these frequencies have by chance: a short text
+fills few buckets, and the empty ones that it shares with any other prove nothing.
 The three bytes of a triplet lie apart: neighbouring letters tell the language rather than
 the text.
 """
@@ -22,7 +24,7 @@ from recallflow.session import cut
 
 BUCKETS = 1024
 PLACES = (0, 5, 11)  # of a triplet's bytes
-WHOLE = 1.0  # mean difference a bucket at which nothing is left of the likeness
+_STEPS = np.abs(np.arange(4)[:, None] - np.arange(4))
 QUARTILES = [BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]
 
 
@@ -31,10 +33,14 @@ def _length_code(n: int) -> int:
 
 
 def counts(data: bytes) -> np.ndarray:
-    """Counts of the hashed triplets; a text of 11 bytes or less has none."""
+    """Counts of the hashed triplets, one a byte: the text closes to a ring, so that a short
+    one has them too."""
     b = np.frombuffer(data, dtype=np.uint8)
     x, y, z = PLACES
     out = np.zeros(BUCKETS, dtype=np.int64)
+    if not len(b):
+        return out
+    b = np.concatenate([b, np.resize(b, z)])
     for at in range(0, len(b) - z, 1 << 20):
         n = min(1 << 20, len(b) - z - at)
         part = b[at : at + n + z].astype(np.uint32)
@@ -54,11 +60,14 @@ def digest(data: bytes) -> bytes:
 
 
 def likeness(x: bytes, y: bytes) -> float:
-    """One for equal digests, zero from the bounded difference on."""
+    """One for equal digests, zero from the difference on that chance would give."""
+    if x == y:
+        return 1.0
     a, b = (np.unpackbits(np.frombuffer(d, dtype=np.uint8)[1:]).reshape(-1, 2).astype(np.int64) for d in (x, y))
-    steps = np.abs(2 * a[:, 0] + a[:, 1] - 2 * b[:, 0] - b[:, 1]).sum()
-    difference = steps + max(0, abs(x[0] - y[0]) - 8) / 2
-    return float(max(0.0, 1.0 - difference / (WHOLE * BUCKETS)))
+    a, b = 2 * a[:, 0] + a[:, 1], 2 * b[:, 0] + b[:, 1]
+    steps = np.abs(a - b).sum() + max(0, abs(x[0] - y[0]) - 8) / 2
+    by_chance = np.bincount(a, minlength=4) @ _STEPS @ np.bincount(b, minlength=4) / BUCKETS
+    return float(max(0.0, 1.0 - steps / by_chance)) if by_chance else 0.0
 
 
 Place = tuple[bool, int, int]

@@ -1,10 +1,12 @@
 """Near copies by the exact Jaccard similarity of word-shingle sets.
 
-Two sets at ``SHARE`` or more have a shingle in common among the first n - ceil(0.8 n) + 1
-of each, under any one order of all shingles, so only those are posted. Shingles that are
-frequent in a sample come last in that order, which moves work, not results. Each posting
-list is settled by comparing its members with one of them, a few times with another one;
-pairs that no component joins by then are compared one by one, on the whole sets.
+SimHash fingerprints of the sets, joined by the binary trie of ``simhash.py``, propose most
+pairs; whatever is proposed is compared on the whole sets. What no fingerprint brings
+together is found through shared shingles: two sets at ``SHARE`` or more have a shingle in
+common among the first n - ceil(0.8 n) + 1 of each, under any one order of all shingles, so
+only those are posted. Shingles that are frequent in a sample come last in that order, which
+moves work, not results. The members of a posting list that no component joins are compared
+with a few of them; lists still open after that have all their remaining pairs compared.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallflow.llm.common import appended, bound_batches, unused
+from recallflow.llm import simhash
+from recallflow.llm.common import appended, bound_batches, unused, written
 from recallflow.llm.components import components
-from recallflow.session import cut
+from recallflow.operators.scans import top_k
 
 WIDTH = 5
 SHARE = (4, 5)
 FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, 1) | 1 for k in range(64)], dtype=np.uint64)
-HUBS = 3
+HUBS = 16  # members of a list that all others are compared with
+BUDGET = 3  # bits in which fingerprints may differ
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -56,6 +60,15 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if set in over half of its hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(s), 1 << 15):
+        part = np.ascontiguousarray(s[at : at + (1 << 15)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(s)).astype(np.uint8)).view(np.int64)[0])
+
+
 def _head(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The shingles of a set that are posted."""
     if not len(s):
@@ -88,8 +101,9 @@ def _fit(a: Column, b: Column) -> Column:
     return (a * SHARE[0] <= b * SHARE[1]) & (b * SHARE[0] <= a * SHARE[1])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) whose whole sets reach ``SHARE``."""
+def _verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs (x, y) whose whole sets reach ``SHARE``, written. Sketches and
+    sizes leave few for which the sets have to travel."""
     low = SHARE[1] - SHARE[0], SHARE[1] + SHARE[0]
     a, b = (sets.select(F.col("key").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "xy")
 
@@ -100,8 +114,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             near = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) * low[1] <= low[0] * size
             yield batch.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
 
-    pairs = cut(pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(maybe, "x bigint, y bigint"))
-    a, b = (sets.select(F.col("key").alias(k), F.col("set").alias(f"s{k}")) for k in "xy")
+    sized = pairs.join(a, "x").join(b, "y").where(_fit(F.col("nx"), F.col("ny")))
+    pairs = written(sized.select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(maybe, "x bigint, y bigint"))
+    # Of all sets only those still asked for move; the list of their keys is most often small
+    # enough to be sent to the sets.
+    asked = written(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
+    held = written(whole.join(asked, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
+    a, b = (held.select(F.col("key").alias(k), F.col("set").alias(f"s{k}")) for k in "xy")
     both = pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,65 +129,53 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             near = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(sx, sy, strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
 
-    return cut(both.mapInArrow(run, "x bigint, y bigint"))
+    return written(both.mapInArrow(run, "x bigint, y bigint"))
 
 
-def _open(posts: DataFrame, found: DataFrame) -> DataFrame:
-    """Postings (h, key, n, component) of the lists that hold several components."""
+def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings (h, key, n, component) of the lists that hold several components, written."""
     labels = components(found, "x", "y").withColumnRenamed("node", "key")
-    named = posts.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = cut(named.select("h", "key", "n", "component"))
+    named = lists.join(labels, "key", "left").select("h", "key", "n", F.coalesce("component", "key").alias("component"))
     some = named.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("h")
-    return cut(named.join(some, "h", "left_semi"))
+    return written(named.join(some, "h", "left_semi"))
+
+
+def _met(lists: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (x, y) of a list's members with those of ``other`` (h, k2, n2, c2)."""
+    pairs = lists.join(other, "h").where((F.col("component") != F.col("c2")) & _fit(F.col("n"), F.col("n2")))
+    return pairs.select(F.least("key", "k2").alias("x"), F.greatest("key", "k2").alias("y")).distinct()
 
 
-def links(marked: DataFrame, texts: DataFrame) -> DataFrame:
+def links(marked: DataFrame) -> DataFrame:
     """(x, y) keys of different sets with the components of "similar at ``SHARE`` or more"."""
-    each = marked.groupBy("key").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("head").alias("head"))
-    posts = each.select("key", F.col("n").cast("int").alias("n"), F.explode("head").alias("h"))
+    whole = marked.select("key", "set")
+    sets = written(marked.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "head", "sketch")]))  # copies once
+    named = sets.groupBy("fp").agg(F.min("key").alias("first"))
+    alike = sets.select("key", "fp").join(named, "fp").where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
+    ends = [named.select(F.col("fp").alias(k), F.col("first").alias(f"k{k}")) for k in "xy"]
+    close = simhash.links(written(named.select("fp")), BUDGET).join(ends[0], "x").join(ends[1], "y").select(F.least("kx", "ky").alias("x"), F.greatest("kx", "ky").alias("y"))
+    found = _verified(alike.unionByName(close).distinct(), sets, whole)
+    posts = sets.select("key", F.col("n").cast("int").alias("n"), F.explode("head").alias("h"))
     shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     # Most shingles are in one set: only the lists of several are written.
-    lists = cut(posts.join(shared, "h", "left_semi").select("h", "key", "n", F.col("key").alias("component")))
-    whole = lists.select("key").distinct().join(each.select("key", "hash"), "key")
-    bodies = texts.join(whole.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
-
-    def body(column: pa.Array) -> list[pa.Array]:
-        found = [shingles(t) for t in column.cast(pa.binary()).to_pylist()]
-        return [pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())]
-
-    sets = cut(appended(whole.join(bodies, "hash").select("key", "text"), "text", body, [("set", "binary"), ("sketch", "binary"), ("n", "bigint")]).select("key", "set", "sketch", "n"))
-    found = tried = None
-    for turn in range(HUBS + 1):
-        if turn < HUBS:
-            # At first one hub for all lists of a group, then another for each list.
-            order = F.xxhash64("key") if turn == 0 else F.xxhash64("key", "h", F.lit(turn))
-            one = lists.groupBy("h").agg(F.min_by(F.struct("key", "n", "component"), order).alias("hub"))
-            pairs = lists.join(one, "h").select("key", "n", "component", F.col("hub.key").alias("k2"), F.col("hub.n").alias("n2"), F.col("hub.component").alias("c2"))
-        else:
-            other = lists.select("h", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-            pairs = lists.join(other, "h").where("key < k2")
-        pairs = (
-            pairs.where((F.col("component") != F.col("c2")) & _fit(F.col("n"), F.col("n2")))
-            .select(F.least("key", "k2").alias("x"), F.greatest("key", "k2").alias("y")).distinct()
-        )
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
-        good = _verified(pairs, sets)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = good if found is None else found.unionByName(good)
-        if turn < HUBS:
-            lists = _open(lists.select("h", "key", "n"), found)
-            if lists.isEmpty():
-                break
+    lists = _open(posts.join(shared, "h", "left_semi"), found)
+    hubs = top_k(lists, ["h"], [F.xxhash64("key"), F.col("key")], HUBS + 1)
+    other = lambda df: df.select("h", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
+    found = found.unionByName(_verified(_met(lists, other(hubs.where(F.col("rank") <= HUBS))), sets, whole))
+    # Lists of more members: those beyond the hubs have not met one another.
+    rest = written(lists.join(hubs.where(F.col("rank") > HUBS).select("h"), "h", "left_semi"))
+    if not rest.isEmpty():
+        rest = _open(rest.select("h", "key", "n"), found)
+        found = found.unionByName(_verified(_met(rest, other(rest)), sets, whole))
     return found
 
 
-def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hash, key, n, head) per row and (hash, text) of all rows. ``key`` stands for
-    the set, ``hash`` for the text; null text: no words."""
+def marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, key, n, fp, head, sketch, set) per row, written. ``key`` stands for the
+    set, ``hash`` for the text; null text: no words."""
     bound_batches(docs.sparkSession)
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
-    texts = plain.select("hash", "text")
-    often = frequent(texts, docs.count())
+    often = frequent(plain.select("hash", "text"), docs.count())
 
     def run(column: pa.Array) -> list[pa.Array]:
         sets = [shingles(t) for t in column.cast(pa.binary()).to_pylist()]
@@ -176,21 +183,24 @@ def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         at = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
         flat = np.concatenate(heads) if heads else np.zeros(0, dtype=np.int64)
         key = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        return [pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))]
+        return [
+            pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+        ]
 
-    found = appended(plain, "text", run, [("key", "bigint"), ("n", "bigint"), ("head", "array<bigint>")])
-    return cut(found.select("doc_id", "hash", "key", "n", "head")), texts
+    fields = [("key", "bigint"), ("n", "bigint"), ("fp", "bigint"), ("head", "array<bigint>"), ("sketch", "binary"), ("set", "binary")]
+    return written(appended(plain, "text", run, fields).drop("text"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest (doc_id,
     text hash). Documents without an id cannot be told apart and all stay."""
-    marked, texts = marks(docs)
-    labels = components(links(marked, texts), "x", "y").withColumnRenamed("node", "key")
+    marked = marks(docs)
+    labels = components(links(marked), "x", "y").withColumnRenamed("node", "key")
     named = marked.where("doc_id IS NOT NULL").select("doc_id", "hash", "key").join(labels, "key", "left")
     group = F.coalesce("component", "key")
     best = named.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "hash")).alias("one"))
-    kept = cut(best.select(F.col("one.doc_id").alias("doc_id"), F.col("one.hash").alias("hash")))
+    kept = written(best.select(F.col("one.doc_id").alias("doc_id"), F.col("one.hash").alias("hash")))
     turn = unused(docs, "hash")
     rows = docs.withColumn(turn, F.xxhash64(F.col("text").cast("string"))).join(kept.withColumnRenamed("hash", turn), ["doc_id", turn], "left_semi")
     again = rows.groupBy("doc_id", turn).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

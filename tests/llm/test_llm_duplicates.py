@@ -67,15 +67,17 @@ def test_simhash_groups_odd_rows(odd, odd_rows, none):
     rows = simhash.groups(odd).collect()
     assert sorted((str(r.doc_id), r.fp & (1 << 64) - 1) for r in rows) == sorted((str(i), _simple_fingerprint(t)) for i, t, _ in odd_rows)
     assert {r.doc_id: r.component_id for r in rows if r.doc_id} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
-    kept = simhash.deduplicated(odd)
-    assert kept.columns == odd.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "6", "None"]
-    assert simhash.groups(none).collect() == [] and simhash.deduplicated(none).collect() == []
+    assert simhash.groups(none).collect() == []
 
 
-def test_repeated_representative_stays_once(spark):
-    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
-    assert [r.doc_id for r in simhash.deduplicated(df).collect()] == [1]
+def test_groups_of_the_sample_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    fp = {r.doc_id: _simple_fingerprint(r.text) for r in docs.collect()}
+    ids, u = np.array(sorted(fp)), np.array([fp[i] for i in sorted(fp)], dtype=np.uint64)
+    i, j = np.nonzero(np.bitwise_count(u[:, None] ^ u) <= 2)
+    want = {int(ids[k]): int(ids[r]) for k, r in enumerate(forest(i, j, len(u)))}
+    rows = simhash.groups(docs).collect()
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in rows} == fp and {r.doc_id: r.component_id for r in rows} == want
 
 
 def test_components_of_a_chain_and_a_hub(spark):

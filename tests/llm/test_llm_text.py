@@ -144,3 +144,17 @@ def test_sha_of_a_conversation_is_that_of_its_turns(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id = 0").orderBy("turn").collect()
     got = op6(spark, sf).where("conv_id = 0").first()
     assert got.turns_sha256 == hashlib.sha256("".join(f"{r.role}\n{r.text}\n" for r in rows).encode()).hexdigest()
+
+
+def test_digest_tells_short_texts_apart():
+    draw = random.Random(9)
+    pick = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).encode()
+    assert digest.digest(b"hello world") != digest.digest(b"abcdefghijk")
+    assert digest.likeness(digest.digest(b""), digest.digest(b"hello world")) == 0 and digest.likeness(digest.digest(b""), digest.digest(b"")) == 1
+    for n in (8, 20, 50, 200, 3000):
+        own = other = 0.0
+        for _ in range(40):
+            t, u = pick(n), pick(n)
+            own += digest.likeness(digest.digest(t), digest.digest(t[: n - n // 3] + u[: n // 3])) / 40
+            other += digest.likeness(digest.digest(t), digest.digest(u)) / 40
+        assert other < 0.1 and own > other + 0.1
