@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recallflow.functions import vectors as vx
 from recallflow.operators.scans import top_k
+from recallflow.session import cut
 
 NEAR = 0.65
 QUORUM = 3
@@ -63,22 +64,45 @@ def neighborhoods(user_vectors: DataFrame, block_rows: int = 1024) -> DataFrame:
     return pairs.groupBy("user_id", "a", "b").applyInPandas(_near, "user_id string, token string, neighbor string")
 
 
+def neighborhood_classes(near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, sets): users that give a token the same neighbours are one class.
+
+    members(user_id, token, class), classes(class, token, n, users), sets(class, neighbor).
+    Sets are compared by their size and two order-free hashes.
+    """
+    marks = [F.bit_xor(F.xxhash64("neighbor", F.lit(k))) for k in (1, 2)]
+    own = near.groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("n"), marks[0].alias("h1"), marks[1].alias("h2"))
+    members = cut(own.select("user_id", "token", "n", F.xxhash64("token", "n", "h1", "h2").alias("class")))
+    classes = members.groupBy("class", "token", "n").agg(F.count(F.lit(1)).alias("users"), F.min("user_id").alias("first"))
+    lead = classes.select("class", "token", F.col("first").alias("user_id"))
+    sets = near.join(lead, ["user_id", "token"]).select("class", "neighbor")
+    return members.select("user_id", "token", "class"), classes.drop("first"), sets
+
+
 def discover_synonyms(near: DataFrame, epoch: float) -> DataFrame:
     """Candidate synonyms confirmed by pairs of users through shared neighbours.
 
-    Neighbourhoods meet on the shared neighbour; only token pairs with common context ever
-    appear, so vocabularies are not multiplied.
+    Classes of equal neighbourhoods meet on the shared neighbour, so users that agree count
+    by their number: two classes stand for users times users pairs, less the users that
+    are in both. Only token pairs with common context ever appear.
     """
-    size = near.groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    a = near.select(F.col("user_id").alias("ua"), F.col("token").alias("ta"), "neighbor")
-    b = near.select(F.col("user_id").alias("ub"), F.col("token").alias("tb"), "neighbor")
-    both = a.join(b, "neighbor").where("ua < ub AND ta <> tb").groupBy("ua", "ub", "ta", "tb").agg(F.count(F.lit(1)).alias("shared"))
-    na = size.select(F.col("user_id").alias("ua"), F.col("token").alias("ta"), F.col("n").alias("na"))
-    nb = size.select(F.col("user_id").alias("ub"), F.col("token").alias("tb"), F.col("n").alias("nb"))
+    members, classes, sets = (cut(x) for x in neighborhood_classes(near))
+    named = cut(sets.join(classes.select("class", "token"), "class"))
+    a = named.select(F.col("class").alias("ca"), F.col("token").alias("token_a"), "neighbor")
+    b = named.select(F.col("class").alias("cb"), F.col("token").alias("token_b"), "neighbor")
+    both = a.join(b, "neighbor").where("token_a < token_b").groupBy("ca", "cb", "token_a", "token_b").agg(F.count(F.lit(1)).alias("shared"))
+    na = classes.select(F.col("class").alias("ca"), F.col("n").alias("na"), F.col("users").alias("ua"))
+    nb = classes.select(F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("users").alias("ub"))
     sim = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    ok = both.where("shared >= 2").join(na, ["ua", "ta"]).join(nb, ["ub", "tb"]).withColumn("sim", sim).where("sim >= 0.3")
-    return ok.groupBy(F.least("ta", "tb").alias("token_a"), F.greatest("ta", "tb").alias("token_b")).agg(
-        F.avg("sim").alias("similarity"), F.count(F.lit(1)).alias("confirmations")
+    ok = cut(both.where("shared >= 2").join(na, "ca").join(nb, "cb").withColumn("sim", sim).where("sim >= 0.3"))
+    # A user confirms nothing with itself.
+    ma = members.select(F.col("class").alias("ca"), "user_id")
+    mb = members.select(F.col("class").alias("cb"), "user_id")
+    alone = ok.select("ca", "cb").join(ma, "ca").join(mb, ["cb", "user_id"]).groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("same"))
+    pairs = F.col("ua") * F.col("ub") - F.coalesce("same", F.lit(0))
+    counted = ok.join(alone, ["ca", "cb"], "left").withColumn("pairs", pairs).where("pairs > 0")
+    return counted.groupBy("token_a", "token_b").agg(
+        (F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")).alias("similarity"), F.sum("pairs").alias("confirmations")
     ).select(
         "*", F.lit(float(epoch)).alias("first_epoch"), F.lit(float(epoch)).alias("last_epoch"),
         F.least(F.col("confirmations") / QUORUM, F.lit(1.0)).alias("confidence"),

@@ -106,21 +106,43 @@ def candidate_edges(mentions: DataFrame, related: DataFrame | None = None) -> Da
     )
 
 
+def _smaller_first(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs with ``lead``, the entity of the smaller spectrum, and ``other``."""
+    na = sizes.select("namespace", F.col("entity").alias("entity_a"), F.col("n").alias("na"))
+    nb = sizes.select("namespace", F.col("entity").alias("entity_b"), F.col("n").alias("nb"))
+    both = pairs.join(na, ["namespace", "entity_a"]).join(nb, ["namespace", "entity_b"])
+    first = F.col("na") <= F.col("nb")
+    return both.select(
+        *pairs.columns, F.when(first, F.col("entity_a")).otherwise(F.col("entity_b")).alias("lead"),
+        F.when(first, F.col("entity_b")).otherwise(F.col("entity_a")).alias("other"),
+    )
+
+
+def _shared_tokens(pairs: DataFrame, free: DataFrame) -> DataFrame:
+    """(pair, token, wa, wb) for the tokens both entities carry.
+
+    A pair unrolls its smaller spectrum and asks the larger one by (entity, token), so a hub
+    is never copied per pair and its spectrum lies spread over its tokens.
+    """
+    sizes = free.groupBy("namespace", "entity").agg(F.count(F.lit(1)).alias("n"))
+    asked = _smaller_first(pairs.select("namespace", "entity_a", "entity_b"), sizes)
+    lead = free.select("namespace", F.col("entity").alias("lead"), "token", F.col("weight").alias("wa"))
+    other = free.select("namespace", F.col("entity").alias("other"), "token", F.col("weight").alias("wb"))
+    return asked.join(lead, ["namespace", "lead"]).join(other, ["namespace", "other", "token"]).select("namespace", "entity_a", "entity_b", "token", "wa", "wb")
+
+
 def coupling(pairs: DataFrame, spectrum: DataFrame, idf: DataFrame) -> DataFrame:
     """Coupling strength K per candidate pair and whether it synchronises.
 
     Spectra are joined along the candidate pairs, never token against token.
     """
     names = spectrum.select("namespace", F.col("entity").alias("token")).distinct()
-    free = spectrum.join(names, ["namespace", "token"], "left_anti").join(
-        idf.select("namespace", "token", "idf"), ["namespace", "token"]
-    )
+    known = idf.select("namespace", "token", "idf")
+    free = spectrum.join(names, ["namespace", "token"], "left_anti").join(known, ["namespace", "token"])
     size = free.groupBy("namespace", "entity").agg(F.count(F.lit(1)).alias("n"))
-    a = free.select("namespace", F.col("entity").alias("entity_a"), "token", "idf", F.col("weight").alias("wa"))
-    b = free.select("namespace", F.col("entity").alias("entity_b"), "token", F.col("weight").alias("wb"))
     key = ["namespace", "entity_a", "entity_b"]
     shared = (
-        pairs.select(*key).join(a, ["namespace", "entity_a"]).join(b, ["namespace", "entity_b", "token"])
+        _shared_tokens(pairs, free).join(known, ["namespace", "token"])
         .groupBy(*key).agg(
             F.sum(F.col("idf") * F.col("idf")).alias("sic"), F.count(F.lit(1)).alias("shared_tokens"),
             F.sum(F.least("wa", "wb")).alias("shared_weight"),
@@ -143,13 +165,7 @@ def shared_spectrum(pairs: DataFrame, spectrum: DataFrame) -> DataFrame:
     """(pair, token, weight): tokens both entities of a pair carry, entity names excluded."""
     names = spectrum.select("namespace", F.col("entity").alias("token")).distinct()
     free = spectrum.join(names, ["namespace", "token"], "left_anti")
-    a = free.select("namespace", F.col("entity").alias("entity_a"), "token", F.col("weight").alias("wa"))
-    b = free.select("namespace", F.col("entity").alias("entity_b"), "token", F.col("weight").alias("wb"))
-    return (
-        pairs.select("namespace", "entity_a", "entity_b").join(a, ["namespace", "entity_a"])
-        .join(b, ["namespace", "entity_b", "token"])
-        .select("namespace", "entity_a", "entity_b", "token", F.least("wa", "wb").alias("weight"))
-    )
+    return _shared_tokens(pairs, free).select("namespace", "entity_a", "entity_b", "token", F.least("wa", "wb").alias("weight"))
 
 
 def components(edges: DataFrame, a: str, b: str, scope: str = "namespace", max_rounds: int = 60) -> DataFrame:

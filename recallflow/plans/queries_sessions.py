@@ -452,6 +452,21 @@ def jobs_sync_drift(spark, sf):
     return _sync(spark, sf)["drift"].select("user_id", "token", F.round("drift", 6).alias("drift"))
 
 
+@query("jobs_sync_vectors", o.sql("user_vectors", f"""SELECT user_id, token, {_ALL} AS vec_md5 FROM (SELECT user_id, token, i, v FROM bl UNION ALL
+  SELECT w.user_id, cv.token, cv.i, cv.v FROM (SELECT DISTINCT user_id FROM u) w, cv WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = w.user_id AND u.token = cv.token)) GROUP BY 1, 2""", _UV, _SUM, _BLEND))
+def jobs_sync_vectors(spark, sf):
+    return _sync(spark, sf)["vectors"].select("user_id", "token", _whole("vec").alias("vec_md5"))
+
+
+@query("jobs_sync_synonyms", o.sql("user_vectors", f"""SELECT token_a, token_b, CAST(sum(confirmations) AS BIGINT) AS confirmations, round(sum(similarity * confirmations) / sum(confirmations), 6) AS similarity
+  FROM (SELECT token_a, token_b, similarity, confirmations FROM sy UNION ALL SELECT token_a, token_b, similarity, confirmations FROM sy2) GROUP BY 1, 2""", _UV, _NV, _SYN,
+  """nb2 AS (SELECT a.user_id, a.token, b.token AS neighbor FROM u a JOIN u b ON a.user_id = b.user_id AND a.token <> b.token WHERE list_cosine_similarity(a.vec, b.vec) >= 0.65)""",
+  _SYN.replace("FROM nb GROUP", "FROM nb2 GROUP").replace("FROM nb a JOIN nb b", "FROM nb2 a JOIN nb2 b").replace("sz AS", "sz2 AS").replace("sh AS", "sh2 AS").replace("sy AS", "sy2 AS").replace("FROM sh JOIN sz x", "FROM sh2 JOIN sz2 x").replace("JOIN sz y", "JOIN sz2 y")))
+def jobs_sync_synonyms(spark, sf):
+    s = _sync(spark, sf)["synonyms"]
+    return s.select("token_a", "token_b", F.col("confirmations").cast("bigint").alias("confirmations"), F.round("similarity", 6).alias("similarity"))
+
+
 def _cycle(spark, sf):
     """Schemas of the prompts; half are in L2 already and a third in L3."""
     from recallflow.operators import schemas as sc

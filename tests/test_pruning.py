@@ -87,3 +87,24 @@ def test_guessed_tokens_count_half(spark):
     weights = spark.createDataFrame([("n", "hikers", 2.0, 1.0), ("n", "hiked", 3.0, 1.0)], "namespace string, token string, idf double, entropy_weight double")
     tokens = spark.createDataFrame([(1, "n", "hikers", True)], "query_id long, namespace string, token string, inferred boolean")
     assert {r.mem_id: (r.raw, r.matched) for r in rc.candidates(tokens, index, weights).collect()} == {"a": (4.0, 2), "b": (1.0, 1)}
+
+
+def test_synonyms_by_classes_equal_pairs_of_users(spark):
+    from collections import defaultdict
+
+    from recallflow.operators import embeddings as em
+
+    rng = np.random.default_rng(11)
+    near = {(f"u{u:02d}", f"t{t}"): tuple(sorted({f"x{x}" for x in ((1, 2, 3, t % 2 + 4) if u % 3 else rng.integers(0, 7, 4))})) for u in range(12) for t in range(5)}
+    rows = [(u, t, x) for (u, t), xs in near.items() for x in xs]
+    want = defaultdict(list)
+    for (ua, ta), a in near.items():
+        for (ub, tb), b in near.items():
+            if ua < ub and ta != tb and len(set(a) & set(b)) >= 2:
+                sim = len(set(a) & set(b)) / len(set(a) | set(b))
+                if sim >= 0.3:
+                    want[min(ta, tb), max(ta, tb)].append(sim)
+    df = spark.createDataFrame(rows, "user_id string, token string, neighbor string")
+    found = {(r.token_a, r.token_b): (r.confirmations, round(r.similarity, 9)) for r in em.discover_synonyms(df, 1.0).collect()}
+    assert found == {k: (len(v), round(sum(v) / len(v), 9)) for k, v in want.items()}
+    assert em.neighborhood_classes(df)[1].count() < len(near) / 2
