@@ -220,7 +220,13 @@ def sessions_cross_recall(spark, sf):
     return _recalled(spark, sf).select("query_id", "session_id", "sequence_num", F.round("score", 5).alias("score"))
 
 
-@query("sessions_reinforce")
+_LEAD = "cv0 AS (SELECT 'u' || conv_id % 10 AS namespace, conv_id * 1000 + turn AS seq, text FROM conversations), " + o.ordered_tokens("ot", "cv0", "namespace, seq").strip()
+
+
+@query("sessions_reinforce", o.sql("prompt_log", """SELECT namespace, seq, count(*) AS hits FROM (SELECT t.query_id, t.namespace, t.r, l.seq, count(*) AS k, max(t.n) AS n FROM
+  (SELECT q.*, h.token, count(*) OVER (PARTITION BY q.query_id, q.r) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id, sequence_num) AS r FROM
+    (SELECT rs.*, ask.namespace FROM rs JOIN ask USING (query_id) WHERE score > 0.01)) q JOIN ht h ON h.session_id = q.session_id AND h.sequence_num = q.sequence_num AND h.namespace = q.namespace WHERE q.r <= 5) t
+  JOIN ot l ON l.namespace = t.namespace AND l.token = t.token AND l.r <= 10 GROUP BY 1, 2, 3, 4) WHERE k > 0.3::DOUBLE * n GROUP BY 1, 2""", _P, _PT, _HT, _IDF, _SPEC, _COUP, _RECALL, _LEAD))
 def sessions_reinforce(spark, sf):
     return ss.reinforce_from_sessions(_recalled(spark, sf), prompt_items(spark, sf))
 
