@@ -101,7 +101,18 @@ def _fit(a: Column, b: Column) -> Column:
     return (a * SHARE[0] <= b * SHARE[1]) & (b * SHARE[0] <= a * SHARE[1])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame) -> DataFrame:
+def _bodies(asked: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, set) of the asked keys, made anew from one text of each, written."""
+    hashes = written(marked.join(asked, "key", "left_semi").groupBy("key").agg(F.min("hash").alias("hash")))
+    bodies = texts.join(hashes, "hash").groupBy("key").agg(F.first("text").alias("text"))
+
+    def run(column: pa.Array) -> list[pa.Array]:
+        return [pa.array([shingles(t).tobytes() for t in column.cast(pa.binary()).to_pylist()], pa.binary())]
+
+    return written(appended(bodies, "text", run, [("set", "binary")]).drop("text"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (x, y) whose whole sets reach ``SHARE``, written. Sketches and
     sizes leave few for which the sets have to travel."""
     low = SHARE[1] - SHARE[0], SHARE[1] + SHARE[0]
@@ -116,10 +127,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame) -> DataFrame:
 
     sized = pairs.join(a, "x").join(b, "y").where(_fit(F.col("nx"), F.col("ny")))
     pairs = written(sized.select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(maybe, "x bigint, y bigint"))
-    # Of all sets only those still asked for move; the list of their keys is most often small
-    # enough to be sent to the sets.
-    asked = written(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
-    held = written(whole.join(asked, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
+    # Whole sets are neither kept nor moved but for the few still asked for; the list of
+    # their keys is most often small enough to be sent to the texts.
+    held = _bodies(written(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()), marked, texts)
     a, b = (held.select(F.col("key").alias(k), F.col("set").alias(f"s{k}")) for k in "xy")
     both = pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
 
@@ -146,36 +156,36 @@ def _met(lists: DataFrame, other: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "k2").alias("x"), F.greatest("key", "k2").alias("y")).distinct()
 
 
-def links(marked: DataFrame) -> DataFrame:
+def links(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """(x, y) keys of different sets with the components of "similar at ``SHARE`` or more"."""
-    whole = marked.select("key", "set")
     sets = written(marked.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "head", "sketch")]))  # copies once
     named = sets.groupBy("fp").agg(F.min("key").alias("first"))
     alike = sets.select("key", "fp").join(named, "fp").where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
     ends = [named.select(F.col("fp").alias(k), F.col("first").alias(f"k{k}")) for k in "xy"]
     close = simhash.links(written(named.select("fp")), BUDGET).join(ends[0], "x").join(ends[1], "y").select(F.least("kx", "ky").alias("x"), F.greatest("kx", "ky").alias("y"))
-    found = _verified(alike.unionByName(close).distinct(), sets, whole)
+    found = _verified(alike.unionByName(close).distinct(), sets, marked, texts)
     posts = sets.select("key", F.col("n").cast("int").alias("n"), F.explode("head").alias("h"))
     shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     # Most shingles are in one set: only the lists of several are written.
     lists = _open(posts.join(shared, "h", "left_semi"), found)
     hubs = top_k(lists, ["h"], [F.xxhash64("key"), F.col("key")], HUBS + 1)
     other = lambda df: df.select("h", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    found = found.unionByName(_verified(_met(lists, other(hubs.where(F.col("rank") <= HUBS))), sets, whole))
+    found = found.unionByName(_verified(_met(lists, other(hubs.where(F.col("rank") <= HUBS))), sets, marked, texts))
     # Lists of more members: those beyond the hubs have not met one another.
     rest = written(lists.join(hubs.where(F.col("rank") > HUBS).select("h"), "h", "left_semi"))
     if not rest.isEmpty():
         rest = _open(rest.select("h", "key", "n"), found)
-        found = found.unionByName(_verified(_met(rest, other(rest)), sets, whole))
+        found = found.unionByName(_verified(_met(rest, other(rest)), sets, marked, texts))
     return found
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, key, n, fp, head, sketch, set) per row, written. ``key`` stands for the
-    set, ``hash`` for the text; null text: no words."""
+def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, key, n, fp, head, sketch) per row, written, and (hash, text) of all
+    rows. ``key`` stands for the set, ``hash`` for the text; null text: no words."""
     bound_batches(docs.sparkSession)
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
-    often = frequent(plain.select("hash", "text"), docs.count())
+    texts = plain.select("hash", "text")
+    often = frequent(texts, docs.count())
 
     def run(column: pa.Array) -> list[pa.Array]:
         sets = [shingles(t) for t in column.cast(pa.binary()).to_pylist()]
@@ -185,18 +195,18 @@ def marks(docs: DataFrame) -> DataFrame:
         key = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
         return [
             pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array([sketch(s) for s in sets], pa.binary()),
         ]
 
-    fields = [("key", "bigint"), ("n", "bigint"), ("fp", "bigint"), ("head", "array<bigint>"), ("sketch", "binary"), ("set", "binary")]
-    return written(appended(plain, "text", run, fields).drop("text"))
+    fields = [("key", "bigint"), ("n", "bigint"), ("fp", "bigint"), ("head", "array<bigint>"), ("sketch", "binary")]
+    return written(appended(plain, "text", run, fields).drop("text")), texts
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest (doc_id,
     text hash). Documents without an id cannot be told apart and all stay."""
-    marked = marks(docs)
-    labels = components(links(marked), "x", "y").withColumnRenamed("node", "key")
+    marked, texts = marks(docs)
+    labels = components(links(marked, texts), "x", "y").withColumnRenamed("node", "key")
     named = marked.where("doc_id IS NOT NULL").select("doc_id", "hash", "key").join(labels, "key", "left")
     group = F.coalesce("component", "key")
     best = named.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "hash")).alias("one"))
