@@ -140,14 +140,14 @@ def window_usage(events: DataFrame, as_of: str, caps: dict[str, int] | None = No
     )
 
 
-def _admit(limit: int, seconds: float):
+def _admit(limit: int, span: int):
     """Sliding window of accepted calls, carried from chunk to chunk of one key."""
 
-    def run(times: list[float], state: list[float]) -> tuple[list[bool], list[float]]:
+    def run(times: list[int], state: list[int]) -> tuple[list[bool], list[int]]:
         held = list(state)
         out = []
         for t in times:
-            while held and held[0] <= t - seconds:
+            while held and held[0] <= t - span:
                 held.pop(0)
             ok = len(held) < limit
             if ok:
@@ -168,28 +168,27 @@ def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFr
     """
     from pyspark.sql import Window as W
 
-    at = F.unix_micros("ts") / 1e6
-    by_key = W.partitionBy("key", "_h").orderBy("_t", "request_id")
-    base = events.withColumn("_t", at).withColumn("_h", F.floor(F.col("_t") / 86400))
+    span = int(seconds * 1_000_000)
+    base = events.withColumn("_t", F.unix_micros("ts")).withColumn("_h", F.floor(F.col("_t") / 86_400_000_000))
+    # Bursts are sets of moments: calls of one moment and id must not fall into two of them.
+    moments = base.select("key", "_h", "_t").distinct()
+    by_key = W.partitionBy("key", "_h").orderBy("_t")
     # Pauses are found per day bucket; the first call of a day compares with the last call
     # of the day before, taken from one small row per (key, day).
-    days = base.groupBy("key", "_h").agg(F.max("_t").alias("_last"))
+    days = moments.groupBy("key", "_h").agg(F.max("_t").alias("_last"))
     prev = days.withColumn(
         "_prev", F.lag("_last").over(W.partitionBy("key").orderBy("_h"))
     ).drop("_last")
     gap = F.col("_t") - F.coalesce(F.lag("_t").over(by_key), F.col("_prev"))
-    marked = base.join(prev, ["key", "_h"]).withColumn(
-        "_new", F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0)
-    )
-    runs = cut(
-        running_sum(
-            marked.drop("_prev"), ["key"], ["_t", "request_id"], F.col("_h"), {"burst": F.col("_new")}
-        )
+    marked = moments.join(prev, ["key", "_h"]).withColumn(
+        "_new", F.when(gap.isNull() | (gap >= span), 1).otherwise(0)
     )
+    bursts = running_sum(marked.drop("_prev"), ["key"], ["_t"], F.col("_h"), {"burst": F.col("_new")})
+    runs = cut(base.join(bursts.select("key", "_t", "burst"), ["key", "_t"]))
     sizes = runs.groupBy("key", "burst").agg(F.count(F.lit(1)).alias("_n"))
     sized = runs.join(sizes, ["key", "burst"])
     calm = sized.where(F.col("_n") <= limit).select("key", "request_id", "ts", F.lit(True).alias("allowed"))
-    admit = _admit(limit, seconds)
+    admit = _admit(limit, span)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, []
