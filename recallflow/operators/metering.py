@@ -292,10 +292,33 @@ def reconcile(counters: DataFrame, events: DataFrame, period: str, min_abs: int
     ).where((F.col("drift") > min_abs) & (F.col("_share") > pct)).drop("_share")
 
 
+def _three_places(x: Column) -> Column:
+    """``x`` (not negative) printed with three decimals, rounded by the double's exact value.
+
+    Java rounds the shortest decimal form of a double, C its exact value, which lies above or
+    below the half it prints as. The fraction times 2**52 and what is left of it times 2**52
+    again are whole numbers; in thousandths their sums fit a long.
+    """
+    unit = float(1 << 52)
+    whole = F.floor(x)
+    high = F.floor((x - whole) * unit)
+    low = F.floor(((x - whole) * unit - high) * unit)
+    # Thousandths of the fraction: 1000 * (high + low / 2**52) / 2**52.
+    carry = F.shiftright(low * 1000, 52)
+    left = (low * 1000).bitwiseAND(F.lit((1 << 52) - 1))
+    total = high * 1000 + carry
+    k = F.shiftright(total, 52)
+    rest = total.bitwiseAND(F.lit((1 << 52) - 1))
+    half = F.lit(1 << 51)
+    up = (rest > half) | ((rest == half) & ((left > 0) | (k % 2 == 1)))
+    n = whole * 1000 + k + up.cast("bigint")
+    return F.format_string("%d.%03d", F.floor(n / 1000), n % 1000)
+
+
 def findings_to_dead_letter(findings: DataFrame, failed_at: str) -> DataFrame:
     message = F.format_string(
-        "period=%s subject=%s counter=%d log=%d drift=%d (%.3f%%)",
-        "period", "billing_subject", "counted", "logged", "drift", F.col("drift_pct") * 100,
+        "period=%s subject=%s counter=%d log=%d drift=%d (%s%%)",
+        "period", "billing_subject", "counted", "logged", "drift", _three_places(F.col("drift_pct") * 100),
     )
     return findings.select(
         F.lit(failed_at).cast("timestamp").alias("failed_at"),
