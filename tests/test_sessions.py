@@ -45,3 +45,25 @@ def test_ingested_topics_and_facts_of_whole_prompts(spark):
     assert "zebra" in [r.token for r in topics.collect()]
     facts = spark.read.parquet(f"{out}/facts")
     assert any("zebra" in str(r) for r in facts.collect())
+
+
+def test_coupling_over_blocks_equals_the_plain_sum(spark, monkeypatch):
+    monkeypatch.setattr(ss, "BLOCK", 4)
+    rows = [("n", f"s{i}", f"t{(i * k) % 11}", 0.1 + (i * k % 7)) for i in range(15) for k in range(1, 6)]
+    spectrum = spark.createDataFrame(sorted({r[:3]: r for r in rows}.values()), "namespace string, session_id string, token string, weight double")
+    held = {}
+    for r in ss._scaled(spectrum).collect():
+        held.setdefault(r.session_id, {})[r.token] = r.v
+    want = {}
+    for a in held:
+        for b in held:
+            both = held[a].keys() & held[b].keys()
+            if a < b and both:
+                m = sum(x * x for x in held[a].values()) * sum(x * x for x in held[b].values())
+                want[a, b] = round(sum(min(held[a][t], held[b][t]) ** 2 for t in both) / m**0.5, 9)
+    got = [((r.session_a, r.session_b), round(r.coupling, 9)) for r in ss.session_coupling(spectrum).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    some = spectrum.where("session_id = 's3'")
+    asked = {(r.session_a, r.session_b): round(r.coupling, 9) for r in ss.session_coupling(spectrum, some).collect()}
+    assert asked == {("s3", a if b == "s3" else b): k for (a, b), k in want.items() if "s3" in (a, b)}
+    assert {(r.session_a, r.session_b) for r in ss.coupled_sessions(spectrum, 0.2).collect()} == {p for p, k in want.items() if k >= 0.2}
