@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recallflow.functions import lexicon as lx
 from recallflow.operators.scans import running_sum
-from recallflow.session import cut
+from recallflow.session import stored
 
 
 def lookup(values: dict, key: Column, default=None) -> Column:
@@ -184,7 +184,7 @@ def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFr
         "_new", F.when(gap.isNull() | (gap >= span), 1).otherwise(0)
     )
     bursts = running_sum(marked.drop("_prev"), ["key"], ["_t"], F.col("_h"), {"burst": F.col("_new")})
-    runs = cut(base.join(bursts.select("key", "_t", "burst"), ["key", "_t"]))
+    runs = stored(base.join(bursts.select("key", "_t", "burst"), ["key", "_t"]))
     sizes = runs.groupBy("key", "burst").agg(F.count(F.lit(1)).alias("_n"))
     sized = runs.join(sizes, ["key", "burst"])
     calm = sized.where(F.col("_n") <= limit).select("key", "request_id", "ts", F.lit(True).alias("allowed"))
