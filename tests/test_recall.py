@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallflow.functions import temporal as tp
+from recallflow.functions import text as tx
 from recallflow.operators import corpus as cp
 from recallflow.operators import factor as fa
 from recallflow.operators import entities as en
@@ -56,6 +57,73 @@ def test_knn_equals_brute_force_and_cells_find_most(spark, sf):
     assert len(approx & exact) / len(exact) > 0.8
 
 
+def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
+    """Small blocks, equal vectors, a large cell; ties go to the smaller id."""
+    monkeypatch.setattr(rc, "BLOCK", 7)
+    monkeypatch.setattr(rc, "AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 6))
+    vecs = [base[i if i < 25 else 0 if i < 45 else i - 30] for i in range(60)]
+    rows = [(i, "ab"[i % 2], [float(x) for x in v], 1.0) for i, v in enumerate(vecs)]
+    items = spark.createDataFrame(rows, "mem_id bigint, namespace string, vec array<double>, confidence double")
+    asks = items.select(F.col("mem_id").alias("query_id"), "namespace", "vec")
+    sims = np.round(np.array([[np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) for b in vecs] for a in vecs]), 12)
+    want = {(i, j, r + 1) for i in range(60) for r, j in enumerate(sorted((j for j in range(60) if j % 2 == i % 2), key=lambda j: (-sims[i, j], j))[:4])}
+    keep = lambda df: {(r.query_id, r.mem_id, r.rank) for r in df.collect()}
+    assert keep(rc.knn(asks, items, 4)) == want
+    model = rc.train_cells(items, 5)
+    celled = cut(rc.assign_cells(items, model))
+    assert keep(rc.knn_approx(asks, celled, model, 4, None)) == want
+    cell = {r.mem_id: r.cell for r in celled.collect()}
+    centers = np.array(model.clusterCenters())
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    near = [set(np.argsort(-(centers @ (v / np.linalg.norm(v))))[:2]) for v in vecs]
+    some = {(i, j, r + 1) for i in range(60) for r, j in enumerate(sorted((j for j in range(60) if j % 2 == i % 2 and cell[j] in near[i]), key=lambda j: (-sims[i, j], j))[:4])}
+    assert keep(rc.knn_approx(asks, celled, model, 4, 2)) == some
+
+
+def test_search_in_blocks_equals_scoring_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(rc, "ASKS", 3)
+    monkeypatch.setattr(rc, "HELD", 4)
+    words = "alpha alphabet beta betamax gamma delta deltas xalphax zzz omega".split()
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 7))) for _ in range(30)]
+    items = spark.createDataFrame([(f"m{i:02d}", "u", i, t, 1.0, "liquid", i / 50) for i, t in enumerate(texts)],
+        "mem_id string, namespace string, seq bigint, text string, strength double, phase string, free_energy double")
+    items = cut(items.withColumn("tokens", tx.tokenize(F.col("text"))))
+    asks = _ask(spark, "alpha omega", "beta", "delta gamma alphabet", "pha", "qqqq", "zzz betamax", "max")
+    tokens = {r.query_id: r.t for r in asks.select("query_id", tx.token_set(F.col("text")).alias("t")).collect()}
+    rows = items.join(rc.item_state(items), ["namespace", "mem_id"]).collect()
+    df = {}
+    for r in rows:
+        for t in set(r.tokens):
+            df[t] = df.get(t, 0) + 1
+    weight = {r.token: r.idf * r.entropy_weight for r in cp.token_weights(cp.token_df(items.select("namespace", "mem_id", F.explode("tokens").alias("token"))), cp.namespace_size(items)).collect()}
+    want = {}
+    for q, asked in tokens.items():
+        stems = {t[:4] for t in asked}
+        any_hit = any(t[:4] in stems for r in rows for t in r.tokens)
+        for r in rows:
+            held = [t for t in r.tokens if t[:4] in stems]
+            inside = sum(any(t in w for w in r.text.lower().split()) for t in asked)
+            n = max(len(r.tokens), 1)
+            if held:
+                want[q, r.mem_id] = (sum(weight[t] for t in held) / n ** 0.5 * (1 + len(held) / n) + r.thermo) * r.chi
+            elif inside:
+                want[q, r.mem_id] = inside / len(asked) * (5 / n ** 0.5 if any_hit else 10.0) * r.chi + r.thermo * 0.01
+    got = {(r.query_id, r.mem_id): r.score for r in rc.lexical_search(asks, items, None).where("query_id <> 4").collect()}
+    assert got.keys() == want.keys() and len(got) > 40
+    assert max(abs(got[x] - want[x]) for x in got) < 1e-9
+    best = {}
+    for r in rc.lexical_search(asks, items, 5).collect():
+        best.setdefault(r.query_id, []).append((r.rank, round(r.score, 9)))
+    for q in tokens:
+        if q != 4:
+            scores = sorted((round(s, 9) for (a, _), s in want.items() if a == q), reverse=True)[:5]
+            assert [s for _, s in sorted(best[q])] == scores
+    assert len(best[4]) == 5
+
+
 def test_relative_dates(spark):
     cases = [
         ("2024-05-08", "I went to the doctor yesterday", "I went to the doctor on 7 May 2024"),
