@@ -90,3 +90,24 @@ def test_noise(spark):
     assert one(spark, tx.is_noise, "Let me know if you need more")
     assert one(spark, lambda c: tx.is_noise(c, ("[Our Banner]",)), "see [our banner] here")
     assert not one(spark, tx.is_noise, "Alice likes tea")
+
+
+def test_character_classes_hold_what_they_name(spark):
+    space = {*" \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B))}
+    chars = spark.range(1, 65536).where("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    for body, want in ((tx.SPACE, space), (tx.PUNCT, PUNCT)):
+        assert {r.c for r in chars.where(F.col("c").rlike(f"[{body}]")).collect()} == {*want}
+        assert {r.c for r in chars.where(~F.col("c").rlike(f"[^{body}]")).collect()} == {*want}
+        # Java tests the members of a class one after another: few besides the table of those below 256.
+        assert len(re.sub(r"\[.*\]", "", body).encode("latin-1")) and body.count("&&") == 1
+
+
+def test_facts_and_tokens_of_shared_words(spark):
+    from recallflow.operators import strength as st
+
+    texts = ["Actually the running «cat» -- sat on 'Rome's' wall!", "", "a b", "—", "really quickly moved  on"]
+    rows = st.derive_facts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in rows:
+        f = one(spark, tx.auto_fact, r.text)
+        assert (r.subject, r.relation, r.value, r.override) == (f.subject, f.relation, f.value, f.override)
+        assert r.tokens == tokens(r.text)
