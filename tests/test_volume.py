@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recallflow.operators import recall as rc
 from recallflow.operators import schemas as sc
 
 
@@ -49,3 +50,34 @@ def test_fixed_tokens_of_small_and_large_groups_without_token_rows(spark):
     _, moved = shuffled(spark, lambda: sc.fixed_point(small, held, idf).collect())
     pairs = sum(len(items[m]) for g, ms in groups.items() if g not in ("all", "some") for m in ms)
     assert moved < 0.7 * pairs
+
+
+def test_entity_search_without_token_rows(spark):
+    rng = np.random.default_rng(9)
+    n, names = 80, ["ann", "bob", "new york", "zoe"]
+    said = {f"m{i:03d}": {names[k] for k in rng.choice(4, 1 + i % 3, replace=False)} for i in range(n)}
+    held = {m: {*(f"w{k}" for k in rng.integers(0, 90, 40)), *(p for e in said[m] for p in e.split())} for m in said}
+    asks = {q: ({names[q % 4], names[(q + 1) % 4], *({names[(q + 2) % 4]} if q % 3 == 0 else ())}, {f"w{k}" for k in rng.integers(0, 90, 5)}) for q in range(30)}
+    idf = {t: float(1 + i % 7) for i, t in enumerate(sorted(set().union(*held.values())))}
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind).cache()
+    items = frame([("n", m, sorted(t), 0.5 + i / 200, 0.1 * (i % 5)) for i, (m, t) in enumerate(held.items())], "namespace string, mem_id string, tokens array<string>, strength double, free_energy double")
+    mentions = frame([("n", m, e) for m, es in said.items() for e in es], "namespace string, mem_id string, entity string")
+    found = frame([(q, "n", e) for q, (es, _) in asks.items() for e in es], "query_id long, namespace string, entity string")
+    tokens = frame([(q, "n", t) for q, (_, ts) in asks.items() for t in ts], "query_id long, namespace string, token string")
+    coupled = frame([(q, "n", len(es), q / 10) for q, (es, _) in asks.items()], "query_id long, namespace string, n long, k_coupling double")
+    weights = frame([*idf.items()], "token string, idf double")
+    want = {}
+    for q, (es, ts) in asks.items():
+        own = {p for e in es for p in (e, *e.split())}
+        with_all = set.intersection(*[set().union(*[held[m] for m in said if e in said[m]]) for e in es]) - own - {*names}
+        for i, m in enumerate(held):
+            if said[m] & es:
+                mass = sum(idf[t] * ((t not in own | with_all | ts) + 2 * (t in ts - own - {*names}) + 3 * (t in with_all)) for t in held[m])
+                want[q, m] = pytest.approx(len(said[m] & es) / len(es) * (1 + q / 10) * mass * (0.5 + i / 200) - 0.1 * (i % 5))
+    for df in (items, mentions, found, tokens, coupled, weights):
+        df.count()
+    out, moved = shuffled(spark, lambda: rc.entity_search(found, tokens, items, mentions, weights, coupled).collect())
+    assert {(r.query_id, r.mem_id): r.score for r in out} == want
+    assert moved < sum(len(held[m]) for _, m in want) / 2
+    best = rc.entity_search(found, tokens, items, mentions, weights, coupled, 5).collect()
+    assert len(best) == 5 * len(asks) and all(r.score == want[r.query_id, r.mem_id] for r in best)
