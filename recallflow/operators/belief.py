@@ -94,7 +94,8 @@ def mark_superseded_gated(items: DataFrame) -> DataFrame:
     topic, other words) does not supersede it. Needs ``embedding``.
 
     Any newer fact without a conflict supersedes, so each row is compared with the facts
-    of its own group that are newer; a row counts once, pairs are never returned.
+    of its own group that are newer, up to the first such one; pairs are never rows. Only
+    rows in conflict with all newer facts of their group are compared with all of them.
     """
     key = ["namespace", "subject", "relation"]
     cols = [*key, "seq", "event_at", "text", "embedding"]
@@ -105,9 +106,12 @@ def mark_superseded_gated(items: DataFrame) -> DataFrame:
     new = base.where(F.col("event_at").isNotNull()).select(
         *key, F.col("event_at").alias("_n_at"), F.col("text").alias("_n_text"), F.col("embedding").alias("_n_emb")
     )
-    pairs = old.join(new, key).where(F.col("event_at").isNull() | (F.col("event_at") < F.col("_n_at")))
+    # A semi join leaves a row at the first newer fact that is free of conflict.
+    later = F.col("event_at").isNull() | (F.col("event_at") < F.col("_n_at"))
     sim = similarity(F.col("_n_emb"), F.col("embedding"))
-    free = pairs.where(conflict_score(F.col("_n_text"), F.col("text"), sim) == 0)
+    same = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(key)]
+    new = new.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_n_at", "_n_text", "_n_emb")
+    free = old.join(new, [*same, later, conflict_score(F.col("_n_text"), F.col("text"), sim) == 0], "left_semi")
     hit = free.select("namespace", "seq").distinct().withColumn("_hit", F.lit(True))
     return items.drop("superseded").join(hit, ["namespace", "seq"], "left").withColumn(
         "superseded", F.coalesce("_hit", F.lit(False))

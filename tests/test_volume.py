@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recallflow.operators import belief as bl
 from recallflow.operators import recall as rc
 from recallflow.operators import schemas as sc
 
@@ -52,6 +53,27 @@ def test_fixed_tokens_of_small_and_large_groups_without_token_rows(spark):
     assert moved < 0.7 * pairs
 
 
+def test_gated_supersession_stops_at_the_first_free_fact(spark, capsys):
+    rng = np.random.default_rng(6)
+    vec = [(lambda v: v / np.linalg.norm(v))(rng.normal(0, 0.4, 4) + np.eye(4)[i % 2]) for i in range(120)]
+    day = [None if i % 17 == 0 else int(rng.integers(0, 5)) for i in range(120)]
+    text = [f"red {'house' if i % 3 else 'boat'} {i % 4}" for i in range(120)]
+    rows = [("n", i, f"s{i % 3}", "r", text[i], day[i], [float(x) for x in vec[i]]) for i in range(120)]
+    items = spark.createDataFrame(rows, "namespace string, seq long, subject string, relation string, text string, d int, embedding array<double>")
+    items = items.withColumn("event_at", F.timestamp_seconds(F.col("d") * 86400)).drop("d").cache()
+
+    def conflict(i, j):
+        a, b, s = {*text[i].split()}, {*text[j].split()}, float(vec[i] @ vec[j])
+        return s > 0.7 and len(a & b) / len(a | b) < 0.3
+
+    want = {i for i in range(120) if any(
+        j % 3 == i % 3 and day[j] is not None and (day[i] is None or day[i] < day[j]) and not conflict(i, j) for j in range(120))}
+    out = bl.mark_superseded_gated(items)
+    assert {r.seq for r in out.where("superseded").collect()} == want and out.count() == 120
+    out.explain("formatted")
+    assert "LeftSemi" in capsys.readouterr().out
+
+
 def test_entity_search_without_token_rows(spark):
     rng = np.random.default_rng(9)
     n, names = 80, ["ann", "bob", "new york", "zoe"]
