@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallflow.operators import belief as bl
+from recallflow.operators import corpus as cp
+from recallflow.operators import lexical
 from recallflow.operators import recall as rc
 from recallflow.operators import schemas as sc
 
@@ -103,3 +105,20 @@ def test_entity_search_without_token_rows(spark):
     assert moved < sum(len(held[m]) for _, m in want) / 2
     best = rc.entity_search(found, tokens, items, mentions, weights, coupled, 5).collect()
     assert len(best) == 5 * len(asks) and all(r.score == want[r.query_id, r.mem_id] for r in best)
+
+
+@pytest.mark.parametrize("k", [1, 6])
+def test_best_lexical_of_long_queries_without_candidate_rows(spark, k):
+    rng = np.random.default_rng(12)
+    word = lambda n: f"{chr(97 + n % 26)}{chr(97 + n // 26)}x{n % 3}{n}"
+    texts = [sorted({word(int(n)) for n in rng.integers(0, 120, rng.integers(2, 70))}) for _ in range(150)]
+    items = spark.createDataFrame([("n", f"m{i:04d}", texts[i % 150]) for i in range(450)], "namespace string, mem_id string, tokens array<string>")
+    index = items.select("namespace", "mem_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token")).cache()
+    weights = cp.token_weights(cp.token_df(index), cp.namespace_size(items)).cache()
+    asks = [(q, "n", word(int(n)), False) for q in range(20) for n in rng.choice(120, 80, replace=False)]
+    tokens = spark.createDataFrame(asks, "query_id long, namespace string, token string, inferred boolean").cache()
+    index.count(), weights.count(), tokens.count()
+    pick = lambda rows: sorted((r.query_id, r.rank, r.mem_id, round(r.lexical, 8), r.matched, r.n_tokens) for r in rows)
+    want, before = shuffled(spark, lambda: lexical.best_items(tokens, index, weights, k).collect())
+    got, moved = shuffled(spark, lambda: rc.best_lexical(tokens, index, weights, k).collect())
+    assert pick(got) == pick(want) and len(got) == 20 * k and moved < before / 2
