@@ -111,3 +111,19 @@ def test_facts_and_tokens_of_shared_words(spark):
         f = one(spark, tx.auto_fact, r.text)
         assert (r.subject, r.relation, r.value, r.override) == (f.subject, f.relation, f.value, f.override)
         assert r.tokens == tokens(r.text)
+
+
+def test_entropy_of_rare_and_common_characters(spark):
+    from math import log2
+
+    for text in ["", "aaaa", "a b", "ünï 漢字 «x» 漢", "?!;:(%)$^.*[]\\", "the quick brown fox 0123456789 the", "\n\n \t"]:
+        share = [text.count(c) / len(text) for c in set(text)]
+        assert abs(one(spark, tx.char_entropy, text) + sum(p * log2(p) for p in share)) < 1e-12, text
+
+
+def test_no_noun_among_the_first_words(spark):
+    lead = "running jumped quickly walking talked slowly eating tasted newly"
+    f = one(spark, tx.auto_fact, f"{lead} garden wall")
+    assert (f.subject, f.relation) == ("garden", "wall") and f.value == lead
+    f = one(spark, tx.auto_fact, lead)
+    assert f.subject == "newly"
