@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recallflow.operators import corpus as cp
 from recallflow.operators import factor as fa
@@ -73,3 +74,15 @@ def test_eviction_of_one_frequency_goes_by_token(spark):
     rows = [("n", f"{chr(97 + k % 26)}{k:03d}", 1) for k in range(100)] + [("n", f"z{k}", 5) for k in range(50)]
     kept = {r.token for r in cp.evict_vocab(spark.createDataFrame(rows, "namespace string, token string, df long"), limit=100).collect()}
     assert kept == {t for _, t, _ in sorted(rows, key=lambda r: (r[2], r[1]))[30:]}
+
+
+def test_eviction_makes_the_vocabulary_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    own = F.udf(lambda t: (made.add(1), t)[1], "string")
+    rows = [(n, f"{chr(97 + k % 7)}{k:03d}", 1 + k % 4) for n in ("a", None) for k in range(100)] + [("few", "x", 1), ("few", "y", 2)]
+    df = spark.createDataFrame(rows, "namespace string, token string, df long").withColumn("token", own("token"))
+    got = {(r.namespace, r.token, r.df) for r in cp.evict_vocab(df, limit=50).collect()}
+    want = {r for r in rows if r[0] == "few"}
+    for n in ("a", None):
+        want |= {*sorted((r for r in rows if r[0] == n), key=lambda r: (r[2], r[1]))[20:]}
+    assert got == want and made.value == len(rows)
