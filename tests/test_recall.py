@@ -271,3 +271,21 @@ def test_reconcile_thresholds(spark):
     e = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), ("e", 9)], "billing_subject string, quantity int").withColumn("occurred_at", F.lit("2024-01-05").cast("timestamp"))
     c = spark.createDataFrame([("a", 10), ("b", 95), ("c", 94), ("d", 7)], "billing_subject string, counted int")
     assert {r.billing_subject for r in mt.reconcile(c, e, "2024-01").collect()} == {"c", "d", "e"}
+
+
+def test_schema_candidates_join_groups_not_rows(spark):
+    items = spark.createDataFrame(
+        [("n", f"m{i:02d}", i, 1.0 if i % 9 else 0.0, ["all"] + [t for t, k in (("two", 2), ("three", 3), ("six", 6), ("trio", 3), ("last", 29)) if i % k == 0]) for i in range(60)],
+        "namespace string, mem_id string, seq int, strength double, tokens array<string>",
+    )
+    weights = spark.createDataFrame([("n", t, x) for t, x in (("all", 0.5), ("two", 1.0), ("three", 1.2), ("trio", 1.2), ("six", 2.0), ("last", 3.0))], "namespace string, token string, idf double")
+    mentions = spark.createDataFrame([("n", f"m{i:02d}", i, "bob") for i in range(0, 60, 7)], "namespace string, mem_id string, seq int, entity string")
+    found = sc.schema_candidates(items, mentions, weights, max_group=4)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.group_id, []).append(r.seq)
+    alive = [i for i in range(60) if i % 9]
+    want = {f"t:{t}": [i for i in alive if i % k == 0][:4] for t, k in (("two", 2), ("three", 3), ("six", 6))}
+    want["e:bob"] = [i for i in alive if i % 7 == 0][:4]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert "idf" not in found._jdf.queryExecution().optimizedPlan().toString()  # rows never meet the weights
