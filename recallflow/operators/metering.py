@@ -204,12 +204,15 @@ def rate_limit(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFr
             )
 
     # Bursts arrive whole and in time order inside a partition and are read as a stream of
-    # small batches, so neither many bursts nor a long one needs memory.
+    # small batches, so neither many bursts nor a long one needs memory. They are dealt by a
+    # hash of their own: dealt by the keys of the join above, the shuffle would be taken for
+    # a repetition and left out, and a join read where it lies cuts bursts apart.
     key_type = dict(events.dtypes)["key"]
     busy = (
         sized.where(F.col("_n") > limit)
         .select("key", "burst", "request_id", "ts", "_t")
-        .repartition("key", "burst")
+        .withColumn("_g", F.xxhash64("key", "burst"))
+        .repartition("_g")
         .sortWithinPartitions("key", "burst", "_t", "request_id")
         .mapInPandas(decide, f"key {key_type}, request_id bigint, ts timestamp, allowed boolean")
     )
