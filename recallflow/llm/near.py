@@ -53,13 +53,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SHARE[1] >= SHARE[0] * (len(a) + len(b) - both)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of 2,048 places. Two sketches differ in at most as many places as their
-    sets in members."""
-    odd = np.bincount((s & np.uint64(2047)).astype(np.int64), minlength=2048) & 1
+def sketch(s: np.ndarray, places: int = 2048) -> bytes:
+    """Parities of so many places, a power of two. Two sketches differ in at most as many
+    places as their sets in members."""
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(s: np.ndarray) -> bytes | None:
+    """A sketch with as many places as members, for sets that fill the usual one: of those
+    all differ in about half of its places, alike or not. None for smaller sets."""
+    return None if len(s) <= 2048 else sketch(s, 1 << (len(s) - 1).bit_length())
+
+
+def _differ(p: bytes, q: bytes) -> int:
+    """Places in which two sketches differ; the longer one is folded to the shorter."""
+    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def fingerprint(s: np.ndarray) -> int:
     """SimHash of a set: a bit is 1 if set in over half of its hashes."""
     ones = np.zeros(64, dtype=np.int64)
@@ -127,6 +141,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, texts: DataF
 
     sized = pairs.join(a, "x").join(b, "y").where(_fit(F.col("nx"), F.col("ny")))
     pairs = written(sized.select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(maybe, "x bigint, y bigint"))
+
+    def still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q, nx, ny = (batch.column(c).to_pylist() for c in ("wx", "wy", "nx", "ny"))
+            near = [u is None or v is None or _differ(u, v) * low[1] <= low[0] * (i + j) for u, v, i, j in zip(p, q, nx, ny, strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
+
+    a, b = (sets.select(F.col("key").alias(k), F.col("wide").alias(f"w{k}"), F.col("n").alias(f"n{k}")) for k in "xy")
+    pairs = written(pairs.join(a, "x").join(b, "y").select("x", "y", "wx", "wy", "nx", "ny").mapInArrow(still, "x bigint, y bigint"))
     # Whole sets are neither kept nor moved but for the few still asked for; the list of
     # their keys is most often small enough to be sent to the texts.
     held = _bodies(written(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()), marked, texts)
@@ -158,7 +181,7 @@ def _met(lists: DataFrame, other: DataFrame) -> DataFrame:
 
 def links(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """(x, y) keys of different sets with the components of "similar at ``SHARE`` or more"."""
-    sets = written(marked.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "head", "sketch")]))  # copies once
+    sets = written(marked.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "head", "sketch", "wide")]))  # copies once
     named = sets.groupBy("fp").agg(F.min("key").alias("first"))
     alike = sets.select("key", "fp").join(named, "fp").where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
     ends = [named.select(F.col("fp").alias(k), F.col("first").alias(f"k{k}")) for k in "xy"]
@@ -180,7 +203,7 @@ def links(marked: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hash, key, n, fp, head, sketch) per row, written, and (hash, text) of all
+    """(doc_id, hash, key, n, fp, head, sketch, wide) per row, written, and (hash, text) of all
     rows. ``key`` stands for the set, ``hash`` for the text; null text: no words."""
     bound_batches(docs.sparkSession)
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
@@ -196,9 +219,10 @@ def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return [
             pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
             pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array([sketch(s) for s in sets], pa.binary()),
+            pa.array([wide_sketch(s) for s in sets], pa.binary()),
         ]
 
-    fields = [("key", "bigint"), ("n", "bigint"), ("fp", "bigint"), ("head", "array<bigint>"), ("sketch", "binary")]
+    fields = [("key", "bigint"), ("n", "bigint"), ("fp", "bigint"), ("head", "array<bigint>"), ("sketch", "binary"), ("wide", "binary")]
     return written(appended(plain, "text", run, fields).drop("text")), texts
 
 

@@ -92,3 +92,22 @@ def test_one_id_with_two_texts_keeps_both(spark):
     rows = [(1, "a b c d e f"), (1, "u v w x y z"), (1, "u v w x y z"), (2, "u v w x y z"), (3, "A b c d e f")]
     found = near.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in found) == [(1, "a b c d e f"), (1, "u v w x y z")]
+
+
+def test_wide_sketches_tell_long_texts_apart():
+    rnd = np.random.default_rng(8)
+    draw = lambda n: np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+    excluded = lambda a, b: near._differ(near.wide_sketch(a), near.wide_sketch(b)) * 9 > len(a) + len(b)
+    for n in (2100, 4096, 5000, 15000, 40000):
+        base = draw(n)
+        half = np.union1d(base[: n // 2], draw(n // 2))
+        assert excluded(base, draw(n)) and excluded(base, half)
+        # The usual sketch is full at that length: it lets the unlike pair through.
+        full = np.bitwise_count(np.frombuffer(near.sketch(base), np.uint8) ^ np.frombuffer(near.sketch(half), np.uint8)).sum() * 9 <= len(base) + len(half)
+        assert full or n <= 5000
+        for share in (0.8, 0.85, 0.99, 1.0):
+            # One set within the other, as far apart in size as is allowed, crosses powers of two.
+            inner = base[: int(np.ceil(n * share))]
+            if len(inner) > 2048:
+                assert near.similar(base, inner) and not excluded(base, inner)
+    assert near.wide_sketch(base[:2048]) is None and len(near.wide_sketch(base[:2049])) == 512
