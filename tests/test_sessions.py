@@ -67,3 +67,14 @@ def test_coupling_over_blocks_equals_the_plain_sum(spark, monkeypatch):
     asked = {(r.session_a, r.session_b): round(r.coupling, 9) for r in ss.session_coupling(spectrum, some).collect()}
     assert asked == {("s3", a if b == "s3" else b): k for (a, b), k in want.items() if "s3" in (a, b)}
     assert {(r.session_a, r.session_b) for r in ss.coupled_sessions(spectrum, 0.2).collect()} == {p for p, k in want.items() if k >= 0.2}
+
+
+def test_coupling_among_some_sessions(spark):
+    rnd = np.random.default_rng(6)
+    rows = [("n", f"s{i:02d}", f"t{j}", float(rnd.random())) for i in range(30) for j in rnd.choice(20, 5, replace=False)]
+    spectrum = spark.createDataFrame(rows, "namespace string, session_id string, token string, weight double")
+    ask = spectrum.where("session_id < 's12'").select("namespace", "session_id")
+    among = spectrum.where("session_id > 's08'").select("namespace", "session_id")
+    every = {(r.session_a, r.session_b): round(r.coupling, 9) for r in ss.session_coupling(spectrum, ask).collect()}
+    some = {(r.session_a, r.session_b): round(r.coupling, 9) for r in ss.session_coupling(spectrum, ask, 0.1, among).collect()}
+    assert some == {p: k for p, k in every.items() if p[1] > "s08" and k >= 0.1} and len(some) < len(every)
