@@ -2,6 +2,7 @@
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from recallflow.operators import sessions as ss
